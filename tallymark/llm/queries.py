@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from tallymark.llm.common import read_table
 
 
+def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallymark.llm.bpe import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallymark.llm.packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymark.llm.media import read_media, store_media
 
@@ -17,6 +33,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_encode": op3_bpe_encode,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op10_media_columns": op10_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {}
