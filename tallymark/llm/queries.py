@@ -39,6 +39,12 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.substrings import dedup_substrings
+
+    return dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe_encode": op3_bpe_encode,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
