@@ -53,6 +53,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.katz import Model
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = Model(docs, train=fold("doc_id", 10) != 0).score()
+    return scores.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymark.llm import langid
 
@@ -75,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_katz_scores": op7_katz_scores,
     "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
 }
