@@ -61,6 +61,12 @@ def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.jaccard import linked_components
+
+    return linked_components(read_table(spark, sf_dir, "documents"), n=3, t100=90)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymark.llm import langid
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_katz_scores": op7_katz_scores,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
 }
