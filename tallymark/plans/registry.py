@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from tallymark.plans import close_queries, ingest_queries, recon_queries
+
+_MODULES = (recon_queries, close_queries, ingest_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Verdicts over all payouts: counts and amounts."""
+    return recon_queries.QUERIES["verdict_summary"](spark, sf_dir)
