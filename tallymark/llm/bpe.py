@@ -38,7 +38,7 @@ _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 _PRE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: Beyond Latin letters, the library's own normalizer and pattern are asked.
 _PLAIN = regex.compile(r"[\x00-\u024f]*")
-MOST_KEPT = 150_000
+MOST_KEPT = 400_000
 
 
 def pieces(text: str | None) -> list[str]:
@@ -97,6 +97,7 @@ class PrefixBPE:
             if len(text) == 1 or (i in self.parts and self._is_own(i)):
                 self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
+        self.lengths = {i: len(t) for t, i in vocab.items()}
         self.kept: dict[str, tuple[str, str, int]] = {}
         self.kept_words: dict[str, list[int]] = {}
         self._library = None
@@ -154,26 +155,34 @@ class PrefixBPE:
         if not n:
             return []
         text = raw[:-1].decode("latin-1") + chr(raw[-1] + 256)
-        last: list[int] = [-1] * (n + 1)
-        size: list[int] = [0] * (n + 1)
-        compatible = self.compatible
+        last: dict[int, int] = {}  # for every place, the last token of the prefix that ends there
+        fits, lengths = self.fits, self.lengths
         for end, (length, token) in self.automaton.iter(text):
-            end += 1
-            if size[end] or last[end] >= 0:
+            if end in last:
                 continue
             start = end - length
-            if start == 0 or (last[start] >= 0 and compatible(last[start], token)):
-                last[end], size[end] = token, length
-        ids, at = [], n
-        while at:
-            if last[at] < 0:
+            if start < 0:
+                last[end] = token
+                continue
+            before = last.get(start)
+            if before is not None:
+                known = fits.get(before << 20 | token)
+                if known is None:
+                    known = self.compatible(before, token)
+                if known:
+                    last[end] = token
+        ids, at = [], n - 1
+        while at >= 0:
+            if at not in last:
                 raise ValueError(f"no encoding of {word!r}")
             ids.append(last[at])
-            at -= size[at]
+            at -= lengths[last[at]]
         return ids[::-1]
 
     def _pre_tokens(self, piece: str) -> list[str]:
         if _PLAIN.fullmatch(piece):
+            if piece.isascii() and piece.isalpha():
+                return [piece.lower()]
             if not piece.isascii():
                 piece = unicodedata.normalize("NFC", piece)
             return _PRE.findall(piece.lower())
@@ -217,26 +226,41 @@ class PrefixBPE:
 
     def encoded(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids as decimal text and the decoded text, both joined by a space."""
-        kept, rows = self.kept, []
-        for piece in pieces(text):
-            row = kept.get(piece)
-            if row is None:
-                if len(kept) >= MOST_KEPT:
-                    kept.clear()
-                ids = self.encode_piece(piece)
-                row = kept[piece] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-            rows.append(row)
-        return sum(r[2] for r in rows), " ".join([r[0] for r in rows if r[2]]), " ".join([r[1] for r in rows if r[2]])
+        kept, parts = self.kept, pieces(text)
+        rows = list(map(kept.get, parts))
+        for i in [i for i, row in enumerate(rows) if row is None]:
+            if len(kept) >= MOST_KEPT:
+                kept.clear()
+            ids = self.encode_piece(parts[i])
+            rows[i] = kept[parts[i]] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
+        rows = [r for r in rows if r[2]]
+        return sum([r[2] for r in rows]), " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
+
+
+class LibraryBPE(PrefixBPE):
+    """The same pieces and pre-tokens, with each word's ids from the tokenizers library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self._words = Tokenizer.from_file(path).model
+        self._stand_ins = str.maketrans(dict(enumerate(_byte_chars())))
+
+    def encode_word(self, word: str) -> list[int]:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self._stand_ins)
+        return [t.id for t in self._words.tokenize(word)]
 
 
-_MODELS: dict[str, PrefixBPE] = {}
+_MODELS: dict[tuple[str, bool], PrefixBPE] = {}
 
 
-def model(path: str) -> PrefixBPE:
+def model(path: str, library: bool = False) -> PrefixBPE:
     """The model of a vocabulary file, read once in each Python process."""
-    if path not in _MODELS:
-        _MODELS[path] = PrefixBPE(path)
-    return _MODELS[path]
+    if (path, library) not in _MODELS:
+        _MODELS[path, library] = LibraryBPE(path) if library else PrefixBPE(path)
+    return _MODELS[path, library]
 
 
 def encode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

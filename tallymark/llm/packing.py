@@ -37,14 +37,12 @@ _KEPT: dict[str, bytes] = {}
 
 def _ids(text: str | None, model: bpe.PrefixBPE) -> bytes:
     """A text's ids and the end, as little-endian unsigned 32-bit numbers."""
-    out = []
-    for piece in bpe.pieces(text):
-        raw = _KEPT.get(piece)
-        if raw is None:
-            if len(_KEPT) >= bpe.MOST_KEPT:
-                _KEPT.clear()
-            raw = _KEPT[piece] = array("I", model.encode_piece(piece)).tobytes()
-        out.append(raw)
+    parts = bpe.pieces(text)
+    out = list(map(_KEPT.get, parts))
+    for i in [i for i, raw in enumerate(out) if raw is None]:
+        if len(_KEPT) >= bpe.MOST_KEPT:
+            _KEPT.clear()
+        out[i] = _KEPT[parts[i]] = array("I", model.encode_piece(parts[i])).tobytes()
     out.append(END.to_bytes(4, "little"))
     return b"".join(out)
 
@@ -59,7 +57,7 @@ def token_pieces(df: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: st
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, out = bpe.model(vocab), Batcher(schema)
+        model, out = bpe.model(vocab, library=True), Batcher(schema)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = _ids(text.as_py(), model)
