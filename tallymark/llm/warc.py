@@ -106,7 +106,7 @@ def directory(f: pa.NativeFile) -> dict[str, Member]:
     size = f.size()
     tail_at = max(0, size - 65557)
     tail = f.read_at(size - tail_at, tail_at)
-    end = tail.rfind(b"PK\x05\x06")
+    end = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
     while end >= 0 and struct.unpack_from("<H", tail, end + 20)[0] != len(tail) - end - 22:
         end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
