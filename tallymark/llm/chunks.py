@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import lower_ascii, words
 
 CHUNK_BYTES = 16 << 20
-#: ids, known (1 where the id isn't null), flags and lengths are arrays of the documents; codes of their words.
+#: ids, known (1 where the id isn't null), flags and lengths are arrays of the documents; codes of their words by place value.
 CHUNK_DDL = "chunk long, ids binary, known binary, flags binary, lengths binary, vocab binary, codes binary"
 _CHUNK = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("ids", "known", "flags", "lengths", "vocab", "codes"))])
 
@@ -42,7 +42,7 @@ def encode(docs: DataFrame, lower: bool = False, flag: Column | None = None, id_
         ids, flags, lengths, codes, vocab, held = [], [], [], array("i"), {}, 0
 
         def give() -> pa.RecordBatch:
-            row = ([number], [array("q", [i or 0 for i in ids]).tobytes()], [bytes(i is not None for i in ids)], [bytes(flags)], [array("q", lengths).tobytes()], ["\n".join(vocab).encode()], [codes.tobytes()])
+            row = ([number], [array("q", [i or 0 for i in ids]).tobytes()], [bytes(i is not None for i in ids)], [bytes(flags)], [array("q", lengths).tobytes()], ["\n".join(vocab).encode()], [planes(np.frombuffer(codes, np.int32)) if codes else b""])
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _CHUNK, strict=True)], schema=_CHUNK)
 
         for batch in batches:
@@ -69,6 +69,11 @@ def documents(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row.ids, "<i8"), np.frombuffer(row.known, np.uint8).astype(bool), np.frombuffer(row.flags, np.uint8), np.frombuffer(row.lengths, "<i8")
 
 
+def codes_of(row) -> np.ndarray:
+    """Codes of all words of a chunk's documents, one document after the other."""
+    return from_planes(row.codes, "<i4")
+
+
 def id_column(ids: np.ndarray, known: np.ndarray) -> pd.arrays.IntegerArray:
     return pd.arrays.IntegerArray(np.array(ids, np.int64), ~known)
 

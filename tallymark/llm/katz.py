@@ -39,6 +39,8 @@ from tallymark.llm import chunks as C
 from tallymark.llm.common import staged
 
 FEW, HELD = 5, 0.1
+#: Text in a chunk; a task holds about thirty times as much while it scores one.
+CHUNK_BYTES = 10 << 20
 #: Keys of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x3C2F733E3C2F733E), np.uint64(0x3C733E3C733E3C73)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -92,22 +94,23 @@ class Chunk:
 
     def __init__(self, row):
         self.ids, self.known, self.train, self.lengths = C.documents(row)
-        codes, hashes = np.frombuffer(row.codes, np.int32), C.word_hashes(row.vocab)
+        codes, hashes = C.codes_of(row), C.word_hashes(row.vocab)
         self.sizes = self.lengths + 1
         ends = np.cumsum(self.sizes) - 1
         n = int(self.sizes.sum())
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         table = np.concatenate((hashes, [END, BEGIN])).astype(np.uint64)
-        word = np.full(n, len(hashes), np.int64)
+        word = np.full(n, len(hashes), np.int32)
         inside = np.ones(n, bool)
         inside[ends] = False
         word[inside] = codes
-        context = np.empty(n, np.int64)
+        context = np.empty(n, np.int32)
         context[1:] = word[:-1]
         context[np.concatenate(([0], ends[:-1] + 1)) if n else []] = len(hashes) + 1
         self.in_training = self.train[self.doc].astype(bool)
         # distinct words in order of their keys, and each token's place among them
         self.keys, place = np.unique(table, return_inverse=True)
+        place = place.astype(np.int32)
         self.word, self.context = place[word], place[context]
         self.counts = np.bincount(self.word[self.in_training], minlength=len(self.keys)).astype(np.uint32)
 
@@ -115,6 +118,7 @@ class Chunk:
         """Distinct bigram keys, their training counts and each token's bigram."""
         key = C.mixed(self.keys[self.context] * _TURN + self.keys[self.word])
         keys, of = np.unique(key, return_inverse=True)
+        of = of.astype(np.int32)
         return keys, np.bincount(of[self.in_training], minlength=len(keys)).astype(np.uint32), of
 
 
@@ -130,8 +134,8 @@ def _ask(buckets: int):
     return run
 
 
-def _count(frame: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's counts: an answer for each chunk, and the bucket's own table row."""
+def _count(frame: pd.DataFrame, tables: bool) -> pd.DataFrame:
+    """A bucket's counts: an answer for each chunk, and a row of statistics (with the bucket's table)."""
     distinct, place, spans = C.merge(frame)
     asked = np.concatenate([C.from_planes(d[0], "<u4") for d in frame["data"]])
     total = np.bincount(place, asked, len(distinct)).astype(np.int64)
@@ -144,7 +148,7 @@ def _count(frame: pd.DataFrame) -> pd.DataFrame:
     several = np.bincount(np.minimum(total[seen], FEW + 2), minlength=FEW + 3)
     out = pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "chunk": frame["chunk"], "answer": [C.planes(total[place[s]].astype("<u4")) + own[s].tobytes() for s in spans]})
     out["stats"], out["keys"], out["counts"] = None, None, None
-    own_row = {"kind": -frame["kind"].iloc[0], "bucket": frame["bucket"].iloc[0], "chunk": -1, "answer": None, "stats": [int(x) for x in (total.sum(), seen.sum(), *several)], "keys": C.pack_keys(distinct[seen]), "counts": C.planes(total[seen].astype("<u4"))}
+    own_row = {"kind": -frame["kind"].iloc[0], "bucket": frame["bucket"].iloc[0], "chunk": -1, "answer": None, "stats": [int(x) for x in (total.sum(), seen.sum(), *several)], "keys": C.pack_keys(distinct[seen]) if tables else None, "counts": C.planes(total[seen].astype("<u4")) if tables else None}
     return pd.concat((out, pd.DataFrame([own_row])), ignore_index=True)
 
 
@@ -159,12 +163,16 @@ def counts_of(answers, kind: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """A trained model: the corpus in chunks, the count tables and their statistics."""
 
-    def __init__(self, docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text"):
-        """``train`` says which rows are learnt from (all, if not given); all rows can be scored."""
+    def __init__(self, docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tables: bool = False):
+        """``train`` says which rows are learnt from (all, if not given); all rows can be scored.
+
+        Counts are kept as the chunks' own tables, by order and key range. With ``tables`` each
+        key range also has a row with all its keys and counts, for use beyond these rows.
+        """
         self.id_col = id_col
-        self.chunks = staged(C.encode(docs, lower=True, flag=F.lit(1) if train is None else train, id_col=id_col, text_col=text_col), "token-chunks")
+        self.chunks = staged(C.encode(docs, lower=True, flag=F.lit(1) if train is None else train, id_col=id_col, text_col=text_col, chunk_bytes=CHUNK_BYTES), "token-chunks")
         _, self.buckets = C.buckets_for(self.chunks)
-        found = C.answered(self.chunks.mapInPandas(_ask(self.buckets), C.ASKED_DDL), _count, C.ANSWER_DDL + ", stats array<long>, keys binary, counts binary")
+        found = C.answered(self.chunks.mapInPandas(_ask(self.buckets), C.ASKED_DDL), lambda frame: _count(frame, tables), C.ANSWER_DDL + ", stats array<long>, keys binary, counts binary")
         #: n-gram tables by order (-kind) and key range, and the chunks' answers
         self.counts = staged(found, "ngram-counts")
         sums = {1: np.zeros(FEW + 5, np.int64), 2: np.zeros(FEW + 5, np.int64)}
@@ -204,10 +212,9 @@ def _parts(stats: Statistics, buckets: int):
                 heads[np.searchsorted(c.keys, BEGIN)] = stats.documents
                 heads[np.searchsorted(c.keys, END)] = 0
                 p = stats.word(words)
-                pair = pairs[of]
-                seen, head = pair > 0, heads[c.context]
-                logs = np.log10(p)[c.word]
-                logs[seen] = np.log10(stats.pair(pair[seen]) / (head[seen] + HELD))
+                with np.errstate(divide="ignore"):
+                    seen, log_pair, log_head = (pairs > 0)[of], np.log10(stats.pair(pairs)), np.log10(heads + HELD)
+                logs = np.where(seen, log_pair[of] - log_head[c.context], np.log10(p)[c.word])
                 n_docs = len(c.sizes)
                 base = np.log10((words + 0.1) / (stats.total + 0.1 * (stats.distinct + 1)))[c.word]
                 sums = [np.bincount(c.doc, x, n_docs) for x in (words[c.word] > 0, base, logs)]
@@ -220,7 +227,7 @@ def _parts(stats: Statistics, buckets: int):
                 heads_of = c.context[mine]
                 s_pair = np.bincount(heads_of, stats.pair(pairs[owned]), len(c.keys))
                 s_word = np.bincount(heads_of, p[c.word[mine]], len(c.keys))
-                backs = np.flatnonzero(~seen & (head > 0))
+                backs = np.flatnonzero(~seen & (heads > 0)[c.context])
                 backs = backs[np.argsort(c.context[backs], kind="stable")]
                 used = np.zeros(len(c.keys), bool)
                 used[heads_of] = True

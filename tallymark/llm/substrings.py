@@ -56,7 +56,7 @@ class Windows:
 
     def __init__(self, row, span: int = SPAN):
         self.span = span
-        self.codes = np.frombuffer(row.codes, np.int32)
+        self.codes = C.codes_of(row)
         ids, self.known, _, self.lengths = C.documents(row)
         self.ids = np.where(self.known, ids, FIRST_ID)
         self.ends = np.cumsum(self.lengths)

@@ -31,7 +31,7 @@ from tallymark.llm.common import staged
 
 BLOCK, QUERY_BLOCK = 4096, 256
 #: Lists are read this many entries at a time at first; then in doubling steps.
-DEPTH = 64
+DEPTH = 256
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -74,60 +74,65 @@ def merged(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 class SortedLists:
-    """The lists of one block: for each dimension, rows by ascending value."""
+    """The lists of one block: for each dimension, rows by ascending value.
+
+    Queries read their lists together: to the same depth, from the top where the weight is
+    positive and from the bottom where it is negative. What all queries have read of all
+    rows is then a few matrix products. Numbers are whole; they are held as doubles while
+    every sum stays under 2**53, else as 64-bit integers.
+    """
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray):
         self.ids, self.cells = ids, cells
-        self.order = np.argsort(cells, axis=0, kind="stable").T.copy()  # list, place: row
-        self.sorted = np.take_along_axis(cells, self.order.T, 0).T.copy()
+        order = np.argsort(cells, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(cells, order, 0)
+        self.place = np.empty_like(order)  # of each row in each list
+        np.put_along_axis(self.place, order, np.arange(len(cells))[:, None], 0)
+        self.largest = int(np.abs(cells).max(initial=0))
 
-    def top(self, q: np.ndarray, k: int, own: int = -1, floor: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k rows for a query, but for row ``own``.
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floors: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the best k rows for each query, but for row ``own`` (-1: none).
 
-        ``floor`` has ids and scores found before: rows that can't enter the best k together
-        with these may be left out.
+        ``floors``: scores found before for each query; rows that can't enter the best k
+        together with these may be left out.
         """
         n, dims = self.cells.shape
-        use = np.flatnonzero(q)
-        k_floor = np.sort(floor[1])[::-1][k - 1] if floor is not None and len(floor[1]) >= k else None
-        if not len(use):  # every score is 0
-            rows = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
-            best = merged(self.ids[rows], np.zeros(len(rows), np.int64), k)
-            return self.ids[rows[best]], np.zeros(len(best), np.int64)
-        weight = q[use]
-        low = np.where(weight > 0, self.sorted[use, 0], self.sorted[use, -1]) * weight  # least product of each list
-        read = np.zeros(n, np.int64)  # products read for a row, and the bounds of what isn't read
-        unread_low = np.full(n, low.sum())
-        seen = np.zeros((len(use), n), bool)
-        at, step = 0, DEPTH
-        while True:
-            upto = min(n, at + step)
-            for i, (d, w) in enumerate(zip(use, weight, strict=True)):
-                places = slice(at, upto) if w < 0 else slice(n - upto, n - at)
-                rows = self.order[d, places]
-                read[rows] += self.sorted[d, places] * w
-                unread_low[rows] -= low[i]
-                seen[i, rows] = True
-            at, step = upto, step * 2
-            if at == n:
-                live = np.arange(n)
-                break
-            frontier = np.where(weight > 0, self.sorted[use, n - at], self.sorted[use, at - 1]) * weight
-            upper = read + frontier.sum() - frontier @ seen
-            lower = read + unread_low
-            if own >= 0:
-                upper[own], lower[own] = np.iinfo(np.int64).min, np.iinfo(np.int64).min
-            cut = np.partition(lower, n - min(k, n))[n - min(k, n)]
-            if k_floor is not None:
-                cut = max(cut, k_floor)
-            live = np.flatnonzero(upper >= cut)  # rows never read have upper = the sum of frontiers
-            if len(live) <= max(8 * k, n // 16):
-                break
-        if own >= 0:
-            live = live[live != own]
-        scores = self.cells[live] @ q
-        best = merged(self.ids[live], scores, k)
-        return self.ids[live[best]], scores[best]
+        fits = self.largest * int(np.abs(queries).max(initial=0)) * max(1, dims) < 1 << 53
+        kind = np.float64 if fits else np.int64
+        cells, weights = self.cells.astype(kind), queries.astype(kind).T
+        up, down = np.maximum(weights, 0), np.minimum(weights, 0)
+        lowest = self.sorted[0].astype(kind)[:, None] * up, self.sorted[-1].astype(kind)[:, None] * down  # least products of each list
+        live: list[np.ndarray | None] = [None] * len(queries)
+        active, depth = np.arange(len(queries)), DEPTH
+        least = np.array([np.sort(f)[-k] if len(f) >= k else np.iinfo(np.int64).min for f in floors], dtype=np.float64 if fits else np.int64)
+        while len(active):
+            depth = min(n, depth)
+            high, low = self.place >= n - depth, self.place < depth  # what has been read, by end of the list
+            high_cells, low_cells, high, low = cells * high, cells * low, high.astype(kind), low.astype(kind)
+            edge_up = self.sorted[n - depth].astype(kind)[:, None] * up[:, active]  # frontiers: no unread product is larger
+            edge_down = self.sorted[depth - 1].astype(kind)[:, None] * down[:, active]
+            read = high_cells @ up[:, active] + low_cells @ down[:, active]
+            upper = read + (edge_up.sum(0) + edge_down.sum(0)) - high @ edge_up - low @ edge_down
+            worst_up, worst_down = lowest[0][:, active], lowest[1][:, active]
+            lower = read + (worst_up.sum(0) + worst_down.sum(0)) - high @ worst_up - low @ worst_down
+            hidden = np.flatnonzero(own[active] >= 0)
+            nothing = -np.inf if fits else np.iinfo(np.int64).min
+            upper[own[active[hidden]], hidden] = nothing
+            lower[own[active[hidden]], hidden] = nothing
+            cut = np.maximum(np.partition(lower, n - min(k, n), 0)[n - min(k, n)], least[active])
+            open_rows = upper >= cut  # a row that was never read has the sum of the frontiers
+            counts = open_rows.sum(0)
+            done = (counts <= max(8 * k, n // 16)) | (depth == n)
+            for i in np.flatnonzero(done).tolist():
+                live[active[i]] = np.flatnonzero(open_rows[:, i])
+            active, depth = active[~done], depth * 2
+        out = []
+        for q, mine, rows in zip(queries, own.tolist(), live, strict=True):
+            rows = rows[rows != mine]
+            scores = self.cells[rows] @ q
+            best = merged(self.ids[rows], scores, k)
+            out.append((self.ids[rows[best]], scores[best]))
+        return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -142,7 +147,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         for frame in frames:
             for block, dim, ids, places, cells in frame[["block", "dim", "ids", "places", "cells"]].itertuples(index=False):
                 rows = np.asarray(places, np.int64)
-                ids, cells = np.frombuffer(ids, "<i8"), np.frombuffer(cells, "<i8").reshape(-1, dim)
+                cells, ids = np.frombuffer(cells, "<i8").reshape(len(ids) // 8, dim), np.frombuffer(ids, "<i8")
                 for part in range(0, len(rows), QUERY_BLOCK):
                     chosen = rows[part : part + QUERY_BLOCK]
                     yield pd.DataFrame({"query_block": [block * (BLOCK // QUERY_BLOCK) + part // QUERY_BLOCK], "dim": [dim], "query_ids": [ids[chosen].tobytes()], "own_block": [block], "own_rows": [chosen.tobytes()], "query_cells": [np.ascontiguousarray(cells[chosen]).tobytes()]})
@@ -181,15 +186,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
         for frame in frames:
             for row in frame.itertuples(index=False):
-                cells = np.frombuffer(row.cells, "<i8").reshape(-1, row.dim)
+                cells = np.frombuffer(row.cells, "<i8").reshape(len(row.ids) // 8, row.dim)
                 if row.kind == 0:
                     lists = SortedLists(np.frombuffer(row.ids, "<i8"), cells)
                     continue
                 asked_ids, own = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.own_rows, np.int64)
                 state = best.setdefault(row.query_block, {})
                 rows_of[row.query_block] = asked_ids
-                for i in range(len(asked_ids)):
-                    ids, scores = lists.top(cells[i], k, int(own[i]) if row.own_block == row.block else -1, state.get(i))
+                nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                new = lists.top(cells, own if row.own_block == row.block else np.full(len(own), -1), k, [state.get(i, nothing)[1] for i in range(len(asked_ids))])
+                for i, (ids, scores) in enumerate(new):
                     if i in state:
                         ids, scores = np.concatenate((state[i][0], ids)), np.concatenate((state[i][1], scores))
                         keep = merged(ids, scores, k)
