@@ -1,4 +1,218 @@
-"""Queries."""
+"""Queries over ingestion, event logs, evidence graphs, changes and advice."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallymark.functions import money
+from tallymark.operators import advice, changes, lineage, solver
+from tallymark.operators.findings import single_order_findings
+from tallymark.plans.close_queries import _ITEMS, _items
+from tallymark.plans.recon_queries import FINDINGS, base, findings_of
+from tallymark.sources import ingest
+from tallymark.sources.views import SQL as VIEWS
+from tallymark.streaming import events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def take(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return take
+
+
+# Gateway rows made of orders: amounts in several spellings, some unreadable; every 40th repeats an id.
+_ROWS_SQL = """WITH gateway AS (
+    SELECT o_orderkey AS idx, CASE o_orderkey % 10 WHEN 8 THEN 'refund' WHEN 9 THEN 'adjustment' ELSE 'payment' END AS kind,
+        CASE WHEN o_orderkey % 101 = 5 THEN '' ELSE 'ent_' || (CASE WHEN o_orderkey % 40 = 0 AND o_orderkey > 40 THEN o_orderkey - 40 ELSE o_orderkey END) END AS entity_id,
+        CASE WHEN o_orderkey % 97 = 3 THEN ' other_' || o_orderkey WHEN o_orderkey % 3 = 0 THEN NULL ELSE '' END AS payment_id,
+        CASE o_orderkey % 50 WHEN 1 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.50' WHEN 2 THEN 'abc' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN '-12' WHEN 6 THEN '99999999999999999999999' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.00' END AS amount,
+        CASE o_orderkey % 7 WHEN 0 THEN 'upi' WHEN 1 THEN 'emi' WHEN 2 THEN 'card' WHEN 3 THEN 'netbanking' WHEN 4 THEN 'wallet' WHEN 5 THEN 'paylater' ELSE 'upi' END AS method,
+        'setl_' || (o_custkey % 500) AS settlement_id, CAST(o_orderdate AS DATE) AS created_at
+    FROM orders
+), ids AS (
+    SELECT *, list_distinct(list_filter([trim(payment_id), trim(entity_id)], lambda x: x IS NOT NULL AND x <> '')) AS names FROM gateway
+), identified AS (
+    SELECT *, CASE WHEN len(names) = 0 THEN '' WHEN trim(coalesce(payment_id, '')) <> '' THEN trim(payment_id) ELSE trim(entity_id) END AS identity, len(names) > 1 AS conflict,
+        CASE WHEN amount IS NULL OR trim(amount) = '' THEN 'EMPTY' WHEN NOT regexp_matches(amount, '^\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)\\s*$') THEN 'NOT_A_NUMBER' WHEN TRY_CAST(trim(amount) AS DECIMAL(38,18)) IS NULL THEN 'TOO_LARGE'
+            WHEN TRY_CAST(trim(amount) AS DECIMAL(38,18)) < 0 THEN 'NEGATIVE' WHEN TRY_CAST(trim(amount) AS DECIMAL(38,18)) <> floor(TRY_CAST(trim(amount) AS DECIMAL(38,18))) THEN 'FRACTIONAL_PAISE' END AS amount_reason
+    FROM ids
+), firsts AS (SELECT kind, identity, min(idx) AS first_idx FROM identified WHERE identity <> '' GROUP BY ALL
+), judged AS (
+    SELECT i.*, CASE WHEN amount_reason IS NULL THEN CAST(floor(TRY_CAST(trim(amount) AS DECIMAL(38,18))) AS BIGINT) END AS amount_paise,
+        CASE i.method WHEN 'emi' THEN 'card' WHEN 'paylater' THEN NULL ELSE i.method END AS known_method, coalesce(idx > first_idx, false) AS again
+    FROM identified i LEFT JOIN firsts f ON f.kind = i.kind AND f.identity = i.identity
+), normalised AS (
+    SELECT idx, kind, identity, settlement_id, created_at, known_method AS method, amount_paise,
+        CASE WHEN again THEN 'DUPLICATE' WHEN conflict OR amount_reason IS NOT NULL THEN 'REJECTED' WHEN kind = 'payment' AND known_method IS NULL THEN 'UNMATCHED' ELSE 'ACCEPTED' END AS status,
+        CASE WHEN again THEN NULL WHEN conflict THEN 'IDENTITY_CONFLICT' WHEN amount_reason IS NOT NULL THEN amount_reason WHEN kind = 'payment' AND known_method IS NULL THEN 'UNKNOWN_METHOD' END AS reason
+    FROM judged
+)"""
+
+
+def gateway_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+
+    def turn(n: int) -> F.Column:
+        return F.pmod(k, F.lit(n))
+
+    whole = F.floor("o_totalprice").cast("long").cast("string")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("idx"),
+        F.when(turn(10) == 8, "refund").when(turn(10) == 9, "adjustment").otherwise("payment").alias("kind"),
+        F.when(turn(101) == 5, "").otherwise(F.concat(F.lit("ent_"), F.when((turn(40) == 0) & (k > 40), k - 40).otherwise(k).cast("string"))).alias("entity_id"),
+        F.when(turn(97) == 3, F.concat(F.lit(" other_"), k.cast("string"))).when(turn(3) == 0, F.lit(None).cast("string")).otherwise("").alias("payment_id"),
+        F.when(turn(50) == 1, F.concat(whole, F.lit(".50"))).when(turn(50) == 2, "abc").when(turn(50) == 3, "").when(turn(50) == 4, F.lit(None).cast("string"))
+        .when(turn(50) == 5, "-12").when(turn(50) == 6, "99999999999999999999999").otherwise(F.concat(whole, F.lit(".00"))).alias("amount"),
+        F.when(turn(7) == 1, "emi").when(turn(7) == 2, "card").when(turn(7) == 3, "netbanking").when(turn(7) == 4, "wallet").when(turn(7) == 5, "paylater").otherwise("upi").alias("method"),
+        F.concat(F.lit("setl_"), F.pmod("o_custkey", F.lit(500)).cast("string")).alias("settlement_id"),
+        F.col("o_orderdate").cast("date").alias("created_at"),
+    )
+
+
+@query(_ROWS_SQL + "SELECT * FROM normalised")
+def recon_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.normalised(gateway_rows(spark, sf_dir))
+
+
+@query(_ROWS_SQL + "SELECT reason, status, count(*) AS n, min(idx) AS first_idx FROM normalised WHERE reason IS NOT NULL GROUP BY ALL")
+def recon_ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.normalised(gateway_rows(spark, sf_dir)).where("reason is not null").groupBy("reason", "status").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
+
+
+@query(_ROWS_SQL + "SELECT settlement_id, CAST(sum(CASE WHEN kind = 'payment' THEN amount_paise ELSE -amount_paise END) AS BIGINT) AS net_paise, count(*) AS rows, max(created_at) AS settled_at FROM normalised WHERE status IN ('ACCEPTED', 'UNMATCHED') GROUP BY settlement_id")
+def settlement_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.settlement_rollup(ingest.normalised(gateway_rows(spark, sf_dir)))
+
+
+# Deliveries: every event once, some again, some again with another body.
+_EVENTS_SQL = """WITH deliveries AS (
+    SELECT 'gateway' AS provider, event_id, event_type AS kind, event_id || event_type || coalesce(props, '') AS body, event_id AS arrival FROM events
+    UNION ALL SELECT 'gateway', event_id, event_type, event_id || event_type || coalesce(props, ''), event_id + 1000000000 FROM events WHERE event_id % 10 = 1
+    UNION ALL SELECT 'gateway', event_id, event_type, 'changed', event_id + 2000000000 FROM events WHERE event_id % 25 = 1
+), hashed AS (SELECT *, sha256(body) AS digest FROM deliveries
+), firsts AS (SELECT provider, event_id, min(arrival) AS first_arrival, arg_min(digest, arrival) AS first_digest FROM hashed GROUP BY ALL
+), logged AS (
+    SELECT provider, CAST(event_id AS VARCHAR) AS event_id, kind, arrival, digest, CASE WHEN arrival > first_arrival THEN CASE WHEN digest = first_digest THEN 'DUPLICATE' ELSE 'REPLAY_MISMATCH' END WHEN kind NOT IN ('signup', 'click', 'purchase') THEN 'UNSUPPORTED' ELSE 'ACCEPTED' END AS status
+    FROM hashed JOIN firsts USING (provider, event_id)
+)"""
+HANDLED = ("signup", "click", "purchase")
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = F.col("event_id")
+    body = F.concat(e.cast("string"), "event_type", F.coalesce("props", F.lit("")))
+    first = own.select(F.lit("gateway").alias("provider"), e.alias("event_id"), F.col("event_type").alias("kind"), body.alias("body"), e.cast("long").alias("arrival"))
+    again = first.where(F.pmod("event_id", F.lit(10)) == 1).withColumn("arrival", F.col("arrival") + 1_000_000_000)
+    changed = first.where(F.pmod("event_id", F.lit(25)) == 1).withColumn("arrival", F.col("arrival") + 2_000_000_000).withColumn("body", F.lit("changed"))
+    return first.unionByName(again).unionByName(changed).withColumn("event_id", F.col("event_id").cast("string"))
+
+
+@query(_EVENTS_SQL + "SELECT * FROM logged")
+def webhook_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.classified(deliveries(spark, sf_dir), HANDLED)
+
+
+@query(_EVENTS_SQL + "SELECT status, kind, count(*) AS n FROM logged GROUP BY ALL")
+def webhook_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.classified(deliveries(spark, sf_dir), HANDLED).groupBy("status", "kind").agg(F.count("*").alias("n"))
+
+
+@query(_EVENTS_SQL + """, members AS (SELECT DISTINCT l_orderkey AS order_key, 'setl_' || (l_suppkey % 40) AS settlement_id FROM lineitem)
+    SELECT settlement_id, count(DISTINCT event_id) AS n_events, arg_max(kind, (arrival, kind)) AS last_kind FROM logged JOIN members ON order_key = CAST(event_id AS BIGINT) WHERE status = 'ACCEPTED' GROUP BY settlement_id""")
+def webhook_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("order_key"), F.concat(F.lit("setl_"), F.pmod("l_suppkey", F.lit(40)).cast("string")).alias("settlement_id")).distinct()
+    return events.affected(events.classified(deliveries(spark, sf_dir), HANDLED), members, F.col("event_id").cast("long"))
+
+
+_EDGES = _ITEMS + """, edges AS (
+    SELECT 'rec:order:' || order_id AS source, 'find:' || settlement_id AS target, 'EVIDENCE_FOR' AS relationship FROM findings WHERE order_id IS NOT NULL
+    UNION ALL SELECT 'find:' || settlement_id, 'setl:' || settlement_id, 'DECIDES' FROM findings
+    UNION ALL SELECT 'setl:' || settlement_id, 'exc:' || settlement_id, 'RAISES' FROM items WHERE kind IS NOT NULL
+    UNION ALL SELECT 'exc:' || settlement_id, 'period:' || period_id, 'EXPOSES' FROM items WHERE kind IS NOT NULL
+    UNION ALL SELECT 'setl:' || settlement_id, 'period:' || period_id, 'VERIFIES' FROM items WHERE verified_paise > 0
+)"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, found = _items(spark, sf_dir)
+    return lineage.edges(found, own)
+
+
+@query(_EDGES + "SELECT * FROM edges")
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)
+
+
+@query(_EDGES.replace("WITH captures0", "WITH RECURSIVE captures0") + """, walk AS (
+    SELECT DISTINCT target AS root, target AS node_id FROM edges WHERE target LIKE 'period:%' UNION SELECT w.root, e.source FROM walk w JOIN edges e ON e.target = w.node_id
+) SELECT root, split_part(node_id, ':', 1) AS stage, count(*) AS n FROM walk GROUP BY ALL""")
+def lineage_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = lineage.shared.stored(_graph(spark, sf_dir), "edges")
+    roots = graph.where("target like 'period:%'").select(F.col("target").alias("node_id"))
+    return lineage.closure(graph, roots).groupBy("root", F.substring_index("node_id", ":", 1).alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query(_EDGES + """, known AS (SELECT 'setl:' || settlement_id AS node_id FROM settlements UNION ALL SELECT 'find:' || settlement_id FROM findings WHERE settlement_id NOT LIKE '%7' UNION ALL SELECT 'exc:' || settlement_id FROM items
+    UNION ALL SELECT DISTINCT 'period:' || period_id FROM items UNION ALL SELECT DISTINCT 'rec:order:' || order_id FROM captures)
+    SELECT node_id, 'BROKEN_REFERENCE' AS defect FROM (SELECT source AS node_id FROM edges UNION SELECT target FROM edges) WHERE node_id NOT IN (SELECT node_id FROM known)
+    UNION ALL SELECT node_id, 'ORPHAN_EXCEPTION' FROM known WHERE node_id LIKE 'exc:%' AND node_id NOT IN (SELECT target FROM edges WHERE relationship = 'RAISES')""")
+def lineage_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, found = _items(spark, sf_dir)
+    orders, payouts = base(spark, sf_dir)
+
+    def named(df: DataFrame, prefix: str, column: str) -> DataFrame:
+        return df.select(F.concat(F.lit(prefix), column).alias("node_id"))
+
+    known = named(payouts, "setl:", "settlement_id").unionByName(named(found.where("settlement_id not like '%7'"), "find:", "settlement_id")).unionByName(named(own, "exc:", "settlement_id"))
+    known = known.unionByName(named(own.select("period_id").distinct(), "period:", "period_id")).unionByName(named(orders.select("order_id").distinct(), "rec:order:", "order_id"))
+    return lineage.integrity(lineage.edges(found, own), known)
+
+
+# A run without late orders and the same with them: captures of orders 0 modulo 17 arrive late.
+@query(f"""WITH after_run AS ({VIEWS + FINDINGS} SELECT * FROM findings), before_run AS (
+    {VIEWS + FINDINGS.replace("FROM captures" + chr(10) + "), pool", "FROM captures WHERE CAST(split_part(order_id, '-', 1) AS BIGINT) % 17 <> 0" + chr(10) + "), pool").replace("count(*) AS universe FROM captures)", "count(*) AS universe FROM captures WHERE CAST(split_part(order_id, '-', 1) AS BIGINT) % 17 <> 0)")} SELECT * FROM findings)
+SELECT coalesce(a.settlement_id, b.settlement_id) AS settlement_id, a.verdict AS was, b.verdict AS now,
+    CASE WHEN a.verdict IS NULL THEN 'APPEARED' WHEN b.verdict IS NULL THEN 'VANISHED' WHEN a.verdict = b.verdict AND a.order_id IS NOT DISTINCT FROM b.order_id THEN 'UNCHANGED' WHEN a.verdict = 'PROVEN' AND b.verdict = 'PROVEN' THEN 'RECOMPOSED' WHEN b.verdict = 'PROVEN' THEN 'RESOLVED' WHEN a.verdict = 'PROVEN' THEN 'WITHDRAWN' ELSE 'REFRAMED' END AS direction,
+    coalesce(b.candidates, 0) - coalesce(a.candidates, 0) AS candidates_moved, coalesce(b.net_paise, a.net_paise) AS amount_paise
+FROM before_run a FULL JOIN after_run b ON a.settlement_id = b.settlement_id""")
+def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, payouts = base(spark, sf_dir)
+    early = orders.where(F.pmod(F.split("order_id", "-")[0].cast("long"), F.lit(17)) != 0)
+    return changes.diff(single_order_findings(payouts, early), single_order_findings(payouts, orders))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)ignore (all |any )?(previous|prior) instructions') THEN 'IGNORE_INSTRUCTIONS' WHEN regexp_matches(text, '(?i)system prompt') THEN 'SYSTEM_PROMPT' WHEN regexp_matches(text, '(?i)(password|secret|token|api[_-]?key)\\s*[=:]') THEN 'SECRET' WHEN regexp_matches(text, '(?i)all rights reserved|licensed under') THEN 'BOILERPLATE' END AS pattern
+    FROM documents WHERE regexp_matches(text, '(?i)ignore (all |any )?(previous|prior) instructions|system prompt|(password|secret|token|api[_-]?key)\\s*[=:]|all rights reserved|licensed under')""")
+def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+@query("SELECT o_orderkey, CASE WHEN paise < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN length(u) > 3 THEN reverse(regexp_replace(reverse(substr(u, 1, length(u) - 3)), '(\\d{2})(\\d)', '\\1,\\2')) || ',' || substr(u, length(u) - 2) ELSE u END || '.' || lpad(CAST(abs(paise) % 100 AS VARCHAR), 2, '0') AS shown FROM (SELECT o_orderkey, paise, CAST(abs(paise) // 100 AS VARCHAR) AS u FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 10) AS BIGINT) * CASE WHEN o_orderkey % 9 = 0 THEN -1 ELSE 1 END AS paise FROM orders))")
+def rupee_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paise = F.floor(F.col("o_totalprice") * 10).cast("long") * F.when(F.pmod("o_orderkey", F.lit(9)) == 0, -1).otherwise(1)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", money.rupees(paise).alias("shown"))
+
+
+@query()
+def solver_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, payouts = base(spark, sf_dir)
+    quarter = "settled_on >= '1995-01-01' and settled_on < '1995-04-01'"
+    return solver.solved(payouts.where(quarter), orders)
+
+
+@query()
+def findings_with_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    solved = QUERIES["solver_findings"](spark, sf_dir)
+    single = findings_of(spark, sf_dir).select("settlement_id", F.col("verdict").alias("single_verdict"))
+    return solved.join(single, "settlement_id").groupBy("single_verdict", "verdict").agg(F.count("*").alias("n"))
