@@ -41,6 +41,8 @@ COUNTERS, SLICES = 1 << 21, 64
 HISTOGRAM = 128
 #: Members of a list that are compared in one group, and rows up to which a side is broadcast.
 BLOCK, SMALL = 4096, 200_000
+#: Members up to which a list is joined with itself.
+SHORT = 16
 MOST_KEPT = 300_000
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -209,13 +211,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t10
     return staged(joined.select("a", "b", "of_a", "of_b").mapInPandas(check, "a long, b long"), "links")
 
 
+def _possible(pairs: DataFrame, shapes: DataFrame, t100: int) -> DataFrame:
+    """Pairs (a, b) that the histograms don't reject."""
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x, y = (np.stack([np.frombuffer(h, "<u2") for h in frame[c]]).astype(np.int32) for c in ("ha", "hb"))
+                yield frame.loc[bound(x, frame["na"].to_numpy(), y, frame["nb"].to_numpy(), t100), ["a", "b"]]
+
+    shaped = pairs.join(shapes.withColumnsRenamed({"node": "a", "n": "na", "histogram": "ha"}), "a").join(shapes.withColumnsRenamed({"node": "b", "n": "nb", "histogram": "hb"}), "b")
+    return shaped.select("a", "b", "na", "nb", "ha", "hb").mapInPandas(keep, "a long, b long")
+
+
+def _open(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their components, lists whose members are in several components)."""
+    named = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("sig", "members")
+    return named, several
+
+
+def _across_short(lists: DataFrame, labels: DataFrame, shapes: DataFrame, t100: int) -> DataFrame:
+    """Pairs across components in lists of at most SHORT members, by a join on the list."""
+    named, several = _open(lists, labels)
+    rows = named.join(several.where(F.col("members") <= SHORT).select("sig"), "sig")
+    other = rows.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    near = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * t100
+    met = rows.join(other, "sig").where((F.col("component") < F.col("cb")) & near)
+    return _possible(met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), shapes, t100)
+
+
 def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, t100: int, forest: bool) -> DataFrame:
-    """Pairs of members of different components that the histograms don't reject.
+    """Pairs across components, in longer lists, that the histograms don't reject.
 
     With ``forest``, a list gives only as many pairs as may connect its components.
     """
-    named = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
+    named, several = _open(lists, labels)
+    open_lists = several.where(F.col("members") > SHORT).select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
     rows = named.join(open_lists, "sig").join(classes.select("node", "histogram"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     # a member goes to every pair of blocks that has its own
@@ -264,24 +296,25 @@ def linked_components(docs: DataFrame, n: int = 3, t100: int = 90, id_col: str =
     stars = lists.where((F.col("node") != F.col("leader")) & near).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     shapes = classes.select("node", "n", "histogram")
 
-    def possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                x, y = (np.stack([np.frombuffer(h, "<u2") for h in frame[c]]).astype(np.int32) for c in ("ha", "hb"))
-                yield frame.loc[bound(x, frame["na"].to_numpy(), y, frame["nb"].to_numpy(), t100), ["a", "b"]]
-
-    shaped = stars.join(shapes.withColumnsRenamed({"node": "a", "n": "na", "histogram": "ha"}), "a").join(shapes.withColumnsRenamed({"node": "b", "n": "nb", "histogram": "hb"}), "b")
-    links = _verified(shaped.select("a", "b", "na", "nb", "ha", "hb").mapInPandas(possible, "a long, b long"), docs, classes, n, t100)
+    links = _verified(_possible(stars, shapes, t100), docs, classes, n, t100)
     labels = components(links)
     members = lists.select("sig", "node", "n")
-    for forest in (True, False):
-        more = staged(_across(members, labels, classes, t100, forest), "candidates")
-        if not more.limit(1).count():
-            break
-        new = _verified(more, docs, classes, n, t100)
+
+    def grown(pairs: DataFrame) -> bool:
+        """Whether there were pairs; those that are verified join the links."""
+        nonlocal links, labels
+        pairs = staged(pairs, "candidates")
+        if not pairs.limit(1).count():
+            return False
+        new = _verified(pairs, docs, classes, n, t100)
         if new.limit(1).count():
             links = links.unionByName(new)
             labels = components(links)
+        return True
+
+    grown(_across_short(members, labels, shapes, t100))
+    if grown(_across(members, labels, classes, t100, forest=True)):
+        grown(_across(members, labels, classes, t100, forest=False))
     named = classes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = named.select("node", "component").join(lowest, "component").select("node", "component_id")
