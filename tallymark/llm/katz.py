@@ -40,7 +40,7 @@ from tallymark.llm.common import staged
 
 FEW, HELD = 5, 0.1
 #: Text in a chunk; a task holds about thirty times as much while it scores one.
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 8 << 20
 #: Keys of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x3C2F733E3C2F733E), np.uint64(0x3C733E3C733E3C73)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
