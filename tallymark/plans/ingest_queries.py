@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import money
-from tallymark.operators import advice, changes, lineage, solver
+from tallymark.operators import advice, cascade, changes, lineage, solver
 from tallymark.operators.findings import single_order_findings
 from tallymark.plans.close_queries import _ITEMS, _items
 from tallymark.plans.recon_queries import FINDINGS, base, findings_of
@@ -216,3 +216,10 @@ def findings_with_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
     solved = QUERIES["solver_findings"](spark, sf_dir)
     single = findings_of(spark, sf_dir).select("settlement_id", F.col("verdict").alias("single_verdict"))
     return solved.join(single, "settlement_id").groupBy("single_verdict", "verdict").agg(F.count("*").alias("n"))
+
+
+@query()
+def reconcile_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, payouts = base(spark, sf_dir)
+    quarter = "settled_on >= '1995-01-01' and settled_on < '1995-04-01'"
+    return cascade.cascade(payouts.where(quarter), orders)
