@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space for ``str.split`` that is not a word separator here.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +32,7 @@ def words(text: str | None) -> list[str]:
 
 def lower_ascii(text: str) -> str:
     """A to Z in lower case, everything else unchanged."""
-    return text.translate(_LOWER) if not text.isascii() else text.lower()
+    return text.lower() if text.isascii() else text.encode().lower().decode()  # of bytes, only A to Z have a lower case
 
 
 def fold(doc_id: str | Column, k: int) -> Column:
