@@ -70,7 +70,8 @@ class Shingler:
             key = C.mixed(key * _TURN + h[k : len(h) - n + 1 + k])
         if n < self.n:
             key = C.mixed(key + np.uint64(n))
-        return np.unique(key)
+        key.sort()
+        return key[np.concatenate(([True], key[1:] != key[:-1]))]
 
 
 def least_overlap(n: int, t100: int) -> int:
@@ -95,10 +96,21 @@ def counters(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, table = Shingler(n), np.zeros(COUNTERS, np.uint32)
         shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+        held, size = [], 0
+
+        def tally() -> None:
+            table[:] += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            held.clear()
+
         for batch in batches:
             for text in batch.column(0):
-                s = shingler.set_of(text.as_py())
-                np.add.at(table, (s >> shift).astype(np.int64), 1)
+                held.append(shingler.set_of(text.as_py()))
+                size += len(held[-1])
+                if size >= COUNTERS:
+                    tally()
+                    size = 0
+        if held:
+            tally()
         parts = table.reshape(SLICES, -1)
         yield pa.RecordBatch.from_pydict({"slice": list(range(SLICES)), "counts": [C.planes(p) for p in parts]}, pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
 
@@ -203,7 +215,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t10
             keep = []
             for x, y in zip(frame["of_a"], frame["of_b"], strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= t100 * (len(x) + len(y) - both))
             yield frame.loc[np.array(keep, bool), ["a", "b"]]
 
