@@ -127,7 +127,7 @@ _SET_DDL = "doc_id long, node long, n long, prefix binary, histogram binary, sca
 
 
 def sets(docs: DataFrame, n: int, t100: int, table: np.ndarray) -> DataFrame:
-    """Per row: id, class (null for empty sets), size, first elements in rare-first order, histogram, expected list length."""
+    """Per row: id, class (null for empty sets), size, first elements in rare-first order, histogram, cost of scanning its lists."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # COUNTERS numbers
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary()), ("histogram", pa.binary()), ("scan", pa.float64())])
 
@@ -145,7 +145,7 @@ def sets(docs: DataFrame, n: int, t100: int, table: np.ndarray) -> DataFrame:
                 if prefix_length(len(s), t100) or prefix_length(len(s) * 100 // t100, t100):  # else only equal sets link
                     c = counts[(s >> shift).astype(np.int64)]
                     order = np.lexsort((s, c))[: prefix_length(len(s), t100) + SUBSET]
-                    first, scan = s[order].tobytes(), float(np.maximum(c[order] - mean, 0).sum())
+                    first, scan = s[order].tobytes(), float(np.log2(1 + np.maximum(c[order] - mean, 0)).sum())
                 histogram = np.bincount((s % np.uint64(HISTOGRAM)).astype(np.int64), minlength=HISTOGRAM)
                 yield from out.add((doc_id, node, len(s), first, np.minimum(histogram, 0xFFFF).astype("<u2").tobytes(), scan), 400 + len(first))
         yield out.flush()
@@ -154,7 +154,11 @@ def sets(docs: DataFrame, n: int, t100: int, table: np.ndarray) -> DataFrame:
 
 
 def boundary(classes: DataFrame, t100: int) -> int:
-    """The size from which sets are heavy: where subsets cost more than lists, over all classes."""
+    """The size from which sets are heavy: where subsets cost more than lists, over all classes.
+
+    A list costs each member its row and the comparison with the leader, and a long list, about
+    whose other members the leader decides in most cases, the logarithm of its length besides.
+    """
     misses = F.least(F.col("n") - F.ceil(F.col("n") * t100 / 100), F.lit(64))
     rows = {r["misses"]: (r["sets"], r["scan"]) for r in classes.where("length(prefix) > 0").groupBy(misses.alias("misses")).agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()}  # at most 65 rows
     light = {a: k * ((a + SUBSET) * (a + SUBSET - 1) // 2) for a, (k, _) in rows.items()}
