@@ -165,3 +165,9 @@ def test_katz_of_odd_tables(spark):
     rows = frame(spark, [(None, "a b a b", "", None), (None, None, "", None), (4, "a b", "", None), (4, "a b", "", None)])
     got = Model(rows).score().collect()
     assert sorted(r.n_tokens for r in got) == [1, 3, 3, 5] and all(r.score < 0 for r in got)
+
+
+def test_only_a_to_z_are_lower_cased():
+    from tallymark.llm.common import lower_ascii
+
+    assert [lower_ascii(t) for t in ("", "AZ[a", "ÄÉAZİẞ ΣB", "日本X\x00")] == ["", "az[a", "ÄÉazİẞ Σb", "日本x\x00"]
