@@ -207,8 +207,7 @@ def rupee_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def solver_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, payouts = base(spark, sf_dir)
-    quarter = "settled_on >= '1995-01-01' and settled_on < '1995-04-01'"
-    return solver.solved(payouts.where(quarter), orders)
+    return solver.solved(payouts, orders)
 
 
 @query()
@@ -221,5 +220,4 @@ def findings_with_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def reconcile_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, payouts = base(spark, sf_dir)
-    quarter = "settled_on >= '1995-01-01' and settled_on < '1995-04-01'"
-    return cascade.cascade(payouts.where(quarter), orders)
+    return cascade.cascade(payouts, orders)
