@@ -30,6 +30,13 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
 
 
+def cut(runs: list[str], step: int, longest: int = 64, size: int = 16) -> list[str]:
+    """Runs over ``longest`` characters in pieces of ``size``, one every ``step``; the others as they are."""
+    if max(map(len, runs), default=0) <= longest:
+        return runs
+    return [p for r in runs for p in ([r] if len(r) <= longest else [r[i : i + size] for i in range(0, len(r) - size + step, step)])]
+
+
 def lower_ascii(text: str) -> str:
     """A to Z in lower case, everything else unchanged."""
     return text.lower() if text.isascii() else text.encode().lower().decode()  # of bytes, only A to Z have a lower case

@@ -8,7 +8,8 @@ and the best language wins. Scoring is one pass over the rows, without a shuffle
 The model comes from Spark aggregations over a bounded sample of labelled rows (about
 ``most_docs`` of each language, chosen by a hash of the id), and holds at most ``most_words``
 words and ``most_grams`` n-grams of each language, so what is sent to executors is bounded.
-Every document is scored over its whole text.
+Every document is scored over its whole text. A run of over 64 letters (unspaced text)
+counts as its pieces of 16, in training too.
 
 Defined results: null texts, texts without a letter, and all texts where nothing could be
 learnt are ``und`` with score 0; a text whose words and n-grams are all unknown is ``und`` with
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallymark.llm.apply import appended
+from tallymark.llm.common import cut
 
 #: A word: a run of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -39,12 +41,13 @@ MOST_KEPT = 150_000
 
 
 def letters(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Words; a run over 64 letters counts as its pieces, which share ends, so that every n-gram is in one."""
+    return cut(LETTERS.findall(text.lower()), 16 - LONGEST + 1) if text else []
 
 
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of a word with its ends marked; an end alone is no n-gram."""
-    marked = word[:64] if n == 1 else f" {word[:64]} "
+    marked = word if n == 1 else f" {word} "
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 

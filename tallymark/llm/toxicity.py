@@ -9,7 +9,8 @@ the clean passages of a toxic document aren't held against their words.
 
 Only the training rows are sampled: about ``most_docs`` labelled documents of each class, each
 with all its windows. Tasks send a document's distinct words once and its words as codes; the
-windows are places in these, read in blocks. Every document is scored over all its words. The model is a table of one number per hashed n-gram, of fixed size.
+windows are places in these, read in blocks. Every document is scored over all its words. A run
+of over 64 characters (unspaced text) counts as its pieces of 16, one every 8, in both. The model is a table of one number per hashed n-gram, of fixed size.
 
 Defined results: null and empty texts get the score of an empty window, which is the model's
 base rate held under 0.5; repeated labels of a document count as their largest; labels
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.apply import appended
-from tallymark.llm.common import Batcher
+from tallymark.llm.common import Batcher, cut
 
 TOKEN = re.compile(r"\w+")
 BUCKETS, DIM = 1 << 16, 8
@@ -44,12 +45,13 @@ BLOCK = 1 << 15
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+    """Words; a run over 64 characters counts as its pieces, of which one holds any 9 characters of it."""
+    return cut(TOKEN.findall(text.lower()), 8) if text else []
 
 
 def buckets(word: str) -> list[int]:
     """Hashed places of a word and of its character n-grams."""
-    raw = f"<{word[:64]}>"
+    raw = f"<{word}>"
     out = [zlib.crc32(raw.encode())]
     for n in GRAMS:
         out += [zlib.crc32(raw[i : i + n].encode(), n) for i in range(len(raw) - n + 1)]
