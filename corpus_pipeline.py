@@ -36,24 +36,31 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_scores(docs, model, score_col="_score").where(F.col("_score") < TOXIC).select(docs.columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one whose id names the group.
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, ``_row``, stored; rows are in order of id, a null id first.
 
-    Where ids repeat, one of several rows with the same id and text stays.
+    Ids repeat and may be null, so a stage decides by this number.
     """
-    groups = staged(jaccard.linked_components(docs, n=SHINGLE, t100=SIMILAR), "groups")
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    heads = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
+    if "_row" in docs.columns:
+        raise ValueError("column is there already: _row")
+    placed = docs.withColumn("_at", F.monotonically_increasing_id())  # splits ids that many rows share
+    return staged(placed.orderBy(F.col("doc_id").asc_nulls_first(), "_at").drop("_at").withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: one with the group's smallest id. Texts without a word are in no group and stay."""
+    own = keyed(docs)
+    groups = jaccard.linked_components(own, n=SHINGLE, t100=SIMILAR, id_col="_row")
+    heads = groups.where(F.col("component_id") == F.col("_row")).select("_row")
+    return own.join(heads, "_row", "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without passages that stand earlier in the corpus; texts without one stay as they are."""
-    kept = substrings.dedup_substrings(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text").dropDuplicates(["_id"])
-    text = F.when(F.col("_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    own = docs.join(kept, F.col("doc_id") == F.col("_id"), "left").withColumn("_text", text)
-    size = F.when(F.col("_id").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))
+    own = keyed(docs)
+    kept = substrings.dedup_substrings(own, id_col="_row", with_text=True).where("n_removed > 0").select("_row", F.col("kept_text").alias("_kept"))
+    own = own.join(kept, "_row", "left").withColumn("_text", F.coalesce("_kept", "text"))
+    size = F.when(F.col("_kept").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))
     return own.select(*[F.col("_text").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
