@@ -3,16 +3,18 @@
 Reachable sums are counted up to two in two bit sets held as whole numbers, so adding an
 order is a shift and a few bitwise operations. A depth-first search, largest order first,
 lists explanations and is cut by what is still reachable. It runs once for each payout in
-``applyInPandas``: a pool holds the captures of a few days, and pools over ``MAX_POOL`` orders or
-``MAX_TARGET`` paise are refused, so a group is bounded.
+``applyInPandas``. Pools are counted first; those over ``MAX_POOL`` orders or ``MAX_TARGET`` paise are
+refused without being grouped, so a group is bounded.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallymark.operators import blocking
+from tallymark.sources.shared import stored
 
 MAX_TARGET, MAX_POOL, MAX_LISTED, BAND, WINDOW = 20_000_000, 900, 4, 64, 10_000
 #: Steps of the search after which it gives up; a result found so far isn't exhaustive.
@@ -89,7 +91,11 @@ def explain(nets: list[int], target: int, listed: int = MAX_LISTED) -> tuple[str
 
 def solved(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,)) -> DataFrame:
     """(settlement_id, verdict, n_found, order_ids of the first, exhaustive, density) of every payout."""
-    pool = blocking.pools(payouts, orders, lags).select("settlement_id", "credit_paise", "order_id", "net_paise")
+    # counted before anything is grouped: pools that explain() would refuse never become a frame
+    sizes = stored(blocking.pools(payouts, orders, lags).groupBy("settlement_id").agg(F.count("*").alias("n"), F.max("credit_paise").alias("credit")), "pool-sizes")
+    fits = F.col("n").between(1, MAX_POOL) & (F.col("credit") <= MAX_TARGET)
+    small = payouts.join(sizes.where(fits).select("settlement_id"), "settlement_id", "left_semi")
+    pool = blocking.pools(small, orders, lags).select("settlement_id", "credit_paise", "order_id", "net_paise")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["net_paise", "order_id"], ascending=[False, True])
@@ -98,5 +104,7 @@ def solved(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,))
         return pd.DataFrame({"settlement_id": frame["settlement_id"].iloc[:1], "verdict": [verdict], "n_found": [len(found)], "order_ids": [sorted(ids[i] for i in found[0]) if found else []], "exhaustive": [exhaustive], "density": [density]})
 
     done = pool.groupBy("settlement_id").applyInPandas(run, "settlement_id string, verdict string, n_found long, order_ids array<string>, exhaustive boolean, density double")
-    none = payouts.select("settlement_id").join(pool.select("settlement_id").distinct(), "settlement_id", "left_anti").selectExpr("settlement_id", "'CONTRADICTED' as verdict", "0L as n_found", "cast(array() as array<string>) as order_ids", "true as exhaustive", "0.0d as density")
-    return done.unionByName(none)
+    answer = "settlement_id", "verdict", "0L as n_found", "cast(array() as array<string>) as order_ids", "exhaustive", "0.0d as density"
+    refused = sizes.where(~fits).selectExpr("settlement_id", "'INSUFFICIENT' as verdict", "false as exhaustive").selectExpr(*answer)
+    none = payouts.select("settlement_id").join(sizes, "settlement_id", "left_anti").selectExpr("settlement_id", "'CONTRADICTED' as verdict", "true as exhaustive").selectExpr(*answer)
+    return done.unionByName(refused).unionByName(none)
