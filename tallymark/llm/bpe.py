@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -39,6 +40,8 @@ _PRE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L
 #: Beyond Latin letters, the library's own normalizer and pattern are asked.
 _PLAIN = regex.compile(r"[\x00-\u024f]*")
 MOST_KEPT = 400_000
+#: Bytes of pieces and ids that a task of the library's encoder keeps.
+MOST_BYTES = 24 << 20
 
 
 def pieces(text: str | None) -> list[str]:
@@ -55,18 +58,67 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
-class PrefixBPE:
-    """A vocabulary file read for encoding by prefixes."""
+class Vocabulary:
+    """A vocabulary file: how a text is cut into words, and what its tokens are."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, self.path = spec["model"], path
+            self.spec = json.load(f)
+        model, self.path = self.spec["model"], path
         if model.get("end_of_word_suffix") != WORD_END or model.get("dropout"):
             raise ValueError("a vocabulary with word ends and without dropout is needed")
-        self.tokens = {i: t for t, i in model["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._library = None
+
+    def _pre_tokens(self, piece: str) -> list[str]:
+        if _PLAIN.fullmatch(piece):
+            if piece.isascii() and piece.isalpha():
+                return [piece.lower()]
+            if not piece.isascii():
+                piece = unicodedata.normalize("NFC", piece)
+            return _PRE.findall(piece.lower())
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        from tokenizers import NormalizedString, PreTokenizedString
+
+        normal = NormalizedString(piece)
+        self._library.normalizer.normalize(normal)
+        whole = PreTokenizedString(normal.normalized)
+        split = self._library.pre_tokenizer[0] if hasattr(self._library.pre_tokenizer, "__getitem__") else None
+        if split is None:
+            return _PRE.findall(normal.normalized)
+        split.pre_tokenize(whole)
+        return [x for x, _, _ in whole.get_splits() if x]
+
+    def encode_word(self, word: str) -> list[int]:
+        raise NotImplementedError
+
+    def encode_piece(self, piece: str) -> list[int]:
+        """Ids of text without white space."""
+        out: list[int] = []
+        for part in self._special.split(piece) if self._special and "<|" in piece else (piece,):
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                for word in self._pre_tokens(part):
+                    out += self.encode_word(word)
+        return out
+
+    def encode(self, text: str | None) -> list[int]:
+        return [i for x in pieces(text) for i in self.encode_piece(x)]
+
+
+class PrefixBPE(Vocabulary):
+    """A vocabulary file read for encoding by prefixes."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        spec = self.__dict__.pop("spec")
+        model = spec["model"]
+        self.tokens = {i: t for t, i in model["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         # inside, a symbol is one character: a byte's own, or 256 on for a byte that ends a word
         stand_in = {c: b for b, c in enumerate(_byte_chars())}
 
@@ -100,7 +152,6 @@ class PrefixBPE:
         self.lengths = {i: len(t) for t, i in vocab.items()}
         self.kept: dict[str, tuple[str, str, int]] = {}
         self.kept_words: dict[str, list[int]] = {}
-        self._library = None
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens along one edge of a token's merge tree, each with the rank that ends it."""
@@ -149,6 +200,14 @@ class PrefixBPE:
         return True
 
     def encode_word(self, word: str) -> list[int]:
+        ids = self.kept_words.get(word)
+        if ids is None:
+            if len(self.kept_words) >= MOST_KEPT:
+                self.kept_words.clear()
+            ids = self.kept_words[word] = self.by_prefixes(word)
+        return ids
+
+    def by_prefixes(self, word: str) -> list[int]:
         """Ids of one pre-token: its last token for every prefix, then back from the end."""
         raw = word.encode()
         n = len(raw)
@@ -179,47 +238,6 @@ class PrefixBPE:
             at -= lengths[last[at]]
         return ids[::-1]
 
-    def _pre_tokens(self, piece: str) -> list[str]:
-        if _PLAIN.fullmatch(piece):
-            if piece.isascii() and piece.isalpha():
-                return [piece.lower()]
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece)
-            return _PRE.findall(piece.lower())
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.path)
-        from tokenizers import NormalizedString, PreTokenizedString
-
-        normal = NormalizedString(piece)
-        self._library.normalizer.normalize(normal)
-        whole = PreTokenizedString(normal.normalized)
-        split = self._library.pre_tokenizer[0] if hasattr(self._library.pre_tokenizer, "__getitem__") else None
-        if split is None:
-            return _PRE.findall(normal.normalized)
-        split.pre_tokenize(whole)
-        return [x for x, _, _ in whole.get_splits() if x]
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of text without white space."""
-        out: list[int] = []
-        for part in self._special.split(piece) if self._special and "<|" in piece else (piece,):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                for word in self._pre_tokens(part):
-                    ids = self.kept_words.get(word)
-                    if ids is None:
-                        if len(self.kept_words) >= MOST_KEPT:
-                            self.kept_words.clear()
-                        ids = self.kept_words[word] = self.encode_word(word)
-                    out += ids
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
-        return [i for x in pieces(text) for i in self.encode_piece(x)]
-
     def decode(self, ids: list[int]) -> str:
         """The vocabulary has no decoder: its strings, joined by a space."""
         return " ".join(self.tokens[i] for i in ids)
@@ -237,30 +255,53 @@ class PrefixBPE:
         return sum([r[2] for r in rows]), " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
 
 
-class LibraryBPE(PrefixBPE):
-    """The same pieces and pre-tokens, with each word's ids from the tokenizers library."""
+class LibraryBPE(Vocabulary):
+    """The same pieces and pre-tokens, with each word's ids from the tokenizers library.
+
+    It keeps the ids of pieces met before, up to ``MOST_BYTES``, and no automaton.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__(path)
-        self._words = Tokenizer.from_file(path).model
+        del self.spec
+        self._library = Tokenizer.from_file(path)
+        self._words = self._library.model
         self._stand_ins = str.maketrans(dict(enumerate(_byte_chars())))
+        self._kept: dict[str, bytes] = {}
+        self._held = 0
 
     def encode_word(self, word: str) -> list[int]:
         if not (word.isascii() and word.isprintable()):
             word = word.encode().decode("latin-1").translate(self._stand_ins)
         return [t.id for t in self._words.tokenize(word)]
 
+    def packed(self, text: str | None) -> list[bytes]:
+        """The ids of each piece of a text, as little-endian unsigned 32-bit numbers."""
+        parts = pieces(text)
+        out = list(map(self._kept.get, parts))
+        for i in [i for i, raw in enumerate(out) if raw is None]:
+            out[i] = raw = array("I", self.encode_piece(parts[i])).tobytes()
+            if parts[i] not in self._kept:
+                self._held += 200 + 2 * len(parts[i]) + len(raw)
+                if self._held > MOST_BYTES:
+                    self._kept.clear()
+                    self._held = 200 + 2 * len(parts[i]) + len(raw)
+                self._kept[parts[i]] = raw
+        return out
+
 
-_MODELS: dict[tuple[str, bool], PrefixBPE] = {}
+_PREFIX: dict[str, PrefixBPE] = {}
 
 
-def model(path: str, library: bool = False) -> PrefixBPE:
-    """The model of a vocabulary file, read once in each Python process."""
-    if (path, library) not in _MODELS:
-        _MODELS[path, library] = LibraryBPE(path) if library else PrefixBPE(path)
-    return _MODELS[path, library]
+def model(path: str, library: bool = False) -> Vocabulary:
+    """The prefix model of a vocabulary file, read once in each Python process, or a new model by the library."""
+    if library:
+        return LibraryBPE(path)
+    if path not in _PREFIX:
+        _PREFIX[path] = PrefixBPE(path)
+    return _PREFIX[path]
 
 
 def encode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -78,6 +81,15 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Give memory that a task no longer uses back to the system: Python workers are used again
+    by later tasks, which shouldn't find the last one's peak still held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Batcher:
     """Collects output rows and gives Arrow batches of bounded bytes."""
 

@@ -25,26 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallymark.llm import bpe
-from tallymark.llm.common import Batcher, staged
+from tallymark.llm.common import Batcher, released, staged
 
 CAPACITY = 4096
 #: The token that ends a document.
 END = 1
 #: Slots spread out by one row, and rows that one salted group is meant to hold.
 SPREAD, GROUP = 1 << 16, 50_000
-_KEPT: dict[str, bytes] = {}
-
-
-def _ids(text: str | None, model: bpe.PrefixBPE) -> bytes:
-    """A text's ids and the end, as little-endian unsigned 32-bit numbers."""
-    parts = bpe.pieces(text)
-    out = list(map(_KEPT.get, parts))
-    for i in [i for i, raw in enumerate(out) if raw is None]:
-        if len(_KEPT) >= bpe.MOST_KEPT:
-            _KEPT.clear()
-        out[i] = _KEPT[parts[i]] = array("I", model.encode_piece(parts[i])).tobytes()
-    out.append(END.to_bytes(4, "little"))
-    return b"".join(out)
 
 
 def token_pieces(df: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -57,15 +44,17 @@ def token_pieces(df: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: st
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, out = bpe.model(vocab, library=True), Batcher(schema)
+        model, out, end = bpe.LibraryBPE(vocab), Batcher(schema), END.to_bytes(4, "little")
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = _ids(text.as_py(), model)
+                raw = b"".join([*model.packed(text.as_py()), end])
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     more = (array("I", part).tolist(),) if with_ids else ()
                     yield from out.add((key, k, at // 4, len(part) // 4, zlib.crc32(part), *more), 64 + len(part) * with_ids)
         yield out.flush()
+        del model, out, batches
+        released()
 
     wide = df.selectExpr(f"cast(`{id_col}` as string) as id", f"cast(`{text_col}` as string) as text").mapInArrow(run, ddl)
     return wide.selectExpr(f"cast(id as {kind}) as `{id_col}`", *wide.columns[1:])

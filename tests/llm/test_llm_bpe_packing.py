@@ -1,6 +1,8 @@
 import hashlib
+import json
 import struct
 import zlib
+from array import array
 
 import public_tokenizers
 import pytest
@@ -113,3 +115,23 @@ def test_pack_documents(spark):
             end += n
         assert end <= 4096
     assert packing.pack_documents(rows(spark, texts).limit(0), PATH).count() == 0
+
+
+def test_two_vocabularies_in_one_worker(spark, tmp_path):
+    spec = json.load(open(PATH))
+    spec["model"]["merges"] = spec["model"]["merges"][: len(spec["model"]["merges"]) // 8]
+    other = str(tmp_path / "other.json")
+    with open(other, "w") as f:
+        json.dump(spec, f)
+    df = rows(spark, TEXTS).coalesce(1)
+    for path in (PATH, other, PATH):
+        library = Tokenizer.from_file(path)
+        got = {r.doc_id: list(r.ids) for r in packing.pack_documents(df.where("doc_id < 8"), path, with_ids=True).collect()}
+        assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, packing.END] for i, t in enumerate(TEXTS[:8])}
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_BYTES", 2000)
+    model = bpe.LibraryBPE(PATH)
+    text = " ".join(f"word{i} x{i % 3}" for i in range(200))
+    assert b"".join(model.packed(text)) == array("I", ids(text)).tobytes() and model._held <= 2000
