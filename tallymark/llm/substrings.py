@@ -2,14 +2,21 @@
 
 Seeds are winnowed anchors: of the hashes of all ``SEED`` consecutive words, the smallest in
 every window of ``span`` words (the last of equal ones). Equal windows have the same anchor at
-the same place, so only windows around anchors that occur again can be repeats. Chunks ask
-for their anchors' counts; from repeated anchors the match is extended both ways, word by word,
-to all windows that hold the anchor as their own, and the windows' first places in the corpus
-are asked for. Runs of windows that start earlier elsewhere join to maximal repeats, and their
-words are removed.
+the same place, so every repeated window holds an anchor that stands elsewhere too. All places
+of an anchor meet its leader, the earliest place, by a join on the anchor. Anchors on one
+diagonal of two documents chain to a stretch; the leader's words of that stretch are fetched and
+the match is extended both ways, word by word. Matches of ``span`` words and more are kept as
+maximal repeats of what stands earlier, and their words are removed.
 
-No documents meet in pairs, so a passage in a third of all rows costs one key for each chunk.
-Windows are compared by 64-bit hashes, only among those around repeated anchors.
+A window may differ from its leader and still equal another place of the anchor. Such windows
+were in a stretch and weren't matched; they meet again under the hash of all their words, with the
+earliest of them as leader, and are extended in the same way. If a leader of equal hash turns
+out to have other words, these windows go on with another hash, until none is left: hashes
+propose, words decide.
+
+Places meet only their leader, so a passage in a third of all rows costs a row for each of its
+places; stretches asked of one document are dealt into groups of about ``ASKED``. Texts lie
+bucketed by row, so that joins with them move no text.
 
 Defined results: null, empty and short texts have no window and lose nothing; the order is
 (doc_id, start), a null id before all others; rows that repeat a doc_id are places of the same
@@ -19,18 +26,22 @@ document, so an exact repetition of a row leaves both as they are; other columns
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallymark.llm import chunks as C
-from tallymark.llm.common import staged
+from tallymark.llm.chunks import mixed
+from tallymark.llm.common import Batcher, released, shared_path, staged, words
 
 SPAN, SEED = 20, 8
+#: Words that are hashed together, words whose hashes a task keeps, stretches asked of one copy of a text.
+BLOCK, MOST_KEPT, ASKED = 1 << 18, 200_000, 500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-FIRST_ID = np.iinfo(np.int64).min
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,113 +59,244 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     ups, downs = _powers(len(hashes))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * ups[:-1], dtype=np.uint64)))
     starts = np.arange(len(hashes) - n + 1)
-    return C.mixed((sums[starts + n] - sums[starts]) * downs[starts])
-
-
-class Windows:
-    """The windows of a chunk's documents and their anchors."""
-
-    def __init__(self, row, span: int = SPAN):
-        self.span = span
-        self.codes = C.codes_of(row)
-        ids, self.known, _, self.lengths = C.documents(row)
-        self.ids = np.where(self.known, ids, FIRST_ID)
-        self.ends = np.cumsum(self.lengths)
-        self.begins = self.ends - self.lengths
-        hashes = C.word_hashes(row.vocab)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
-        per_doc = np.maximum(self.lengths - span + 1, 0)
-        self.doc = np.repeat(np.arange(len(self.lengths)), per_doc)
-        self.start = np.repeat(self.begins - np.concatenate(([0], np.cumsum(per_doc)[:-1])), per_doc) + np.arange(per_doc.sum()) if len(per_doc) else np.zeros(0, np.int64)
-        self.hashes = rolling(hashes, span)[self.start] if len(self.start) else np.zeros(0, np.uint64)
-        seeds, wide = rolling(hashes, SEED), span - SEED + 1
-        if len(self.start):
-            best = seeds[self.start + wide - 1]
-            place = np.full(len(best), wide - 1)
-            for k in range(wide - 2, -1, -1):  # from the right, so the last of equal ones stays
-                now = seeds[self.start + k]
-                less = now < best
-                best = np.where(less, now, best)
-                place[less] = k
-            self.anchor, self.place = best, self.start + place
-        else:
-            self.anchor, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, at how many places each stands (2: or more), and each window's anchor."""
-        keys, of = np.unique(self.anchor, return_inverse=True)
-        places, first = np.unique(self.place, return_index=True)
-        return keys, np.minimum(np.bincount(of[first], minlength=len(keys)), 2).astype(np.uint8), of
-
-    def extended(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows around repeated anchors: their places, distinct keys, each one's key, and the keys' first windows."""
-        _, _, of = self.anchors()
-        at = np.flatnonzero(repeated[of]) if len(of) else np.zeros(0, np.int64)
-        order = at[np.lexsort((self.start[at] - self.begins[self.doc[at]], self.ids[self.doc[at]]))]
-        keys, first, key_of = np.unique(self.hashes[order], return_index=True, return_inverse=True)
-        return order, keys, key_of, order[first]  # np.unique gives the first place in this order
-
-
-def dedup_substrings(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per row: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    table = staged(C.encode(docs, id_col=id_col, text_col=text_col), "word-chunks")
-    _, buckets = C.buckets_for(table)
-
-    def ask_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                keys, counts, _ = Windows(row, span).anchors()
-                yield C.asked(0, row.chunk, keys, [counts], buckets)
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        _, place, spans = C.merge(frame)
-        n = np.bincount(place, np.concatenate([C.from_planes(d[0], "u1") for d in frame["data"]]))
-        return pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "chunk": frame["chunk"], "answer": [C.planes((n[place[s]] > 1).astype(np.uint8)) for s in spans]})
-
-    repeated = staged(C.answered(table.mapInPandas(ask_anchors, C.ASKED_DDL), count), "repeated-anchors")
-
-    def ask_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                w = Windows(row, span)
-                _, keys, _, first = w.extended(C.answer_of(row.answers, 0, "u1"))
-                doc = w.doc[first]
-                yield C.asked(1, row.chunk, keys, [w.ids[doc], (w.start[first] - w.begins[doc]).astype(np.int64)], buckets)
-
-    def firsts(frame: pd.DataFrame) -> pd.DataFrame:
-        distinct, place, spans = C.merge(frame)
-        ids = np.concatenate([C.from_planes(d[0], "<i8") for d in frame["data"]])
-        starts = np.concatenate([C.from_planes(d[1], "<i8") for d in frame["data"]])
-        order = np.lexsort((starts, ids, place))
-        head = order[np.searchsorted(place[order], np.arange(len(distinct)))]
-        own = (ids == ids[head][place]) & (starts == starts[head][place])
-        return pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "chunk": frame["chunk"], "answer": [C.planes(own[s].astype(np.uint8)) for s in spans]})
-
-    known = C.with_answers(table, repeated)
-    first = staged(C.answered(known.mapInPandas(ask_windows, C.ASKED_DDL), firsts), "first-windows")
-    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-
-    def remove(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                w = Windows(row, span)
-                at, _, key_of, heads = w.extended(C.answer_of(row.answers, 0, "u1"))
-                is_first = C.answer_of(row.answers, 1, "u1").astype(bool)
-                offset = w.start - w.begins[w.doc]
-                own_head = heads[key_of]
-                later = ~is_first[key_of] | (w.ids[w.doc[at]] != w.ids[w.doc[own_head]]) | (offset[at] != offset[own_head])
-                edges = np.zeros(len(w.codes) + 1, np.int32)
-                hits = w.start[at[later]]
-                np.add.at(edges, hits, 1)
-                np.add.at(edges, hits + span, -1)
-                gone = np.cumsum(edges)[:-1] > 0
-                names = C.word_list(row.vocab)
-                before = np.concatenate(([0], np.cumsum(gone)))
-                removed = before[w.ends] - before[w.begins]
-                texts = [b" ".join([names[c] for c in w.codes[a:b][~gone[a:b]].tolist()]) for a, b in zip(w.begins.tolist(), w.ends.tolist(), strict=True)]
-                out = pd.DataFrame({"doc_id": C.id_column(w.ids, w.known), "n_words": w.lengths, "n_removed": removed, "kept_sha256": [hashlib.sha256(t).hexdigest() for t in texts]})
-                if with_text:
-                    out["kept_text"] = [t.decode() for t in texts]
-                yield out
-
-    done = C.with_answers(table, repeated.unionByName(first)).mapInPandas(remove, ddl)
-    return done.withColumnRenamed("doc_id", id_col)
+    return mixed((sums[starts + n] - sums[starts]) * downs[starts])
+
+
+class Hasher:
+    """Hashes of words and of runs of words, cut to ``bits``; words met before keep theirs."""
+
+    def __init__(self, seed: int, bits: int = 64):
+        self.seed, self.shift, self.kept = seed, np.uint64(64 - bits), {}
+
+    def words(self, own: list[str]) -> np.ndarray:
+        out = list(map(self.kept.get, own))
+        for i in [i for i, h in enumerate(out) if h is None]:
+            if len(self.kept) >= MOST_KEPT:
+                self.kept.clear()
+            out[i] = self.kept[own[i]] = xxhash.xxh3_64_intdigest(own[i], self.seed)
+        return np.array(out, np.uint64)
+
+    def runs(self, own: list[str], n: int) -> np.ndarray:
+        return rolling(self.words(own), n) >> self.shift
+
+
+def winnowed(seeds: np.ndarray, wide: int) -> np.ndarray:
+    """Ascending places of the smallest seed of every ``wide`` neighbours, the last of equal ones."""
+    n = len(seeds) - wide + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    best, place = seeds[wide - 1 :].copy(), np.arange(wide - 1, wide - 1 + n)
+    for k in range(wide - 2, -1, -1):  # from the right, so the last of equal ones stays
+        less = seeds[k : k + n] < best
+        best[less] = seeds[k : k + n][less]
+        place[less] = np.flatnonzero(less) + k
+    return np.unique(place)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _places(own: DataFrame, span: int, bits: int) -> DataFrame:
+    """(key, id, row, start) of every anchor."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("start", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(0, bits)
+        for batch in batches:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            rows: list[int] = []
+            n = 0
+
+            def give(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                counts = [len(p) for _, p in held]
+                take = pa.array(np.repeat(rows, counts).astype(np.int64))
+                keys = np.concatenate([k for k, _ in held])
+                return pa.RecordBatch.from_arrays([_signed(keys), batch.column(1).take(take), batch.column(0).take(take), pa.array(np.concatenate([p for _, p in held]).astype(np.int32))], schema=schema)
+
+            for i, text in enumerate(batch.column(2)):
+                mine = words(text.as_py())
+                if len(mine) >= span:
+                    seeds = hasher.runs(mine, SEED)
+                    at = winnowed(seeds, span - SEED + 1)
+                    held.append((seeds[at], at))
+                    rows.append(i)
+                    n += len(at)
+                    if n >= BLOCK:
+                        yield give()
+                        held, rows, n = [], [], 0
+            if held:
+                yield give()
+        released()
+
+    return own.select("row", "id", "text").mapInArrow(run, "key long, id long, row long, start int")
+
+
+def _stretches(places: DataFrame, before: int, after: int) -> DataFrame:
+    """(row, at, n, row0, at0): stretches of words that may equal earlier ones.
+
+    Each place that isn't its key's earliest gives ``before`` words before and ``after`` from it on;
+    those that touch on one diagonal of two rows are one stretch. ``at0`` may lie outside.
+    """
+    first = places.groupBy("key").agg(F.min(F.struct("id", "start", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    leaders = staged(first.selectExpr("key", "first.id as id0", "first.start as start0", "first.row as row0"), "leaders")
+    later = ~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("start") == F.col("start0")))
+    hits = places.join(leaders, "key").where(later).select("row", "row0", (F.col("start") - F.col("start0")).alias("shift"), "start")
+    lines = hits.groupBy("row", "row0", "shift").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # at most the places of one row
+    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("row0", pa.int64()), ("at0", pa.int32())])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = batch.column(3)
+            values = starts.flatten().to_numpy()
+            if not len(values):
+                continue
+            sizes = np.diff(starts.offsets.to_numpy())
+            line = np.repeat(np.arange(len(sizes)), sizes)
+            new = np.ones(len(values), bool)
+            new[1:] = (line[1:] != line[:-1]) | (values[1:] - values[:-1] > before + after)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(values)) - 1
+            of = pa.array(line[head])
+            at = np.maximum(values[head] - before, 0)
+            shift = batch.column(2).take(of).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(at.astype(np.int32)), pa.array((values[tail] + after - at).astype(np.int32)), batch.column(1).take(of), pa.array((at - shift).astype(np.int32))], schema=schema)
+
+    return staged(lines.mapInArrow(chain, "row long, at int, n int, row0 long, at0 int"), "stretches")
+
+
+def _fetched(own: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(row, at, words): the earlier words of each stretch, joined by spaces; empty where there are none."""
+    copies = F.ceil(F.col("n") / ASKED).cast("int")
+    sizes = staged(stretches.groupBy("row0").agg(F.count("*").alias("n")).select("row0", copies.alias("copies")), "asked")
+    asked = stretches.join(sizes, "row0").withColumn("copy", F.pmod(F.xxhash64("row", "at"), F.col("copies")).cast("int"))
+    asked = asked.groupBy("row0", "copy").agg(F.collect_list(F.struct("row", "at", "n", "at0")).alias("asked"))  # about ASKED
+    texts = own.join(sizes, own["row"] == sizes["row0"]).select("row0", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text")
+    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("words", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batcher(schema)
+        for batch in batches:
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                mine = words(text.as_py())
+                for x in wanted.as_py():
+                    low, high = x["at0"], x["at0"] + x["n"]
+                    part = mine[max(low, 0) : max(high, 0)]
+                    if low < 0 or high > len(mine):  # the earlier text begins or ends inside
+                        part = [""] * min(x["n"], max(-low, 0)) + part
+                        part += [""] * (x["n"] - len(part))
+                    found = " ".join(part)
+                    yield from out.add((x["row"], x["at"], found), 48 + len(found))
+        yield out.flush()
+        released()
+
+    return asked.join(texts, ["row0", "copy"]).select("text", "asked").mapInArrow(run, "row long, at int, words string")
+
+
+def _runs(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Maximal runs of true values of at least ``least``."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0]))))
+    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= least]
+
+
+def _extended(own: DataFrame, fetched: DataFrame, span: int, seed: int, bits: int) -> DataFrame:
+    """(row, id, spans, open, keys) of each row with stretches: matches of ``span`` words and more,
+    windows that weren't matched, and these windows' hashes under another seed."""
+    per_row = fetched.groupBy("row").agg(F.collect_list(F.struct("at", "words")).alias("found"))  # bounded by the row's own text
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("spans", pa.binary()), ("open", pa.binary()), ("keys", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, hasher = Batcher(schema), Hasher(seed, bits)
+        for batch in batches:
+            for row, key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                mine = words(text.as_py())
+                n = max(len(mine) - span + 1, 0)
+                met, matched, spans = np.zeros(n, bool), np.zeros(n, bool), []
+                for x in found.as_py():
+                    at, theirs = x["at"], x["words"].split(" ")
+                    ours = mine[at : at + len(theirs)]
+                    met[at : at + len(ours) - span + 1] = True
+                    if ours == theirs:
+                        runs = [(0, len(ours))] if len(ours) >= span else []
+                    else:
+                        runs = _runs(np.array([a == b for a, b in zip(ours, theirs)], bool), span)
+                    for a, b in runs:
+                        spans.append((at + a, at + b))
+                        matched[at + a : at + b - span + 1] = True
+                left = np.flatnonzero(met & ~matched)
+                keys = hasher.runs(mine, span)[left] if len(left) else np.zeros(0, np.uint64)
+                packed = np.array(sorted(set(spans)), "<i4").tobytes(), left.astype("<i4").tobytes(), keys.astype("<u8").tobytes()
+                yield from out.add((row, key, *packed), 64 + sum(map(len, packed)))
+        yield out.flush()
+        released()
+
+    return staged(own.join(per_row, "row").select("row", "id", "text", "found").mapInArrow(run, "row long, id long, spans binary, open binary, keys binary"), "matches")
+
+
+def _open(matches: DataFrame) -> DataFrame:
+    """(key, id, row, start) of windows that weren't matched."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("start", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, keys = ([np.frombuffer(x.as_py(), kind) for x in batch.column(i)] for i, kind in ((2, "<i4"), (3, "<u8")))
+            if starts:
+                take = pa.array(np.repeat(np.arange(len(starts)), [len(s) for s in starts]))
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), batch.column(1).take(take), batch.column(0).take(take), pa.array(np.concatenate(starts))], schema=schema)
+
+    return matches.where("length(open) > 0").select("row", "id", "open", "keys").mapInArrow(run, "key long, id long, row long, start int")
+
+
+def _bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text) in as many buckets by row as there are shuffle partitions: a stored table."""
+    spark = docs.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows.repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd").option("path", shared_path(spark, "texts")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; only the name goes
+    return table
+
+
+def dedup_substrings(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hash_bits: int = 64) -> DataFrame:
+    """Per row: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+
+    ``hash_bits`` is the width of the hashes that propose matches; it changes no result.
+    """
+    if span < SEED:
+        raise ValueError(f"the span has to be at least {SEED} words")
+    own = _bucketed(docs, id_col, text_col)
+    matches = _extended(own, _fetched(own, _stretches(_places(own, span, hash_bits), span - SEED, span)), span, 1, hash_bits)
+    every, seed = matches.select("row", "spans"), 2
+    while True:  # windows that equal a place other than their anchor's leader; again only after a collision
+        stretches = _stretches(_open(matches), 0, span)
+        if not stretches.limit(1).count():
+            break
+        matches = _extended(own, _fetched(own, stretches), span, seed, hash_bits)
+        every, seed = every.unionByName(matches.select("row", "spans")), seed + 1
+    marks = every.where("length(spans) > 0").groupBy("row").agg(F.collect_list("spans").alias("spans"))  # one for each round
+    fields = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
+    ddl = "id long, n_words long, n_removed long, kept_sha256 string"
+    if with_text:
+        fields, ddl = [*fields, ("kept_text", pa.string())], ddl + ", kept_text string"
+    schema = pa.schema(fields)
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batcher(schema)
+        for batch in batches:
+            for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                mine = words(text.as_py())
+                kept = mine
+                if spans:
+                    gone = np.zeros(len(mine), bool)
+                    for a, b in np.concatenate([np.frombuffer(s, "<i4") for s in spans]).reshape(-1, 2).tolist():
+                        gone[a:b] = True
+                    kept = [w for w, g in zip(mine, gone.tolist(), strict=True) if not g]
+                joined = " ".join(kept)
+                row = (key, len(mine), len(mine) - len(kept), hashlib.sha256(joined.encode()).hexdigest())
+                yield from out.add(row + (joined,) * with_text, 128 + len(joined) * with_text)
+        yield out.flush()
+        released()
+
+    done = own.join(marks, "row", "left").select("id", "text", "spans").mapInArrow(remove, ddl)
+    return done.withColumnRenamed("id", id_col)

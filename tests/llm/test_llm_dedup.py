@@ -39,9 +39,11 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_substrings_match_brute_force(spark):
+@pytest.mark.parametrize("bits", [64, 12])
+def test_substrings_match_brute_force(spark, bits):
+    """With 12 bits nearly all proposals collide, and words decide."""
     rows = corpus()
-    got = {r.doc_id: r for r in dedup_substrings(frame(spark, rows), with_text=True).collect() if r.doc_id is not None}
+    got = {r.doc_id: r for r in dedup_substrings(frame(spark, rows), with_text=True, hash_bits=bits).collect() if r.doc_id is not None}
     seen = set()
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         own = words(text)
@@ -60,6 +62,18 @@ def test_substrings_match_brute_force(spark):
     assert sum(r.n_removed for r in got.values()) > 500
 
 
+def test_windows_that_equal_other_places_than_the_leader(spark):
+    """Ten contexts of one seed phrase, each twice: only the second of each goes, and whole."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=9))
+    phrase = " ".join(word() for _ in range(10))
+    contexts = [f"{' '.join(word() for _ in range(15))} {phrase} {' '.join(word() for _ in range(15))}" for _ in range(10)]
+    rows = [(i, t, "", None) for i, t in enumerate(contexts)] + [(20 + i, f"{word()} {t} {word()}", "", None) for i, t in enumerate(contexts)]
+    rows += [(40, " ".join(contexts[3].split()[8:]), "", None), (41, "z " * 100, "", None), (42, phrase, "", None)]
+    got = {r.doc_id: r.n_removed for r in dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {**{i: 0 for i in range(10)}, **{20 + i: 40 for i in range(10)}, 40: 32, 41: 99, 42: 0}
+
+
 def test_substrings_of_repeated_rows_and_empty_tables(spark):
     text = " ".join(f"q{i}" for i in range(30))
     got = dedup_substrings(frame(spark, [(7, text, "", None)] * 2 + [(9, text, "", None)])).collect()
