@@ -81,16 +81,14 @@ class Hasher:
 
 
 def winnowed(seeds: np.ndarray, wide: int) -> np.ndarray:
-    """Ascending places of the smallest seed of every ``wide`` neighbours, the last of equal ones."""
-    n = len(seeds) - wide + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    best, place = seeds[wide - 1 :].copy(), np.arange(wide - 1, wide - 1 + n)
+    """Place of the smallest seed of every ``wide`` neighbours, the last of equal ones."""
+    n = max(len(seeds) - wide + 1, 0)
+    best, place = seeds[wide - 1 :], np.full(n, wide - 1)
     for k in range(wide - 2, -1, -1):  # from the right, so the last of equal ones stays
-        less = seeds[k : k + n] < best
-        best[less] = seeds[k : k + n][less]
-        place[less] = np.flatnonzero(less) + k
-    return np.unique(place)
+        now = seeds[k : k + n]
+        less = now < best
+        best, place = np.where(less, now, best), np.where(less, k, place)
+    return place + np.arange(n)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -104,32 +102,37 @@ def _places(own: DataFrame, span: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(0, bits)
         for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held: list[str] = []  # words of many documents, one after the other
             rows: list[int] = []
-            n = 0
+            sizes: list[int] = []
 
             def give(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                counts = [len(p) for _, p in held]
-                take = pa.array(np.repeat(rows, counts).astype(np.int64))
-                keys = np.concatenate([k for k, _ in held])
-                return pa.RecordBatch.from_arrays([_signed(keys), batch.column(1).take(take), batch.column(0).take(take), pa.array(np.concatenate([p for _, p in held]).astype(np.int32))], schema=schema)
+                ends = np.cumsum(sizes)
+                seeds = hasher.runs(held, SEED)
+                whole = np.ones(len(held) - span + 1, bool)  # windows of one document
+                for k in range(1, span):
+                    whole[ends[:-1] - k] = False
+                places = winnowed(seeds, span - SEED + 1)[whole]
+                places = places[np.concatenate(([True], places[1:] != places[:-1]))]  # ascending
+                of = np.searchsorted(ends, places, "right")
+                take = pa.array(np.array(rows)[of])
+                starts = places - (ends - sizes)[of]
+                held.clear(), rows.clear(), sizes.clear()
+                return pa.RecordBatch.from_arrays([_signed(seeds[places]), batch.column(1).take(take), batch.column(0).take(take), pa.array(starts.astype(np.int32))], schema=schema)
 
             for i, text in enumerate(batch.column(2)):
                 mine = words(text.as_py())
                 if len(mine) >= span:
-                    seeds = hasher.runs(mine, SEED)
-                    at = winnowed(seeds, span - SEED + 1)
-                    held.append((seeds[at], at))
+                    held += mine
                     rows.append(i)
-                    n += len(at)
-                    if n >= BLOCK:
+                    sizes.append(len(mine))
+                    if len(held) >= BLOCK:
                         yield give()
-                        held, rows, n = [], [], 0
             if held:
                 yield give()
         released()
 
-    return own.select("row", "id", "text").mapInArrow(run, "key long, id long, row long, start int")
+    return staged(own.select("row", "id", "text").mapInArrow(run, "key long, id long, row long, start int"), "anchors")
 
 
 def _stretches(places: DataFrame, before: int, after: int) -> DataFrame:
