@@ -5,7 +5,7 @@ has to know about its words or n-grams across the corpus it asks in bulk: each c
 its distinct keys, with what it has counted for them, to buckets by key range; a bucket merges
 the keys of all chunks and answers each chunk in the order it asked. A key that stands in a
 third of all rows is one entry for each chunk, so no bucket is hot, and a bucket's size follows
-from the number of buckets, which grows with the number of chunks.
+from the number of buckets, which grows with the keys asked for.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """An array's bytes by place value, so that the compressor meets runs of zeros."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def from_planes(raw: bytes, kind: str) -> np.ndarray:
@@ -120,12 +120,6 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def buckets_for(chunk_table: DataFrame) -> tuple[int, int]:
-    """Numbers of chunks, and of buckets for questions."""
-    n = chunk_table.select("chunk").count()
-    return n, max(12, 2 * n)
-
-
 def asked(kind: int, chunk: int, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> pd.DataFrame:
     """One row for each bucket: the chunk's ascending distinct keys and what it has for them."""
     at = bounds(keys, buckets)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tallymark.llm import chunks as C
 from tallymark.llm.common import lower_ascii, words
 from tallymark.llm.components import components
 from tallymark.llm.jaccard import linked_components
@@ -129,15 +130,24 @@ def test_good_turing_stays_between_zero_and_the_count():
         assert all(0 < values[r] <= r for r in range(1, FEW + 1))
 
 
-def test_katz_matches_brute_force_and_sums_to_one(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_matches_brute_force_and_sums_to_one(spark, order):
     rows = [r for r in corpus(9) if r[0] is not None]
     docs = frame(spark, rows)
-    model = Model(docs, train=docs["doc_id"] % 7 != 0)
+    model = Model(docs, train=docs["doc_id"] % 7 != 0, order=order)
     got = {r.doc_id: r for r in model.score().collect()}
     texts = {r[0]: words(lower_ascii(r[1] or "")) + ["</end>"] for r in rows}
     train = [i for i in texts if i % 7]
-    single = Counter(w for i in train for w in texts[i])
-    pairs = Counter(p for i in train for p in zip(["<begin>"] + texts[i], texts[i]))
+    grams = {m: Counter() for m in range(1, order + 1)}
+    heads = Counter()
+    for i in train:
+        for k, w in enumerate(texts[i]):
+            before = (["<begin>"] * order + texts[i][:k])[-(order - 1) :]
+            for m in range(1, order + 1):
+                h = tuple(before[len(before) - m + 1 :])
+                grams[m][(*h, w)] += 1
+                if m > 1:
+                    heads[h] += 1
 
     def several(counter):
         out = np.zeros(FEW + 3, int)
@@ -145,33 +155,43 @@ def test_katz_matches_brute_force_and_sums_to_one(spark):
             out[min(v, FEW + 2)] += 1
         return out
 
+    single = Counter({k[0]: v for k, v in grams[1].items()})
     total = sum(single.values())
-    stats = Statistics.of(several(single), several(pairs), total, len(single), len(train))
+    stats = Statistics.of({m: several(g) for m, g in grams.items()}, total, len(single), len(train))
     p1 = {w: float(stats.word(np.array([c]))[0]) for w, c in single.items()}
     assert abs(sum(p1.values()) + stats.unknown - 1) < 1e-9 and stats.unknown > 0
     after = defaultdict(dict)
-    for (h, w), c in pairs.items():
-        after[h][w] = float(stats.pair(np.array([c]))[0])
-    size = Counter()
-    for (h, _), c in pairs.items():
-        size[h] += c
-    alpha = {h: (1 - sum(v.values()) / (size[h] + HELD)) / (1 - sum(p1[w] for w in v)) for h, v in after.items()}
-    for h in list(after)[:20]:  # every context sums to one over all known words and the unknown one
-        mass = sum(after[h][w] / (size[h] + HELD) if w in after[h] else alpha[h] * p for w, p in p1.items()) + alpha[h] * stats.unknown
-        assert abs(mass - 1) < 1e-9
+    for m in range(2, order + 1):
+        for g, c in grams[m].items():
+            after[g[:-1]][g[-1]] = float(stats.discounted(m, np.array([c]))[0]) / (heads[g[:-1]] + HELD)
+    alpha = {}
+
+    def p(h, w):
+        if not h:
+            return p1.get(w, stats.unknown)
+        if h not in after:
+            return p(h[1:], w)
+        return after[h][w] if w in after[h] else alpha[h] * p(h[1:], w)
+
+    for h in sorted(after, key=len):
+        alpha[h] = (1 - sum(after[h].values())) / (1 - sum(p(h[1:], w) for w in after[h]))
+    for h in [h for h in after if len(h) == order - 1][:20]:  # every context sums to one over all known words and the unknown one
+        assert abs(sum(p(h, w) for w in p1) + p(h, "never seen") - 1) < 1e-9
     for i, own in texts.items():
-        score = 0.0
-        for h, w in zip(["<begin>"] + own, own):
-            if w in after.get(h, ()):
-                score += math.log10(after[h][w] / (size[h] + HELD))
-            else:
-                score += math.log10(p1.get(w, stats.unknown)) + (math.log10(alpha[h]) if h in alpha else 0)
+        score = sum(math.log10(p(tuple((["<begin>"] * order + own[:k])[-(order - 1) :]), w)) for k, w in enumerate(own))
         r = got[i]
         base = sum(math.log10((single.get(w, 0) + 0.1) / (total + 0.1 * (len(single) + 1))) for w in own)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in single for w in own), total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
     held = [i for i in texts if i % 7 == 0]
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
+    # the stored tables: distinct n-grams with their counts by order, weights of all contexts
+    stored = {m: [r for r in model.counts.where(f"kind = {-m}").collect()] for m in grams}
+    for m, g in grams.items():
+        assert sum(len(C.unpack_keys(bytes(r["keys"]))) for r in stored[m] if r["keys"]) == len(g)
+        assert sorted(c for r in stored[m] if r["counts"] for c in C.from_planes(bytes(r["counts"]), "<u4").tolist()) == sorted(g.values())
+    kept = [x for r in model.weights.where("kind < 0").collect() for x in C.from_planes(bytes(r["weights"]), "<f4").tolist()]
+    assert sorted(kept) == pytest.approx(sorted(math.log10(a) for a in alpha.values()), rel=1e-4, abs=1e-5)
 
 
 def test_katz_of_odd_tables(spark):
