@@ -49,7 +49,7 @@ FEW, HELD = 5, 0.1
 #: Text in a chunk; a task holds about thirty times as much while it scores one.
 CHUNK_BYTES = 6 << 20
 #: Keys that a range is meant to be asked for, and keys of an order that a chunk is taken to ask for.
-RANGE, ASKED = 1 << 22, {1: 60_000, 2: 500_000}
+RANGE, ASKED = 1 << 20, {1: 60_000, 2: 500_000}
 #: Keys of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x3C2F733E3C2F733E), np.uint64(0x3C733E3C733E3C73)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -212,15 +212,22 @@ class _Known:
 
 def _contexts(order: int, ranges: dict[int, int], stats: Statistics):
     """Rows (kind: order of the context, bucket, chunk, keys, data): what a chunk knows of the
-    n-grams it owns, and which weights it wants."""
+    n-grams it owns, and which weights it wants; and one row of kind 0 with its documents' sums
+    without weights, and the places where the wanted weights belong."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 k = _Known(row, order, ranges, stats)
                 c = k.chunk
+                words = k.counts[1][c.place[1]]
+                base = np.log10((words + 0.1) / (stats.total + 0.1 * (stats.distinct + 1)))
+                logs = np.log10(stats.word(words))  # of the shortest order; longer ones take its place where they know more
+                belongs = []
                 for m in range(1, order):
-                    mine = c.one_of_each(m + 1)[k.owned[m + 1]]
+                    count = k.counts[m + 1][c.place[m + 1]]
+                    logs = np.where(count > 0, np.log10(stats.discounted(m + 1, np.maximum(count, 1))) - np.log10(k.heads[m] + HELD), logs)
+                    mine, wanting = c.one_of_each(m + 1)[k.owned[m + 1]], k.wanted(m)
                     before, none = c.context(m), len(c.keys[m])
                     before = np.where(before < 0, none, before)  # the context of only beginnings comes last
                     at, whole, short = before[mine], k.counts[m + 1][k.owned[m + 1]], k.counts[m][c.place[m][mine]]
@@ -228,11 +235,11 @@ def _contexts(order: int, ranges: dict[int, int], stats: Statistics):
                     less = [np.bincount(at[short == r], minlength=none + 1) for r in range(1, FEW + 1)]
                     low_sum = np.bincount(at, short, none + 1)
                     wanted = np.zeros(none + 1, bool)
-                    wanted[before[k.wanted(m)]] = True
+                    wanted[before[wanting]] = True
                     used = wanted.copy()
                     used[at] = True
                     head, low_head = np.zeros(none + 1, np.int64), np.zeros(none + 1, np.int64)
-                    for tokens in (mine, k.wanted(m)):
+                    for tokens in (mine, wanting):
                         head[before[tokens]] = k.heads[m][tokens]
                         if m > 1:
                             low_head[before[tokens]] = k.heads[m - 1][tokens]
@@ -241,6 +248,13 @@ def _contexts(order: int, ranges: dict[int, int], stats: Statistics):
                     chosen = chosen[np.argsort(keys[chosen])]
                     columns = [*(x.astype("<u4") for x in (*long, *less)), low_sum.astype("<u8"), head.astype("<u8"), low_head.astype("<u8"), wanted.astype(np.uint8)]
                     yield C.asked(m, row.chunk, keys[chosen], [x[chosen] for x in columns], ranges[m])
+                    number = np.zeros(none + 1, np.int32)  # of a context among the answers that come
+                    own = chosen[wanted[chosen]]
+                    number[own] = np.arange(len(own))
+                    belongs += [number[before[wanting]].astype("<i4"), c.doc[wanting].astype("<i4")]
+                sums = [np.bincount(c.doc, x, len(c.sizes)) for x in (words > 0, base, logs)]
+                data = [c.ids, c.known.astype(np.uint8), c.train, c.sizes, sums[0].astype("<i8"), sums[1], sums[2], *belongs]
+                yield pd.DataFrame({"kind": [0], "bucket": [row.chunk % ranges[1]], "chunk": [row.chunk], "keys": [b""], "data": [[np.ascontiguousarray(x).tobytes() for x in data]]})
         released()
 
     return run
@@ -251,6 +265,8 @@ def _weigh(stats: Statistics):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         m = int(frame["kind"].iloc[0])
+        if not m:
+            return frame.assign(answer=None, keys=None, weights=None, parts=frame["data"])[["kind", "bucket", "chunk", "answer", "keys", "weights", "parts"]]
         distinct, place, spans = C.merge(frame)
         columns = [np.concatenate([C.from_planes(d[i], kind) for d in frame["data"]]) for i, kind in enumerate(kinds)]
         sums = [np.bincount(place, x, len(distinct)) for x in columns[: 2 * FEW + 1]]
@@ -262,8 +278,8 @@ def _weigh(stats: Statistics):
         weight = np.log10((1 - seen / (head + HELD)) / (1 - low))
         wanted = columns[-1].astype(bool)
         out = pd.DataFrame({"kind": m, "bucket": frame["bucket"], "chunk": frame["chunk"], "answer": [C.planes(weight[place[s]][wanted[s]]) for s in spans]})
-        out["keys"], out["weights"] = None, None
-        table = {"kind": -m, "bucket": frame["bucket"].iloc[0], "chunk": -1, "answer": None, "keys": C.pack_keys(distinct), "weights": C.planes(weight.astype("<f4"))}
+        out["keys"], out["weights"], out["parts"] = None, None, None
+        table = {"kind": -m, "bucket": frame["bucket"].iloc[0], "chunk": -1, "answer": None, "keys": C.pack_keys(distinct), "weights": C.planes(weight.astype("<f4")), "parts": None}
         return pd.concat((out, pd.DataFrame([table])), ignore_index=True)
 
     return run
@@ -272,34 +288,16 @@ def _weigh(stats: Statistics):
 _SCORE_DDL = "doc_id long, in_training int, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(order: int, ranges: dict[int, int], stats: Statistics):
+def _score(order: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = ("<i8", np.uint8, np.uint8, "<i8", "<i8", "<f8", "<f8", *["<i4"] * (2 * (order - 1)))
         for frame in frames:
             for row in frame.itertuples(index=False):
-                k = _Known(row, order, ranges, stats)
-                c = k.chunk
-                words = k.counts[1][c.place[1]]
-                n_docs = len(c.sizes)
-                base = np.log10((words + 0.1) / (stats.total + 0.1 * (stats.distinct + 1)))
-                with np.errstate(divide="ignore"):
-                    logs = np.log10(stats.word(words))  # the shortest order; longer ones take its place where they know more
-                    for m in range(1, order):
-                        count, head = k.counts[m + 1][c.place[m + 1]], k.heads[m]
-                        longer = np.log10(stats.discounted(m + 1, count)) - np.log10(head + HELD)
-                        weight = np.zeros(len(logs))
-                        tokens = k.wanted(m)
-                        before, none = c.context(m)[tokens], len(c.keys[m])
-                        before = np.where(before < 0, none, before)
-                        asked = np.unique(before)
-                        keys = np.concatenate((c.keys[m], [c.begin[m]])).astype(np.uint64)
-                        by_key = asked[np.argsort(keys[asked])]
-                        at = np.zeros(none + 1)
-                        at[by_key] = C.answer_of(row.answers, 100 + m, "<f8")
-                        weight[tokens] = at[before]
-                        logs = np.where(count > 0, longer, weight + logs)
-                sums = [np.bincount(c.doc, x, n_docs) for x in (words > 0, base, logs)]
-                yield pd.DataFrame({"doc_id": C.id_column(c.ids, c.known), "in_training": c.train.astype(np.int32), "n_tokens": c.sizes, "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]})
-        released()
+                ids, known, train, sizes, n_known, base, score, *belongs = (np.frombuffer(x, k) for x, k in zip(row.parts, kinds, strict=True))
+                for m in range(1, order):
+                    number, doc = belongs[2 * m - 2 : 2 * m]
+                    score = score + np.bincount(doc, C.answer_of(row.answers, m, "<f8")[number], len(ids))
+                yield pd.DataFrame({"doc_id": C.id_column(ids, known.astype(bool)), "in_training": train.astype(np.int32), "n_tokens": sizes, "n_known": n_known, "base_score": base, "score": score})
 
     return run
 
@@ -329,13 +327,12 @@ class Model:
         self.statistics = Statistics.of({m: s[2:] for m, s in sums.items()}, int(sums[1][0]), int(sums[1][1]), int(documents))
         known = C.with_answers(self.chunks, self.counts.where("kind > 0").select("chunk", "kind", "bucket", "answer"))
         asked = known.mapInPandas(_contexts(order, self.ranges, self.statistics), C.ASKED_DDL)
-        self.weights = staged(C.answered(asked, _weigh(self.statistics), C.ANSWER_DDL + ", keys binary, weights binary"), "backoff-weights")
+        self.weights = staged(C.answered(asked, _weigh(self.statistics), C.ANSWER_DDL + ", keys binary, weights binary, parts array<binary>"), "backoff-weights")
 
     def score(self) -> DataFrame:
         """Per row: id, in_training, n_tokens, n_known, train_tokens, base_score, score."""
-        counts = self.counts.where("kind > 0").select("chunk", "kind", "bucket", "answer")
-        weights = self.weights.where("kind > 0").select("chunk", (F.col("kind") + 100).alias("kind"), "bucket", "answer")
-        scored = C.with_answers(self.chunks, counts.unionByName(weights)).mapInPandas(_score(self.order, self.ranges, self.statistics), _SCORE_DDL)
+        parts = self.weights.where("kind = 0").select("chunk", "parts")
+        scored = C.with_answers(parts, self.weights.where("kind > 0").select("chunk", "kind", "bucket", "answer")).mapInPandas(_score(self.order), _SCORE_DDL)
         return scored.select(F.col("doc_id").alias(self.id_col), "in_training", "n_tokens", "n_known", F.lit(self.statistics.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
