@@ -6,14 +6,15 @@ is known, then to shorter ones. A document's score in a language is the mean ove
 and the best language wins. Scoring is one pass over the rows, without a shuffle.
 
 The model comes from Spark aggregations over a bounded sample of labelled rows (about
-``most_docs`` of each language, chosen by a hash of the id), and holds at most ``most_words``
-words and ``most_grams`` n-grams of each language, so what is sent to executors is bounded.
+``most_docs`` of each language, chosen by a hash of the id) and holds all words and n-grams of
+these, so what is sent to executors is bounded by the sample.
 Every document is scored over its whole text. A run of over 64 letters (unspaced text)
 counts as its pieces of 16, in training too.
 
 Defined results: null texts, texts without a letter, and all texts where nothing could be
-learnt are ``und`` with score 0; a text whose words and n-grams are all unknown is ``und`` with
-score 0 too; equal languages go to the smaller name; rows without a language teach nothing.
+learnt are ``und`` with score 0; a text with letters of which nothing is known gets the most
+frequent language and, as its score, one part in so many languages; equal languages go to the
+smaller name; rows without a language teach nothing; repeated rows count as often as they stand there.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallymark.llm.apply import appended
 from tallymark.llm.common import cut
@@ -58,6 +58,8 @@ class Model:
     words: dict[str, int]
     grams: dict[int, dict[str, int]]
     costs: np.ndarray
+    #: The language with most labelled rows.
+    commonest: str = ""
 
     def word_cost(self, word: str) -> np.ndarray | None:
         row = self.words.get(word)
@@ -70,7 +72,7 @@ class Model:
         return None
 
 
-def fit(documents: DataFrame, keep: Column | None = None, most_docs: int = 1500, most_words: int = 20_000, most_grams: int = 20_000) -> Model | None:
+def fit(documents: DataFrame, keep: Column | None = None, most_docs: int = 600) -> Model | None:
     """Learn from rows with text and lang; ``keep`` says which rows may be used."""
     known = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if keep is not None:
@@ -105,9 +107,8 @@ def fit(documents: DataFrame, keep: Column | None = None, most_docs: int = 1500,
 
     chunks = words.select("lang", "entry", "n").mapInArrow(grams_of, "lang string, size int, entry string, n long").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
     table = words.select("lang", F.lit(0).alias("size"), "entry", "n").unionByName(chunks)
-    by = Window.partitionBy("lang", "size")
-    ranked = table.withColumn("total", F.sum("n").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "entry")))
-    rows = ranked.where(F.col("rank") <= F.when(F.col("size") == 0, most_words).otherwise(most_grams)).select("lang", "size", "entry", "n", "total").collect()  # bounded by the two limits for each language
+    totals = table.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    rows = table.join(F.broadcast(totals), ["lang", "size"]).select("lang", "size", "entry", "n", "total").collect()  # totals: six for each language; rows: bounded by the sample
     languages = sorted(counts)
     at = {lang: i for i, lang in enumerate(languages)}
     tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
@@ -123,7 +124,7 @@ def fit(documents: DataFrame, keep: Column | None = None, most_docs: int = 1500,
     if cells:
         row, col, value = zip(*cells, strict=True)
         costs[row, col] = np.minimum(value, PENALTY)
-    return Model(languages, tables.pop(0), tables, costs)
+    return Model(languages, tables.pop(0), tables, costs, max(languages, key=lambda x: (counts[x], [-ord(c) for c in x])))
 
 
 def predictor(model: Model | None):
@@ -135,7 +136,8 @@ def predictor(model: Model | None):
         if model is None:
             return UNKNOWN, 0.0
         total, n, at = np.zeros(len(model.languages)), 0, []
-        for w in letters(text):
+        own = letters(text)
+        for w in own:
             k = kept.get(w)
             if k is None:
                 if len(kept) >= MOST_KEPT:
@@ -153,7 +155,7 @@ def predictor(model: Model | None):
             total += rows[at].sum(0, dtype=np.float64)
             n += len(at)
         if not n:
-            return UNKNOWN, 0.0
+            return (model.commonest, 1 / len(model.languages)) if own else (UNKNOWN, 0.0)
         mean = total / n
         best = int(mean.argmin())
         return model.languages[best], float(1 / (10.0 ** (mean[best] - mean)).sum())
@@ -163,7 +165,7 @@ def predictor(model: Model | None):
 
 def with_languages(documents: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """The rows with all their columns, their language, and its share in a softmax of the mean word scores."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by most_words and most_grams
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     return appended(documents, text_col, lambda: predictor(shared.value), f"`{lang_col}` string, `{score_col}` double")
 
 
