@@ -9,13 +9,15 @@ or unseen; then the final scores of the rows that are left are resolved. The k-t
 earlier blocks is the threshold that later blocks start from.
 
 Queries meet vectors block by block: the grid of (query block, vector block) pairs is spread
-over the cluster by an equi-join on block numbers, and each query's best k of every partition
-are merged. Nothing is broadcast and no group is unbounded: a block holds ``BLOCK`` rows.
+over the cluster by an equi-join on vector length and parts of the block numbers, and each query's
+best k of every partition are merged. Nothing is broadcast and no group is unbounded: a block holds ``BLOCK`` rows.
 
 Defined results: null vectors and those with null, NaN or infinite components take no part,
 neither as queries nor as candidates; a vector meets only vectors of its own length; rows
 that repeat an id are rows of their own, so a query's candidates are all rows but the query's
-own row; ties go to the smaller id; null ids take no part; empty tables give no rows.
+own row; ties go to the smaller id; null ids take no part; empty tables give no rows; other
+columns are left out, whatever their names; components whose scaled value or sums leave 64 bits raise an
+error rather than wrap.
 """
 
 from __future__ import annotations
@@ -97,7 +99,10 @@ class SortedLists:
         together with these may be left out.
         """
         n, dims = self.cells.shape
-        fits = self.largest * int(np.abs(queries).max(initial=0)) * max(1, dims) < 1 << 53
+        most = self.largest * int(np.abs(queries).max(initial=0)) * max(1, dims)
+        if most >= 1 << 62:
+            raise OverflowError("inner products of these vectors can leave 64 bits")
+        fits = most < 1 << 53
         kind = np.float64 if fits else np.int64
         cells, weights = self.cells.astype(kind), queries.astype(kind).T
         up, down = np.maximum(weights, 0), np.minimum(weights, 0)
@@ -122,7 +127,7 @@ class SortedLists:
             cut = np.maximum(np.partition(lower, n - min(k, n), 0)[n - min(k, n)], least[active])
             open_rows = upper >= cut  # a row that was never read has the sum of the frontiers
             counts = open_rows.sum(0)
-            done = (counts <= max(8 * k, n // 16)) | (depth == n)
+            done = (counts <= 4 * k) | (depth == n)
             for i in np.flatnonzero(done).tolist():
                 live[active[i]] = np.flatnonzero(open_rows[:, i])
             active, depth = active[~done], depth * 2
@@ -166,9 +171,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     )
     # the grid: every query block is sent to each vector block of its dimension, where the
     # block itself comes first
-    numbers = stored.select("block", "dim")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # one length of all vectors doesn't meet in one task
+    numbers = stored.select("block", "dim", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("part"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     columns = ["block", "kind", "dim", "ids", "cells", "query_block", "own_block", "own_rows"]
-    sent = asked.join(numbers, "dim").selectExpr("block", "1 as kind", "dim", "query_ids as ids", "query_cells as cells", "query_block", "own_block", "own_rows")
+    sent = asked.join(numbers, ["dim", "part"]).selectExpr("block", "1 as kind", "dim", "query_ids as ids", "query_cells as cells", "query_block", "own_block", "own_rows")
     kept = stored.selectExpr("block", "0 as kind", "dim", "ids", "cells", "0L as query_block", "0L as own_block", "binary('') as own_rows")
     cores = max(1, spark.sparkContext.defaultParallelism)
     rows = kept.select(columns).unionByName(sent.select(columns)).repartition(4 * cores, "block").sortWithinPartitions("block", "kind", "query_block")
