@@ -1,8 +1,9 @@
 """Media columns: ISO base media containers written and walked box by box.
 
 ``store_media`` keeps a byte payload losslessly as uncompressed 8-bit frames in one video
-track; ``read_media`` walks the nested boxes, decodes the sample tables and gives codec,
-duration and the byte ranges of the key frames. It touches the payload only where
+track; ``read_media`` walks the nested boxes, decodes the sample tables of all tracks (sizes,
+chunks, times, key frames) and what movie fragments add to them, and gives codec, duration and
+the byte ranges of the key frames. It touches the payload only where
 ``read_back`` asks for it. Both work on any binary column, one row at a time, without a
 shuffle.
 
@@ -31,8 +32,6 @@ FRAME = WIDTH * HEIGHT
 TIMESCALE = 25
 FRAMES_A_CHUNK = 32
 PAD = b"\x20"
-#: Boxes that hold boxes (fixed values of ISO/IEC 14496-12).
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf", b"udta"}
 
 
 def padded(payload: bytes, unit: int = FRAME) -> bytes:
@@ -130,6 +129,8 @@ class Track:
     offsets: np.ndarray
     sizes: np.ndarray
     keyframes: np.ndarray
+    #: Ticks that each sample lasts.
+    durations: np.ndarray
 
     def ranges(self, which: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Byte ranges (start, end) of the chosen samples, neighbours merged."""
@@ -151,47 +152,132 @@ def _table(data: memoryview, stbl: tuple[int, int], kind: bytes, fields: int, wi
     return np.frombuffer(data, width, n * fields, at[0] + 8).astype(np.int64).reshape(n, fields)
 
 
+def _sizes(data: memoryview, stbl: tuple[int, int]) -> np.ndarray:
+    """Sample sizes: all alike, 32 bits each, or packed in 4, 8 or 16 bits."""
+    if (at := _find(data, *stbl, b"stsz")) is not None:
+        fixed, n = struct.unpack_from(">II", data, at[0] + 4)
+        if not fixed and at[0] + 12 + 4 * n > at[1]:
+            raise ValueError("table b'stsz' is cut off")
+        return np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at[0] + 12).astype(np.int64)
+    if (at := _find(data, *stbl, b"stz2")) is None:
+        raise ValueError("no sample sizes")
+    width, n = data[at[0] + 7], struct.unpack_from(">I", data, at[0] + 8)[0]
+    if width not in (4, 8, 16) or at[0] + 12 + -(-n * width // 8) > at[1]:
+        raise ValueError("table b'stz2' can't be read")
+    if width == 4:
+        pairs = np.frombuffer(data, np.uint8, -(-n // 2), at[0] + 12)
+        return np.stack((pairs >> 4, pairs & 15), 1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, ">u1" if width == 8 else ">u2", n, at[0] + 12).astype(np.int64)
+
+
+def _samples(data: memoryview, stbl: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """Offsets, sizes, key frames and durations of a track's samples by its tables."""
+    none = np.zeros(0, np.int64)
+    sizes = _sizes(data, stbl)
+    n = len(sizes)
+    starts = _table(data, stbl, b"stco", 1)
+    if starts is None:
+        starts = _table(data, stbl, b"co64", 1, ">u8")
+    stsc, stts = _table(data, stbl, b"stsc", 3), _table(data, stbl, b"stts", 2)
+    if starts is None or stsc is None or stts is None:
+        raise ValueError("no chunk or time tables")
+    if not n:
+        return none, none, none, none
+    starts = starts[:, 0]
+    per_chunk = np.repeat(stsc[:, 1], np.diff(np.r_[stsc[:, 0] - 1, len(starts)]))
+    if per_chunk.sum() != n or stts[:, 0].sum() != n:
+        raise ValueError(f"chunks hold {per_chunk.sum()} samples, times {stts[:, 0].sum()}, sizes are {n}")
+    first = np.r_[0, np.cumsum(per_chunk)[:-1]]  # first sample of each chunk
+    before = np.r_[0, np.cumsum(sizes)]
+    offsets = np.repeat(starts - before[first], per_chunk) + before[:-1]
+    sync = _table(data, stbl, b"stss", 1)
+    return offsets, sizes, np.arange(n) if sync is None else sync[:, 0] - 1, np.repeat(stts[:, 1], stts[:, 0])
+
+
+#: Flags of fragment boxes: which optional fields stand there (fixed values of ISO/IEC 14496-12).
+_TFHD_BASE, _TFHD_ENTRY, _TFHD_DURATION, _TFHD_SIZE, _TFHD_FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+_TRUN_OFFSET, _TRUN_FIRST, _TRUN_DURATION, _TRUN_SIZE, _TRUN_FLAGS, _TRUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+_NOT_SYNC = 0x10000
+
+
+def _fragments(data: memoryview, defaults: dict[int, tuple[int, int, int]]) -> dict[int, list[np.ndarray]]:
+    """Of each track number: rows (offset, size, key frame, duration) of its samples in fragments."""
+    out: dict[int, list[np.ndarray]] = {}
+    for kind, a, b in walk(data, 0, len(data)):
+        if kind != b"moof":
+            continue
+        moof, end = a - 8, None  # where the fragment begins; where the run before ended
+        for inner, c, d in walk(data, a, b):
+            if inner != b"traf":
+                continue
+            head = _find(data, c, d, b"tfhd")
+            if head is None:
+                raise ValueError("a fragment lacks tfhd")
+            flags, track = struct.unpack_from(">II", data, head[0])
+            flags, at = flags & 0xFFFFFF, head[0] + 8
+            base = moof
+            if flags & _TFHD_BASE:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            at += 4 * bool(flags & _TFHD_ENTRY)
+            own = list(defaults.get(track, (0, 0, 0)))
+            for k, bit in enumerate((_TFHD_DURATION, _TFHD_SIZE, _TFHD_FLAGS)):
+                if flags & bit:
+                    own[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+            end = base
+            for run, e, f in walk(data, c, d):
+                if run != b"trun":
+                    continue
+                flags, n = struct.unpack_from(">II", data, e)
+                flags, at, start, first = flags & 0xFFFFFF, e + 8, end, None
+                if flags & _TRUN_OFFSET:
+                    start, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+                if flags & _TRUN_FIRST:
+                    first, at = struct.unpack_from(">I", data, at)[0], at + 4
+                present = [bit for bit in (_TRUN_DURATION, _TRUN_SIZE, _TRUN_FLAGS, _TRUN_SHIFT) if flags & bit]
+                if at + 4 * n * len(present) > f:
+                    raise ValueError("table b'trun' is cut off")
+                fields = np.frombuffer(data, ">u4", n * len(present), at).astype(np.int64).reshape(n, len(present))
+                duration, size, marks = (fields[:, present.index(bit)] if bit in present else np.full(n, own[k], np.int64) for k, bit in enumerate((_TRUN_DURATION, _TRUN_SIZE, _TRUN_FLAGS)))
+                if first is not None and n:
+                    marks = np.r_[first, marks[1:]]
+                offsets = start + np.r_[0, np.cumsum(size)[:-1]] if n else np.zeros(0, np.int64)
+                end = start + int(size.sum())
+                out.setdefault(track, []).append(np.stack((offsets, size, (marks & _NOT_SYNC) == 0, duration), 1))
+    return out
+
+
 def read_tracks(media: bytes) -> list[Track]:
-    """Walk a container and decode the sample tables of its tracks."""
+    """Walk a container and decode the sample tables of its tracks, and what fragments add to them."""
     data = memoryview(media)
     moov = _find(data, 0, len(data), b"moov")
     if moov is None:
         raise ValueError("no moov box")
-    tracks = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    if (mvex := _find(data, *moov, b"mvex")) is not None:
+        for kind, a, _ in walk(data, *mvex):
+            if kind == b"trex":
+                number, _, *own = struct.unpack_from(">IIIII", data, a + 4)
+                defaults[number] = tuple(own)
+    more, tracks = _fragments(data, defaults), []
     for kind, a, b in walk(data, *moov):
         if kind != b"trak":
             continue
-        mdhd, hdlr = _find(data, a, b, b"mdia", b"mdhd"), _find(data, a, b, b"mdia", b"hdlr")
+        tkhd, mdhd, hdlr = _find(data, a, b, b"tkhd"), _find(data, a, b, b"mdia", b"mdhd"), _find(data, a, b, b"mdia", b"hdlr")
         stbl = _find(data, a, b, b"mdia", b"minf", b"stbl")
-        if mdhd is None or hdlr is None or stbl is None:
-            raise ValueError("a track lacks mdhd, hdlr or stbl")
-        timescale, duration = struct.unpack_from(">IQ", data, mdhd[0] + 20) if data[mdhd[0]] == 1 else struct.unpack_from(">II", data, mdhd[0] + 12)
+        if tkhd is None or mdhd is None or hdlr is None or stbl is None:
+            raise ValueError("a track lacks tkhd, mdhd, hdlr or stbl")
+        number = struct.unpack_from(">I", data, tkhd[0] + (20 if data[tkhd[0]] == 1 else 12))[0]
+        timescale = struct.unpack_from(">I", data, mdhd[0] + (20 if data[mdhd[0]] == 1 else 12))[0]
         stsd = _find(data, *stbl, b"stsd")
         codec = bytes(data[stsd[0] + 12 : stsd[0] + 16]).decode("latin-1") if stsd else ""
-        stsz = _find(data, *stbl, b"stsz")
-        if stsz is None:
-            raise ValueError("no sample sizes")
-        fixed, n = struct.unpack_from(">II", data, stsz[0] + 4)
-        sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, stsz[0] + 12).astype(np.int64)
-        starts = _table(data, stbl, b"stco", 1)
-        if starts is None:
-            starts = _table(data, stbl, b"co64", 1, ">u8")
-        stsc = _table(data, stbl, b"stsc", 3)
-        if starts is None or stsc is None:
-            raise ValueError("no chunk tables")
-        starts = starts[:, 0]
-        if not len(starts) or not n:
-            tracks.append(Track(bytes(data[hdlr[0] + 8 : hdlr[0] + 12]).decode("latin-1"), codec, timescale, duration, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            continue
-        per_chunk = np.repeat(stsc[:, 1], np.diff(np.r_[stsc[:, 0] - 1, len(starts)]))
-        if per_chunk.sum() != n:
-            raise ValueError(f"chunks hold {per_chunk.sum()} samples, sizes are {n}")
-        first = np.r_[0, np.cumsum(per_chunk)[:-1]]  # first sample of each chunk
-        before = np.r_[0, np.cumsum(sizes)]
-        offsets = np.repeat(starts - before[first], per_chunk) + before[:-1]
-        sync = _table(data, stbl, b"stss", 1)
-        keys = np.arange(n) if sync is None else sync[:, 0] - 1
-        tracks.append(Track(bytes(data[hdlr[0] + 8 : hdlr[0] + 12]).decode("latin-1"), codec, timescale, duration, offsets, sizes, keys))
+        offsets, sizes, keys, durations = _samples(data, stbl)
+        if rows := more.get(number):
+            late = np.concatenate(rows)
+            keys = np.r_[keys, len(sizes) + np.flatnonzero(late[:, 2])]
+            offsets, sizes, durations = np.r_[offsets, late[:, 0]], np.r_[sizes, late[:, 1]], np.r_[durations, late[:, 3]]
+        if len(offsets) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+            raise ValueError("a sample lies outside the file")
+        tracks.append(Track(bytes(data[hdlr[0] + 8 : hdlr[0] + 12]).decode("latin-1"), codec, timescale, int(durations.sum()), offsets, sizes, keys, durations))
     return tracks
 
 
@@ -228,13 +314,14 @@ def read_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row of (id, n_bytes, media): what the container holds, with the payload's digests.
 
     Columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, codec, duration_s, keyframe_ranges, feature, error.
+    media_sha256, codec, duration_s, keyframe_ranges, feature, error; these are the first track's.
+    tracks has handler, codec, duration_s and keyframe_ranges of every track.
     """
     kind = dict(df.dtypes)[id_col]
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([
         ("id", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("keyframe_ranges", ranges), ("feature", pa.string()), ("error", pa.string()),
+        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("keyframe_ranges", ranges), ("feature", pa.string()), ("error", pa.string()), ("tracks", pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("keyframe_ranges", ranges)]))),
     ])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,16 +330,19 @@ def read_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for key, n, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 media = stored.as_py()
                 try:
-                    track = read_tracks(media or b"")[0]
+                    tracks = read_tracks(media or b"")
+                    track = tracks[0]  # the payload is the first track's; the others are in ``tracks``
                     payload = read_back(media, track)
-                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), track.codec.strip(), track.duration / max(1, track.timescale), [{"start": a, "end": b} for a, b in track.ranges(track.keyframes)], feature(track), None)
+                    others = [(x.handler, x.codec.strip(), x.duration / max(1, x.timescale), [{"start": a, "end": b} for a, b in x.ranges(x.keyframes)]) for x in tracks]
+                    others = [dict(zip(("handler", "codec", "duration_s", "keyframe_ranges"), x, strict=True)) for x in others]
+                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), track.codec.strip(), track.duration / max(1, track.timescale), [{"start": a, "end": b} for a, b in track.ranges(track.keyframes)], feature(track), None, others)
                 except (ValueError, IndexError, struct.error) as e:
-                    row = (None,) * 9 + (str(e)[:200],)
+                    row = (None,) * 9 + (str(e)[:200] or "can't be walked", None)
                 yield from out.add((key, n, *row), 512)
         yield out.flush()
 
     wide = df.selectExpr(f"cast(`{id_col}` as string) as id", "n_bytes", "media").mapInArrow(
         read,
-        "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration_s double, keyframe_ranges array<struct<start:bigint,end:bigint>>, feature string, error string",
+        "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration_s double, keyframe_ranges array<struct<start:bigint,end:bigint>>, feature string, error string, tracks array<struct<handler:string,codec:string,duration_s:double,keyframe_ranges:array<struct<start:bigint,end:bigint>>>>",
     )
     return wide.selectExpr(f"cast(id as {kind}) as `{id_col}`", *[f"`{c}`" for c in wide.columns[1:]])
