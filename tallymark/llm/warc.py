@@ -3,13 +3,15 @@
 An archive is a ZIP file with two stored (uncompressed) members: ``archive/data.warc.gz``,
 one gzip member for each WARC record, and ``indexes/index.cdxj``, one line for each record
 with its offset and length. The reader finds the end record, with the ZIP64 one where sizes
-ask for it, walks the central directory, locates the two members and reads records by their
-ranges: nothing is extracted. Archives live in the shared folder, opened through the file
+ask for it, walks the central directory, locates all stored ``.warc`` and ``.warc.gz`` members and
+all ``.cdx``/``.cdxj`` indexes (stored, deflated or gzipped), and reads records by their ranges:
+nothing is extracted. A member that no index names is walked record by record. Archives live in the shared folder, opened through the file
 system of their URI, so any executor reads any archive.
 
 Pages with equal payloads are grouped by digest: the one with the largest page_id is a
-``response`` and the others ``revisit`` it. The groups are aggregated before they are joined
-back on (digest, salt), so a payload that a third of all pages share is spread out.
+``response`` and the others ``revisit`` it. The groups are aggregated and stored before they are
+joined back on the digest, so the join's skewed partitions are split by AQE where a third of all
+pages share a payload.
 
 Defined results: a null html is an empty payload; a null url gets ``urn:page:<id>``; of equal
 payloads, all rows that hold the largest page_id are responses (repeated rows included), and a
@@ -21,16 +23,19 @@ raises an error with its path and offset; other columns are left out.
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -42,7 +47,6 @@ from tallymark.llm.common import Batcher, shared_path, staged
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes after which a task begins another archive, and that one read task is given.
 ARCHIVE_BYTES, READ_BYTES = 64 << 20, 4 << 20
-SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 
@@ -82,11 +86,24 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
         return {k.strip().decode("latin-1").lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
 
     warc = fields(head.split(b"\r\n")[1:])
+    if len(block) < int(warc["content-length"]):
+        raise ValueError("the record is cut off")
     block = block[: int(warc["content-length"])]
+    if not block.startswith(b"HTTP/"):
+        return warc, {}, block
     http, _, body = block.partition(b"\r\n\r\n")
     return warc, fields(http.split(b"\r\n")[1:]), body
 
 
+@contextlib.contextmanager
+def _told(place: str) -> Iterator[None]:
+    """Errors of parsing say where."""
+    try:
+        yield
+    except (ValueError, KeyError, EOFError, OSError, struct.error, zlib.error) as e:
+        raise ValueError(f"{place}: {type(e).__name__}: {e}") from e
+
+
 def _file_system(uri: str):
     from pyarrow import fs
 
@@ -152,27 +169,63 @@ def data_start(f: pa.NativeFile, member: Member) -> int:
     return member.header + 30 + n_name + n_extra
 
 
-def index(f: pa.NativeFile) -> list[tuple[int, int]]:
-    """(offset in the file, length) of every record, from the archive's own index."""
-    members = directory(f)
-    base = data_start(f, members[DATA])
-    if INDEX in members:
-        at = data_start(f, members[INDEX])
-        lines = f.read_at(members[INDEX].size, at).decode().split("\n")
-        return [(base + e["offset"], e["length"]) for e in (json.loads(x.split(" ", 2)[2]) for x in lines if x)]
-    out, end, start = [], base + members[DATA].size, base  # no index: walk the gzip members
+def whole_member(f: pa.NativeFile, member: Member) -> bytes:
+    """A small member's bytes, deflated ones too; gzip files unpacked."""
+    if member.method not in (0, 8):
+        raise ValueError(f"{member.name} is compressed by method {member.method}")
+    raw = f.read_at(member.size, data_start(f, replace(member, method=0)))
+    raw = zlib.decompress(raw, -15) if member.method == 8 else raw
+    return gzip.decompress(raw) if member.name.endswith(".gz") else raw
+
+
+def _walked(f: pa.NativeFile, base: int, end: int, packed: bool) -> list[tuple[int, int]]:
+    """(offset, length) of the records of a member without an index."""
+    out, start = [], base
     while start < end:
-        packed, at = zlib.decompressobj(31), start
-        while not packed.eof and at < end:
-            part = f.read_at(min(1 << 16, end - at), at)
-            packed.decompress(part)
-            at += len(part)
-        length = at - start - len(packed.unused_data)
+        if packed:
+            unzip, at = zlib.decompressobj(31), start
+            while not unzip.eof and at < end:
+                part = f.read_at(min(1 << 16, end - at), at)
+                unzip.decompress(part)
+                at += len(part)
+            if not unzip.eof:
+                raise ValueError(f"the record at {start} is cut off")
+            length = at - start - len(unzip.unused_data)
+        else:
+            head, size = b"", 1 << 12
+            while b"\r\n\r\n" not in head and len(head) < end - start:
+                head, size = f.read_at(min(size, end - start), start), 2 * size
+            lines, found, _ = head.partition(b"\r\n\r\n")
+            n = re.search(rb"(?im)^content-length:\s*(\d+)", lines)
+            if not found or not n:
+                raise ValueError(f"no record at {start}")
+            length = len(lines) + 4 + int(n[1]) + 4
         out.append((start, length))
         start += length
     return out
 
 
+def index(f: pa.NativeFile) -> list[tuple[int, int]]:
+    """(offset in the file, length) of every record of every archive member, by the indexes or else by walking."""
+    members = directory(f)
+    archives = {name: m for name, m in members.items() if name.endswith((".warc", ".warc.gz"))}
+    if not archives:
+        raise ValueError("no WARC member")
+    base, short = {name: data_start(f, m) for name, m in archives.items()}, {name.rpartition("/")[2]: name for name in archives}
+    found: dict[str, set[tuple[int, int]]] = defaultdict(set)
+    for name, member in members.items():
+        if re.search(r"\.cdxj?(\.gz)?$", name):
+            for line in whole_member(f, member).decode().split("\n"):
+                if "{" not in line:
+                    continue
+                e = json.loads(line[line.index("{") :])
+                at = short.get(str(e.get("filename", "")).rpartition("/")[2]) or (next(iter(archives)) if len(archives) == 1 else None)
+                if at is None:
+                    raise ValueError(f"{name} names a file that isn't there: {e.get('filename')!r}")
+                found[at].add((base[at] + int(e["offset"]), int(e["length"])))
+    return [span for name, m in archives.items() for span in (sorted(found[name]) if name in found else _walked(f, base[name], base[name] + m.size, name.endswith(".gz")))]
+
+
 def write_archive(stream: io.IOBase, records: Iterator[tuple[int | None, str | None, bytes]]) -> int:
     """Write (page id, url, record) into one ZIP file; gives the number of records."""
     lines, offset = [], 0
@@ -191,11 +244,11 @@ def write_archive(stream: io.IOBase, records: Iterator[tuple[int | None, str | N
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, record_type, refers_to) for every page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumn("digest", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    own = own.withColumn("digest", F.sha1("payload"))
     groups = own.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
-    salted = groups.select("digest", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    groups = staged(groups.select("digest", "last"), "payload-groups")  # as a table it is one side of a join that AQE splits where a digest is hot
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return own.join(salted, ["digest", "salt"], "left").select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
+    return own.join(groups, "digest", "left").select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
@@ -272,7 +325,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 files, inner = _file_system(path)
-                with files.open_input_file(inner) as f:
+                with files.open_input_file(inner) as f, _told(path):
                     rows, held, n = [], [], 0
                     for start, length in index(f):
                         held += [start, length]
@@ -300,12 +353,15 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 files, inner = _file_system(path)
                 with files.open_input_file(inner) as f:
                     for start, length in zip(spans[::2], spans[1::2], strict=True):
-                        warc, http, body = parse_record(gzip.decompress(f.read_at(length, start)))
-                        digest, kind = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"]
-                        n = int(http["content-length"]) if kind == "revisit" else len(body)
-                        if kind != "revisit" and base32_sha1(body) != digest:
-                            raise ValueError(f"{path} at {start}: the payload's digest isn't {digest}")
-                        row = (number(warc.get("warc-page-id")), warc["warc-target-uri"], kind, number(warc.get("warc-refers-to-page-id")), n, digest)
+                        with _told(f"{path} at {start}"):
+                            raw = f.read_at(length, start)
+                            warc, http, body = parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+                            kind, own = warc["warc-type"], base32_sha1(body)
+                            digest = warc.get("warc-payload-digest", "sha1:" + own).removeprefix("sha1:")
+                            n = number(http.get("content-length")) if kind == "revisit" else len(body)
+                            if kind != "revisit" and own != digest:
+                                raise ValueError(f"the payload's digest isn't {digest}")
+                            row = (number(warc.get("warc-page-id")), warc.get("warc-target-uri"), kind, number(warc.get("warc-refers-to-page-id")), n, digest)
                         yield from out.add(row + ((body if kind != "revisit" else None,) if with_payload else ()), 256 + len(body) * with_payload)
         yield out.flush()
 

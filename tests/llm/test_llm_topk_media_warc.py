@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import random
 import struct
 import zipfile
@@ -79,6 +80,48 @@ def test_walk_reads_long_and_open_boxes():
     assert list(media.walk(memoryview(data), 0, len(data))) == [(b"free", 16, 20), (b"mdat", 28, 31)]
 
 
+def track(number, codec, stbl, handler=b"vide"):
+    tkhd = media._full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0), b"\0" * 60)
+    mdhd = media._full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 10, 0, 0x55C4, 0))
+    stsd = media._full(b"stsd", struct.pack(">I", 1), media._box(codec, b"\0" * 16))
+    return media._box(b"trak", tkhd, media._box(b"mdia", mdhd, media._full(b"hdlr", b"\0" * 4, handler, b"\0" * 12), media._box(b"minf", media._box(b"stbl", stsd, *stbl))))
+
+
+def tables(sizes, starts, packed=None):
+    """Sample tables of one chunk for each sample; times 1, 1, 5."""
+    n = len(sizes)
+    size = media._full(b"stsz", struct.pack(f">II{n}I", 0, n, *sizes)) if packed is None else media._full(b"stz2", struct.pack(">II", packed[0], n), packed[1])
+    return [size, media._full(b"stts", struct.pack(">IIIII", 2, n - 1, 1, 1, 5)), media._full(b"stsc", struct.pack(">IIII", 1, 1, 1, 1)), media._full(b"stco", struct.pack(f">I{n}I", n, *starts)), media._full(b"stss", struct.pack(">II", 1, 2))]
+
+
+def test_all_tracks_packed_sizes_and_times():
+    sizes, starts = [3, 7, 5], [40, 50, 60]
+    movie = media._box(b"moov", track(1, b"avc1", tables(sizes, starts)), track(2, b"mp4a", tables(sizes, starts, (4, bytes([0x37, 0x50]))), b"soun"), track(3, b"abcd", tables(sizes, starts, (16, struct.pack(">3H", *sizes)))))
+    tracks = media.read_tracks(movie)
+    assert [(t.handler, t.codec) for t in tracks] == [("vide", "avc1"), ("soun", "mp4a"), ("vide", "abcd")]
+    for t in tracks:
+        assert (t.sizes.tolist(), t.offsets.tolist(), t.durations.tolist(), t.duration, t.ranges(t.keyframes)) == (sizes, starts, [1, 1, 5], 7, [(50, 57)])
+    short = media._box(b"moov", track(1, b"avc1", tables(sizes, [1, 2, 3])[:1] + tables(sizes, [1, 2, 3])[2:]))
+    with pytest.raises(ValueError):  # without times
+        media.read_tracks(short)
+    with pytest.raises(ValueError):  # a sample outside the file
+        media.read_tracks(media._box(b"moov", track(1, b"avc1", tables(sizes, [10**6] * 3))))
+
+
+def test_fragments_add_samples():
+    empty = [media._full(b"stsz", struct.pack(">II", 0, 0)), *(media._full(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco"))]
+    trex = media._full(b"trex", struct.pack(">IIIII", 1, 1, 9, 4, 0x10000))
+    head = media._box(b"moov", track(1, b"avc1", empty), media._box(b"mvex", trex))
+    run = media._full(b"trun", struct.pack(">IiI", 3, 200, 0), struct.pack(">3I", 4, 6, 8), flags=0x1 | 0x4 | 0x200)  # offset, first flags, sizes
+    plain = media._full(b"trun", struct.pack(">I", 2))  # all by default, after the run before
+    moof = media._box(b"moof", media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 1)), run, plain))
+    data = head + moof + media._box(b"mdat", b"\7" * 200)
+    (t,) = media.read_tracks(data)
+    start = len(head) + 200
+    assert t.sizes.tolist() == [4, 6, 8, 4, 4] and t.offsets.tolist() == [start, start + 4, start + 10, start + 18, start + 22]
+    assert t.durations.tolist() == [9] * 5 and t.keyframes.tolist() == [0]
+
+
 def pages(spark):
     rng = random.Random(1)
     html = ["<p>a</p>", "", None, "é" * 100, "<p>" + "z" * 50_000, "only"]
@@ -151,3 +194,34 @@ def test_zip_directories(tmp_path):
         warc.index(File(packed.getvalue()))
     with pytest.raises(ValueError):
         warc.directory(File(b"nothing"))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Several members by any name, plain ones too, an index deflated and gzipped, a member that no index names."""
+    first, second, third = ([warc.record(i, f"u{i}", b"x" * i, "response", None) for i in range(a, a + 3)] for a in (0, 10, 20))
+    at, lines, packed = 0, [], b""
+    for i, raw in enumerate(first):
+        one = gzip.compress(raw)
+        lines.append(f'u{i} 2020 {json.dumps({"offset": str(at), "length": str(len(one)), "filename": "a.warc.gz"})}')
+        at, packed = at + len(one), packed + one
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        z.writestr("archive/a.warc.gz", packed)
+        z.writestr("archive/b.warc", b"".join(second))
+        z.writestr("archive/sub/c.warc.gz", b"".join(map(gzip.compress, third)))
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()), zipfile.ZIP_DEFLATED)
+    got = warc.read_archives(spark.createDataFrame([(str(path),)], "path string")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, i) for i in (0, 1, 2, 10, 11, 12, 20, 21, 22)]
+
+
+def test_broken_archives_say_where(spark, tmp_path):
+    good = gzip.compress(warc.record(1, "u", b"hello", "response", None))
+    bad = {"cut": [("archive/d.warc.gz", good[:-20])], "none": [("readme.txt", b"")], "digest": [("archive/d.warc.gz", gzip.compress(warc.record(1, "u", b"hello", "response", None).replace(b"hello", b"jello")))]}
+    for name, members in bad.items():
+        path = tmp_path / f"{name}.wacz"
+        with zipfile.ZipFile(path, "w") as z:
+            for m in members:
+                z.writestr(*m)
+        with pytest.raises(Exception, match=f"{name}.wacz"):
+            warc.read_archives(spark.createDataFrame([(str(path),)], "path string")).collect()
