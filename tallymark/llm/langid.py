@@ -72,7 +72,7 @@ class Model:
         return None
 
 
-def fit(documents: DataFrame, keep: Column | None = None, most_docs: int = 600) -> Model | None:
+def fit(documents: DataFrame, keep: Column | None = None, most_docs: int = 400) -> Model | None:
     """Learn from rows with text and lang; ``keep`` says which rows may be used."""
     known = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if keep is not None:
@@ -108,18 +108,19 @@ def fit(documents: DataFrame, keep: Column | None = None, most_docs: int = 600)
     chunks = words.select("lang", "entry", "n").mapInArrow(grams_of, "lang string, size int, entry string, n long").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
     table = words.select("lang", F.lit(0).alias("size"), "entry", "n").unionByName(chunks)
     totals = table.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    rows = table.join(F.broadcast(totals), ["lang", "size"]).select("lang", "size", "entry", "n", "total").collect()  # totals: six for each language; rows: bounded by the sample
+    rows = table.join(F.broadcast(totals), ["lang", "size"]).select("lang", "size", "entry", "n", "total").toArrow()  # totals: six for each language; rows: bounded by the sample
     languages = sorted(counts)
     at = {lang: i for i, lang in enumerate(languages)}
     tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
     cells: list[tuple[int, int, float]] = []
     n_rows = 0
-    for r in rows:
-        entries = tables[r["size"]]
-        if r["entry"] not in entries:
-            entries[r["entry"]] = n_rows
-            n_rows += 1
-        cells.append((entries[r["entry"]], at[r["lang"]], -np.log10(r["n"] / r["total"])))
+    for batch in rows.to_batches(max_chunksize=10_000):
+        for lang, size, entry, n, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            entries = tables[size]
+            if entry not in entries:
+                entries[entry] = n_rows
+                n_rows += 1
+            cells.append((entries[entry], at[lang], -np.log10(n / total)))
     costs = np.full((n_rows, len(languages)), PENALTY, np.float32)
     if cells:
         row, col, value = zip(*cells, strict=True)
