@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns in order of precedence; the first that is found names the text (fixed values).
-PATTERNS = {
-    "IGNORE_INSTRUCTIONS": r"(?i)ignore (all |any )?(previous|prior) instructions",
-    "SYSTEM_PROMPT": r"(?i)system prompt",
-    "SECRET": r"(?i)(password|secret|token|api[_-]?key)\s*[=:]",
-    "BOILERPLATE": r"(?i)all rights reserved|licensed under",
-}
+#: Directives that don't belong in records, in order of precedence; the first found counts (fixed values).
+PATTERNS = (
+    r"(?i)system\s*override",
+    r"(?i)ignore\s+(all\s+)?(previous\s+)?instructions",
+    r"(?i)approve\s+(close|period|verdict)",
+    r"(?i)bypass\s+(verification|blocker|materiality)",
+    r"(?i)verdict\s*:\s*ready_to_close",
+    r"(?i)disregard\s+(all\s+)?blockers?",
+    r"(?i)set\s+status\s+to\s+proven",
+    r"(?i)you\s+are\s+now\s+in\s+developer\s+mode",
+    r"(?i)delete\s+all\s+exceptions?",
+)
 
 
 def first_pattern(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(PATTERNS.items()):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    """What the first pattern that is found matches; null if none is."""
+    found = [F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in PATTERNS]
+    return F.coalesce(*found)
+
+
+def sanitised(text: Column) -> Column:
+    """A text marked as untrusted, its code fences made harmless; empty for null."""
+    return F.when(text.isNull() | (text == ""), "").otherwise(F.concat(F.lit("<untrusted_text>"), F.replace(text, F.lit("```"), F.lit("'''")), F.lit("</untrusted_text>")))
 
 
 def scan(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pattern) of texts in which a pattern stands."""
-    return rows.select(key, first_pattern(F.col(text)).alias("pattern")).where("pattern is not null")
+    """(key, found, sanitised) of texts in which a directive stands."""
+    return rows.select(key, first_pattern(F.col(text)).alias("found"), sanitised(F.col(text)).alias("sanitised")).where("found is not null")
 
 
 def falsify(proposed: DataFrame, explanations: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from tallymark.functions import money
 class Bound:
     """A share of the period's value, held between a floor and a ceiling."""
 
-    bps: int = 50
-    floor: int = 50_000
-    ceiling: int = 1_000_000
+    #: A hundredth of the period's value, at least 100 and at most 100,000 rupees.
+    bps: int = 100
+    floor: int = 10_000
+    ceiling: int = 10_000_000
 
     def allowed(self, total: Column) -> Column:
         share = money.floor_div(total * self.bps, 10_000)

@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import money
 
-#: Share of items of each reason that resolve, and days that takes (fixed values of this engine).
+#: Share of items of each reason that resolve, and days that takes (fixed values).
 PRIORS = {
-    "SEARCH_SPACE_UNCERTAIN": (0.70, 3), "INSUFFICIENT_EVIDENCE": (0.35, 10), "MULTIPLE_VALID_ASSIGNMENTS": (0.45, 7),
-    "MISSING_TRANSACTION": (0.25, 14), "UNKNOWN_ADJUSTMENT": (0.40, 8), "NO_VALID_ASSIGNMENT": (0.30, 12),
-}
+    "TIMING_MISMATCH": (0.88, 3),
+    "REFUND_MISMATCH": (0.72, 5),
+    "UNKNOWN_ADJUSTMENT": (0.45, 7),
+    "MULTIPLE_VALID_ASSIGNMENTS": (0.25, 14),
+    "DUPLICATE_AMOUNT": (0.30, 10),
+    "PARTIAL_SETTLEMENT": (0.65, 5),
+    "MISSING_TRANSACTION": (0.40, 7),
+    "SEARCH_SPACE_UNCERTAIN": (0.55, 3),
+    "CHARGEBACK": (0.18, 30),
+    "DATA_QUALITY": (0.05, 14),
+    "NO_VALID_ASSIGNMENT": (0.20, 14),
+    "INSUFFICIENT_EVIDENCE": (0.35, 7),
+}
+DEFAULT_PRIOR = (0.30, 7)
 
 
 def _pick(column: Column, cases: dict[str, float], other: float) -> Column:
@@ -30,7 +41,7 @@ def _steps(column: Column, steps: list[tuple[int, float]], other: float, strict:
 
 def predict(carried: DataFrame) -> DataFrame:
     """(settlement_id, probability, horizon_days, confidence, routing) of carried items."""
-    p0, days = _pick(F.col("reason"), {k: v[0] for k, v in PRIORS.items()}, 0.3), _pick(F.col("reason"), {k: v[1] for k, v in PRIORS.items()}, 10).cast("long")
+    p0, days = _pick(F.col("reason"), {k: v[0] for k, v in PRIORS.items()}, DEFAULT_PRIOR[0]), _pick(F.col("reason"), {k: v[1] for k, v in PRIORS.items()}, DEFAULT_PRIOR[1]).cast("long")
     age, exposure = F.col("age_days"), F.col("exposure_paise")
     logit = (
         F.ln(F.greatest(F.lit(1e-4), p0) / F.greatest(F.lit(1e-4), 1 - p0))
@@ -41,9 +52,9 @@ def predict(carried: DataFrame) -> DataFrame:
     p = F.bround(F.greatest(F.lit(0.01), F.least(F.lit(0.99), 1 / (1 + F.exp(-logit)))), 4)
     own = carried.withColumn("probability", p).withColumn("base_days", days)
     p = F.col("probability")
-    horizon = F.when(p >= 0.75, F.greatest(F.lit(1), F.col("base_days"))).when(p >= 0.40, F.col("base_days") + 3).otherwise(F.greatest(F.lit(14), F.col("base_days") + 10))
+    horizon = F.when(F.col("reason") == "TIMING_MISMATCH", F.greatest(F.lit(1), F.least(F.col("base_days"), 4 - age))).when(p >= 0.75, F.greatest(F.lit(1), F.col("base_days"))).when(p >= 0.40, F.col("base_days") + 3).otherwise(F.greatest(F.lit(14), F.col("base_days") + 10))
     sure = F.lit(50) + F.when(F.abs(p - 0.5) >= 0.30, 25).otherwise(0) + F.when(age > 20, 10).otherwise(0)
-    routing = F.when((F.col("severity") == "HIGH") | (exposure >= 1_000_000), "MANUAL_AUDIT").when((p >= 0.75) & (age <= 3), "AUTO_RETRY").when(p >= 0.50, "HOLD").otherwise("INVESTIGATE")
+    routing = F.when((F.col("severity") == "HIGH") | (exposure >= 1_000_000), "MANUAL_AUDIT").when(F.col("reason") == "CHARGEBACK", "ESCALATE_FINANCE_DISPUTE").when(F.col("reason") == "DATA_QUALITY", "DATA_OPS_CORRECTION").when((p >= 0.75) & (age <= 3), "AUTO_RESOLVE_NEXT_CYCLE").when(p >= 0.50, "HOLD_FOR_SETTLEMENT_WINDOW").otherwise("INVESTIGATE_OPERATIONAL")
     return own.select("settlement_id", "probability", horizon.cast("long").alias("horizon_days"), F.when(sure >= 75, "HIGH").when(sure >= 45, "MEDIUM").otherwise("LOW").alias("confidence"), routing.alias("routing"))
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import money
-from tallymark.operators import blocking, matching
+from tallymark.operators import blocking
 
 #: Reasons that are worked item by item; the others take one step for all (fixed values).
-PER_ITEM = ("MISSING_TRANSACTION", "UNKNOWN_ADJUSTMENT", "NO_VALID_ASSIGNMENT")
+PER_ITEM = ("UNKNOWN_ADJUSTMENT", "REFUND_MISMATCH", "CHARGEBACK", "PARTIAL_SETTLEMENT", "NO_VALID_ASSIGNMENT")
 
 
 def single_order_findings(payouts: DataFrame, orders: DataFrame) -> DataFrame:
@@ -18,17 +18,22 @@ def single_order_findings(payouts: DataFrame, orders: DataFrame) -> DataFrame:
     One fit is PROVEN, several are AMBIGUOUS; a pool that can't reach the credit is
     CONTRADICTED; what is left needs the subset solver and is INSUFFICIENT here.
     """
-    pool = blocking.pools(payouts, orders)
-    space = blocking.search_space(payouts, orders)
-    fits = matching.single_fits(pool).groupBy("settlement_id").agg(
-        F.count("*").alias("n_fits"), F.min("order_id").alias("order_id"), F.sum("net_paise").alias("fit_net"), F.sum("gross_paise").alias("fit_gross"), F.min("method").alias("method")
-    )
-    own = payouts.join(space, "settlement_id").join(fits, "settlement_id", "left")
+    fit = F.abs(F.col("net_paise") - F.col("credit_paise")) <= 1
+
+    def of_fits(what: str) -> Column:
+        return F.when(fit, F.col(what))
+
+    pool = blocking.pools(payouts, orders)  # met once: sizes and fits in one aggregation
+    met = pool.groupBy("settlement_id").agg(
+        F.count("*").alias("candidates"), F.sum("net_paise").alias("pool_net"), F.count_if(fit).alias("n_fits"), F.min(of_fits("order_id")).alias("order_id"),
+        F.sum(of_fits("net_paise")).alias("fit_net"), F.sum(of_fits("gross_paise")).alias("fit_gross"), F.min(of_fits("method")).alias("method"),
+    )
+    own = payouts.join(met, "settlement_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("pool_net", F.coalesce("pool_net", F.lit(0)).cast("long"))
     n = F.coalesce("n_fits", F.lit(0))
     verdict = F.when(n == 1, "PROVEN").when(n > 1, "AMBIGUOUS").when(F.col("pool_net") < F.col("net_paise") - 1, "CONTRADICTED").otherwise("INSUFFICIENT")
     return own.select(
         "settlement_id", "settled_on", "net_paise", verdict.alias("verdict"), n.alias("n_fits"), F.when(n == 1, F.col("order_id")).alias("order_id"),
-        F.col("fit_net"), F.col("fit_gross"), F.when(n == 1, F.col("method")).alias("method"), "candidates", "pool_net", "integrity",
+        F.col("fit_net"), F.col("fit_gross"), F.when(n == 1, F.col("method")).alias("method"), "candidates", "pool_net", F.lit("HEURISTIC").alias("integrity"), F.lit(None).cast("double").alias("density"),
     )
 
 

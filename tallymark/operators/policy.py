@@ -29,10 +29,10 @@ def wilson_upper(wrong: Column, total: Column, z: float = Z95) -> Column:
     return F.when(total <= 0, F.lit(1.0)).otherwise(F.least(upper, F.lit(1.0)))
 
 
-def cheapness(candidates: Column) -> Column:
-    """How easily a pool explains a sum by chance, by candidates in a thousand."""
-    density = candidates / 1000
-    return F.when(density < 0.02, "sparse").when(density < 0.25, "moderate").otherwise("dense")
+def cheapness(density: Column) -> Column:
+    """How easily a pool explains a sum by chance, by the share of sums near it that it reaches;
+    unmeasured where the solver didn't run."""
+    return F.when(density.isNull(), "unmeasured").when(density < 0.02, "sparse").when(density < 0.25, "moderate").otherwise("dense")
 
 
 def strata(found: DataFrame, members: DataFrame) -> DataFrame:
@@ -41,13 +41,13 @@ def strata(found: DataFrame, members: DataFrame) -> DataFrame:
     true = members.groupBy("settlement_id").agg(F.count("*").alias("k"), F.min("order_id").alias("true_order"))
     proven = found.where("verdict = 'PROVEN'").join(true, "settlement_id", "left")
     right = (F.coalesce("k", F.lit(0)) == 1) & (F.col("true_order") == F.col("order_id"))
-    grouped = proven.groupBy("integrity", cheapness(F.col("candidates")).alias("cheapness")).agg(F.sum(F.when(right, 0).otherwise(1)).alias("wrong"), F.count("*").alias("total"))
+    grouped = proven.groupBy("integrity", cheapness(F.col("density")).alias("cheapness")).agg(F.sum(F.when(right, 0).otherwise(1)).alias("wrong"), F.count("*").alias("total"))
     return grouped.withColumn("p_error", F.when(F.col("total") >= MIN_OBSERVATIONS, wilson_upper(F.col("wrong"), F.col("total"))))
 
 
 def decide(found: DataFrame, risk: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """(settlement_id, verdict, net_paise, p_error, expected_loss, decision)."""
-    own = found.withColumn("cheapness", cheapness(F.col("candidates"))).join(F.broadcast(risk.select("integrity", "cheapness", "p_error")), ["integrity", "cheapness"], "left")  # three strata at most
+    own = found.withColumn("cheapness", cheapness(F.col("density"))).join(F.broadcast(risk.select("integrity", "cheapness", "p_error")), ["integrity", "cheapness"], "left")  # three strata at most
     wrong_post = F.lit(costs.wrong_fixed) + money.floor_div(F.col("net_paise") * costs.wrong_rate_bps, 10_000)
     loss = F.when(F.col("verdict") == "PROVEN", F.ceil(F.col("p_error") * wrong_post).cast("long"))
     decision = (

@@ -103,3 +103,20 @@ def conflict_components(fits: DataFrame) -> DataFrame:
         labels = stepped.select("settlement_id", "component")
         if not stepped.where("was <> component").limit(1).count():
             return labels
+
+
+def harness(found: DataFrame, members: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case and over all: exact, declined and wrong findings, and pairs found, wrong and missed.
+
+    ``found`` has (settlement_id, verdict, proof: order ids joined by spaces)."""
+    cited = found.where("proof is not null").select("settlement_id", F.explode(F.split("proof", " ")).alias("order_id"), F.lit(1).alias("cited"))
+    met = cited.join(members.distinct().withColumn("true", F.lit(1)), ["settlement_id", "order_id"], "full_outer").groupBy("settlement_id").agg(
+        F.count_if(F.col("cited").isNotNull() & F.col("true").isNotNull()).alias("tp"), F.count_if(F.col("true").isNull()).alias("fp"), F.count_if(F.col("cited").isNull()).alias("fn")
+    )
+    said, right = F.col("verdict") == "PROVEN", (F.col("fp") == 0) & (F.col("fn") == 0)
+    own = found.select("settlement_id", "verdict").join(cases, "settlement_id").join(met, "settlement_id")
+    sums = own.rollup("hazard").agg(
+        F.count("*").alias("n"), F.count_if(said & right).alias("exact"), F.count_if(~said).alias("declined"), F.count_if(said & ~right).alias("wrong"),
+        F.sum(F.when(said, F.col("tp")).otherwise(0)).alias("tp"), F.sum(F.when(said, F.col("fp")).otherwise(0)).alias("fp"), F.sum("fn").alias("fn"),
+    )
+    return sums.withColumn("hazard", F.coalesce("hazard", F.lit("all")))

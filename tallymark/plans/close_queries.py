@@ -12,6 +12,7 @@ from tallymark.operators.close import exposure, prediction, readiness
 from tallymark.operators.findings import exceptions
 from tallymark.plans.recon_queries import FINDINGS, base, findings_of
 from tallymark.sources import views
+from tallymark.sources.shared import stored
 from tallymark.sources.views import SQL as VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,7 @@ _Z = policy.Z95
 _JUDGED = (
     VIEWS + FINDINGS
     + f""", true_sets AS (SELECT settlement_id, count(*) AS k, min(order_id) AS true_order FROM truth GROUP BY settlement_id
-), graded AS (SELECT *, CASE WHEN candidates / 1000 < 0.02 THEN 'sparse' WHEN candidates / 1000 < 0.25 THEN 'moderate' ELSE 'dense' END AS cheapness FROM findings
+), graded AS (SELECT *, 'unmeasured' AS cheapness FROM findings
 ), strata0 AS (
     SELECT integrity, cheapness, CAST(sum(CASE WHEN coalesce(k, 0) = 1 AND true_order = order_id THEN 0 ELSE 1 END) AS BIGINT) AS wrong, count(*) AS total
     FROM graded LEFT JOIN true_sets USING (settlement_id) WHERE verdict = 'PROVEN' GROUP BY ALL
@@ -56,9 +57,9 @@ def _close_sql(source: str, prefix: str = "") -> str:
         CAST(coalesce(sum(exposure_paise) FILTER (kind = 'INSUFFICIENT'), 0) AS BIGINT) AS insufficient_paise
     FROM {source} GROUP BY period_id
 ), {prefix}totals AS (
-    SELECT *, total_paise - verified_paise AS net_unresolved_paise, CASE WHEN total_paise <= 0 THEN 50000 ELSE greatest(50000, least(total_paise * 50 // 10000, 1000000)) END AS allowed_paise,
-        CASE WHEN total_paise <= 0 OR total_paise * 50 // 10000 <= 50000 THEN 'FLOOR' WHEN total_paise * 50 // 10000 >= 1000000 THEN 'CEILING' ELSE 'PERCENTAGE' END AS governing,
-        total_paise - verified_paise > CASE WHEN total_paise <= 0 THEN 50000 ELSE greatest(50000, least(total_paise * 50 // 10000, 1000000)) END AS material
+    SELECT *, total_paise - verified_paise AS net_unresolved_paise, CASE WHEN total_paise <= 0 THEN 10000 ELSE greatest(10000, least(total_paise * 100 // 10000, 10000000)) END AS allowed_paise,
+        CASE WHEN total_paise <= 0 OR total_paise * 100 // 10000 <= 10000 THEN 'FLOOR' WHEN total_paise * 100 // 10000 >= 10000000 THEN 'CEILING' ELSE 'PERCENTAGE' END AS governing,
+        total_paise - verified_paise > CASE WHEN total_paise <= 0 THEN 10000 ELSE greatest(10000, least(total_paise * 100 // 10000, 10000000)) END AS material
     FROM {prefix}sums
 ), {prefix}claims AS (
     SELECT settlement_id, order_id FROM findings WHERE verdict = 'PROVEN' AND order_id IN (SELECT order_id FROM findings WHERE verdict = 'PROVEN' GROUP BY order_id HAVING count(DISTINCT settlement_id) > 1)
@@ -96,7 +97,7 @@ _CARRIED = (
 ), predicted AS (
     SELECT settlement_id, probability, CAST(CASE WHEN probability >= 0.75 THEN greatest(1, days) WHEN probability >= 0.40 THEN days + 3 ELSE greatest(14, days + 10) END AS BIGINT) AS horizon_days,
         CASE WHEN 50 + CASE WHEN abs(probability - 0.5) >= 0.30 THEN 25 ELSE 0 END + CASE WHEN age_days > 20 THEN 10 ELSE 0 END >= 75 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
-        CASE WHEN severity = 'HIGH' OR exposure_paise >= 1000000 THEN 'MANUAL_AUDIT' WHEN probability >= 0.75 AND age_days <= 3 THEN 'AUTO_RETRY' WHEN probability >= 0.50 THEN 'HOLD' ELSE 'INVESTIGATE' END AS routing
+        CASE WHEN severity = 'HIGH' OR exposure_paise >= 1000000 THEN 'MANUAL_AUDIT' WHEN probability >= 0.75 AND age_days <= 3 THEN 'AUTO_RESOLVE_NEXT_CYCLE' WHEN probability >= 0.50 THEN 'HOLD_FOR_SETTLEMENT_WINDOW' ELSE 'INVESTIGATE_OPERATIONAL' END AS routing
     FROM scored
 )"""
 )
@@ -113,14 +114,14 @@ def query(sql: str | None = None):
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = findings_of(spark, sf_dir)
+    found = stored(findings_of(spark, sf_dir), "findings")  # read several times
     orders, _ = base(spark, sf_dir)
     return found, policy.decide(found, policy.strata(found, views.truth(orders)))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found, judged = _judged(spark, sf_dir)
-    return exposure.items(exceptions(found), judged), found
+    return stored(exposure.items(exceptions(found), judged), "items"), found
 
 
 @query(_JUDGED + "SELECT * FROM strata")

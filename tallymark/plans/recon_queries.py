@@ -37,7 +37,7 @@ FINDINGS = (
 ), findings AS (
     SELECT s.settlement_id, s.settled_on, s.net_paise,
         CASE WHEN coalesce(f.n_fits, 0) = 1 THEN 'PROVEN' WHEN coalesce(f.n_fits, 0) > 1 THEN 'AMBIGUOUS' WHEN p.pool_net < s.net_paise - 1 THEN 'CONTRADICTED' ELSE 'INSUFFICIENT' END AS verdict,
-        coalesce(f.n_fits, 0) AS n_fits, CASE WHEN f.n_fits = 1 THEN f.order_id END AS order_id, f.fit_net, f.fit_gross, CASE WHEN f.n_fits = 1 THEN f.method END AS method, p.candidates, p.pool_net, p.integrity
+        coalesce(f.n_fits, 0) AS n_fits, CASE WHEN f.n_fits = 1 THEN f.order_id END AS order_id, f.fit_net, f.fit_gross, CASE WHEN f.n_fits = 1 THEN f.method END AS method, p.candidates, p.pool_net, p.integrity, CAST(NULL AS DOUBLE) AS density
     FROM settlements s JOIN space p USING (settlement_id) LEFT JOIN fits f USING (settlement_id)
 ), exceptions0 AS (
     SELECT settlement_id, settled_on, verdict, net_paise AS amount_paise,
@@ -136,7 +136,7 @@ def l2_single_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.single_match(blocking.pools(payouts, orders))
 
 
-@query(VIEWS + POOLS + "SELECT a.settlement_id, a.order_id AS first_order, b.order_id AS second_order, a.credit_paise - a.net_paise - b.net_paise AS residual FROM pool a JOIN pool b ON a.settlement_id = b.settlement_id AND a.order_id < b.order_id AND a.credit_paise - a.net_paise - b.net_paise BETWEEN 0 AND 2")
+@query(VIEWS + POOLS + "SELECT a.settlement_id, a.order_id AS first_order, b.order_id AS second_order, a.credit_paise - a.net_paise - b.net_paise AS residual FROM (SELECT *, credit_paise - net_paise - r AS wanted FROM pool, (VALUES (0), (1), (2)) v(r)) a JOIN pool b ON a.settlement_id = b.settlement_id AND b.net_paise = a.wanted AND a.order_id < b.order_id")
 def pair_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, payouts = base(spark, sf_dir)
     return matching.pair_subsets(blocking.pools(payouts, orders))
@@ -213,6 +213,6 @@ def exception_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIEWS + FINDINGS + """SELECT *, CASE WHEN steps > 0 THEN value_paise // steps END AS leverage FROM (
     SELECT reason, count(*) AS items, CAST(sum(amount_paise) AS BIGINT) AS value_paise, CAST(sum(unexplained_paise) AS BIGINT) AS unexplained_paise, min(settlement_id) AS example,
-        CASE WHEN reason IN ('MISSING_TRANSACTION', 'UNKNOWN_ADJUSTMENT', 'NO_VALID_ASSIGNMENT') THEN count(*) ELSE 1 END AS steps FROM exceptions GROUP BY reason)""")
+        CASE WHEN reason IN ('UNKNOWN_ADJUSTMENT', 'REFUND_MISMATCH', 'CHARGEBACK', 'PARTIAL_SETTLEMENT', 'NO_VALID_ASSIGNMENT') THEN count(*) ELSE 1 END AS steps FROM exceptions GROUP BY reason)""")
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.action_plan(findings_of(spark, sf_dir))

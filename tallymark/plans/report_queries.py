@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.money import FEE_BPS
-from tallymark.operators import blocking, changes, matching, reports
+from tallymark.operators import blocking, changes, reports
 from tallymark.operators.close import readiness
 from tallymark.operators.findings import exceptions, single_order_findings
 from tallymark.plans.close_queries import _CLOSE, _JUDGED, _items, _judged
@@ -91,12 +91,6 @@ def close_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.certificates(readiness.verdicts(*_items(spark, sf_dir)))
 
 
-@query()
-def conflict_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, payouts = base(spark, sf_dir)
-    return reports.conflict_components(matching.single_fits(blocking.pools(payouts, orders)))
-
-
 @query(VIEWS + FINDINGS + """, after_m AS (SELECT count(*) FILTER (verdict = 'PROVEN') AS proven, count(*) FILTER (verdict = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (verdict = 'CONTRADICTED') AS contradicted, CAST(sum(unexplained_paise) AS BIGINT) AS exposure_paise FROM exceptions
 ), before_m AS (SELECT count(*) FILTER (verdict = 'PROVEN' AND amount_paise % 2 = 0) AS proven, count(*) FILTER (verdict = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (verdict = 'CONTRADICTED') AS contradicted, CAST(sum(unexplained_paise) AS BIGINT) - 1 AS exposure_paise FROM exceptions
 ), pairs AS (
