@@ -164,3 +164,30 @@ def policy_simulation(judged: DataFrame, wrong: DataFrame) -> DataFrame:
         F.count_if(posts).alias("posted"), F.count_if(F.col("decision") == "REVIEW").alias("reviewed"), F.count_if(F.col("decision") == "BLOCK").alias("blocked"), total(posts, F.col("net_paise")).alias("posted_paise"),
         total(~posts & bad, F.col("net_paise")).alias("protected_paise"), total(posts, F.col("expected_loss")).alias("expected_loss"), total(posts & bad, cost).alias("realised_loss"),
     )
+
+
+def landscape(space: DataFrame) -> DataFrame:
+    """(reduction, deterministic, payouts, removed): what each reduction took from all search spaces."""
+    rows = F.array(*[F.struct(F.lit(name).alias("reduction"), F.lit(sure).alias("deterministic"), F.col(c).alias("removed")) for name, sure, c in (("date_window", False, "removed_by_date"), ("amount_ceiling", True, "removed_by_amount"))])
+    return space.select(F.inline(rows)).groupBy("reduction", "deterministic").agg(F.count_if(F.col("removed") > 0).alias("payouts"), F.sum("removed").alias("removed"))
+
+
+def gates(judged: DataFrame, postable: DataFrame) -> DataFrame:
+    """(settlement_id, gate_no, gate, passed) of every payout: the gates between a finding and its posting."""
+    own = judged.join(postable.select("settlement_id", "postable"), "settlement_id")
+
+    def gate(no: int, name: str, passed: Column) -> Column:
+        return F.struct(F.lit(no).alias("gate_no"), F.lit(name).alias("gate"), F.coalesce(passed, F.lit(False)).alias("passed"))
+
+    rows = F.array(
+        gate(1, "proven", F.col("verdict") == "PROVEN"), gate(2, "postable", F.col("postable")), gate(3, "measured", F.col("p_error").isNotNull()),
+        gate(4, "under the ceiling", F.col("net_paise") <= 10_000_000), gate(5, "cheaper than review", F.col("expected_loss") < 25_000),
+    )
+    return own.select("settlement_id", F.inline(rows))
+
+
+def reason_shapes(rows: DataFrame, reason: str, amount: str, key: str) -> DataFrame:
+    """(shape, n, amount_paise, largest): texts grouped by what is left without amounts and asides."""
+    shape = F.trim(F.regexp_replace(F.regexp_replace(F.split(F.col(reason), "[—;]")[0], r"[₹\d,.]+", ""), r"\s+", " "))
+    top = F.min(F.struct((-F.col(amount)).alias("minus"), F.col(key).alias("key")))
+    return rows.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"), F.sum(amount).alias("amount_paise"), top.alias("top")).select("shape", "n", "amount_paise", F.col("top.key").alias("largest"))

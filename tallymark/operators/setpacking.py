@@ -1,24 +1,28 @@
 """Which explanations can hold together: set packing within each group of rival payouts.
 
 Payouts are rivals if explanations of theirs share an order; groups of rivals are found by
-spreading labels, and each is solved by branch and bound in ``applyInPandas``. A group over
-``MOST`` explanations isn't solved but told as such, so that a task's work is bounded.
+spreading labels, and each is solved by branch and bound in ``applyInPandas``. The search of a group
+ends after ``STEPS`` choices: what it has found by then is returned as ``BEST_FOUND`` and nothing
+of it is called forced. A group's frame holds its explanations, however many.
 """
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators.reports import conflict_components
 
-MOST = 400
+STEPS = 200_000
 
 
-def best(rows: list[tuple[str, int, frozenset[str]]], banned: frozenset[int] = frozenset()) -> tuple[tuple[int, int], list[int]]:
+def best(rows: list[tuple[str, int, frozenset[str]]], banned: frozenset[int] = frozenset()) -> tuple[tuple[int, int], list[int], bool]:
     """Most payouts explained, then most paise: rows are (payout, paise, orders), one for each
-    payout at most, every order once. Gives (count, paise) and the places of the chosen rows."""
+    payout at most, every order once. Gives (count, paise), the places of the chosen rows, and
+    whether the search was exhaustive."""
     by_payout: dict[str, list[int]] = {}
     for i, (payout, _, _) in enumerate(rows):
         if i not in banned:
@@ -29,12 +33,15 @@ def best(rows: list[tuple[str, int, frozenset[str]]], banned: frozenset[int] = f
     for k in range(len(payouts) - 1, -1, -1):
         after[k] = after[k + 1] + max(0, most[k])
     top: tuple[tuple[int, int], list[int]] = ((0, 0), [])
+    steps = 0
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * len(payouts) + 1_000))
 
     def go(k: int, used: frozenset[str], score: tuple[int, int], chosen: list[int]) -> None:
-        nonlocal top
+        nonlocal top, steps
+        steps += 1
         if score > top[0]:
             top = score, list(chosen)
-        if k == len(payouts) or (score[0] + len(payouts) - k, score[1] + after[k]) <= top[0]:
+        if k == len(payouts) or steps > STEPS or (score[0] + len(payouts) - k, score[1] + after[k]) <= top[0]:
             return
         for i in by_payout[payouts[k]]:
             if not used & rows[i][2]:
@@ -44,7 +51,7 @@ def best(rows: list[tuple[str, int, frozenset[str]]], banned: frozenset[int] = f
         go(k + 1, used, score, chosen)
 
     go(0, frozenset(), (0, 0), [])
-    return top
+    return *top, steps <= STEPS
 
 
 def packed(explanations: DataFrame) -> DataFrame:
@@ -58,12 +65,11 @@ def packed(explanations: DataFrame) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["settlement_id", "explanation"])
         out = frame[["settlement_id", "explanation", "component"]].copy()
-        if len(frame) > MOST:
-            return out.assign(chosen=False, forced=False, state="TOO_LARGE")
         rows = [(s, int(p), frozenset(o)) for s, p, o in zip(frame["settlement_id"], frame["net_paise"], frame["order_ids"], strict=True)]
-        score, chosen = best(rows)
-        forced = {i for i in chosen if best(rows, frozenset([i]))[0] < score}
-        return out.assign(chosen=[i in chosen for i in range(len(rows))], forced=[i in forced for i in range(len(rows))], state="SOLVED")
+        score, chosen, whole = best(rows)
+        without = {i: best(rows, frozenset([i])) for i in chosen} if whole else {}
+        forced = {i for i, (less, _, sure) in without.items() if sure and less < score}
+        return out.assign(chosen=[i in chosen for i in range(len(rows))], forced=[i in forced for i in range(len(rows))], state="SOLVED" if whole else "BEST_FOUND")
 
     joined = explanations.join(parts, "settlement_id").select("settlement_id", "explanation", "net_paise", "order_ids", "component")
     return joined.groupBy("component").applyInPandas(run, "settlement_id string, explanation long, component string, chosen boolean, forced boolean, state string")

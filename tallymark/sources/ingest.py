@@ -52,3 +52,24 @@ def settlement_rollup(read: DataFrame) -> DataFrame:
     """Per settlement: the sum of credits less debits over all counted rows, unmatched ones too."""
     signed = F.when(F.col("kind") == "payment", F.col("amount_paise")).otherwise(-F.col("amount_paise"))
     return read.where("status in ('ACCEPTED', 'UNMATCHED')").groupBy("settlement_id").agg(F.sum(signed).alias("net_paise"), F.count("*").alias("rows"), F.max("created_at").alias("settled_at"))
+
+
+def objects(lines: DataFrame) -> DataFrame:
+    """Lines (idx, line) of JSON: idx, fields (null where the line isn't an object) and the reason against it."""
+    fields = F.from_json("line", "map<string,string>")
+    return lines.select("idx", fields.alias("fields"), F.when(fields.isNull(), "NOT_AN_OBJECT").alias("reason"))
+
+
+def snapshot(lines: DataFrame) -> DataFrame:
+    """One row for a load of payment lines: rows, rejects, orders, the share of orders linked to a payment,
+    gross (the amount, else credit, fee and tax together) and the last reference seen."""
+    read = objects(lines)
+
+    def whole(name: str) -> Column:
+        return F.col("fields")[name].try_cast("bigint")
+
+    ok = F.col("reason").isNull()
+    gross = F.coalesce(whole("amount"), whole("credit") + whole("fee") + whole("tax"))
+    linked = ok & (F.trim(F.coalesce(F.col("fields")["order_id"], F.lit(""))) != "")
+    sums = read.agg(F.count("*").alias("rows"), F.count_if(~ok).alias("rejected"), F.count_if(ok).alias("orders"), F.count_if(linked).alias("linked"), F.sum(gross).alias("gross_paise"), F.max_by(F.col("fields")["utr"], F.when(F.col("fields")["utr"].isNotNull(), F.col("idx"))).alias("last_utr"))
+    return sums.select("rows", "rejected", "orders", "gross_paise", "last_utr", F.round(F.col("linked") / F.greatest(F.col("orders"), F.lit(1)), 6).alias("linked_fraction"))

@@ -33,7 +33,8 @@ def test_packing_against_all_choices():
                 used = [o for i in c for o in rows[i][2]]
                 if len({rows[i][0] for i in c}) == k and len(used) == len(set(used)):
                     top = max(top, (k, sum(rows[i][1] for i in c)))
-        score, chosen = setpacking.best(rows)
+        score, chosen, whole = setpacking.best(rows)
+        assert whole
         assert score == top == (len(chosen), sum(rows[i][1] for i in chosen))
 
 
