@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,11 @@ class Bound:
         share = money.floor_div(total * self.bps, 10_000)
         return F.when(total <= 0, F.lit(self.floor)).otherwise(F.greatest(F.lit(self.floor), F.least(share, F.lit(self.ceiling)))).cast("long")
 
+    def version(self) -> str:
+        """A fingerprint of the three numbers."""
+        named = {"ceiling_paise": self.ceiling, "floor_paise": self.floor, "threshold_bps": self.bps}
+        return "materiality_" + hashlib.sha256(json.dumps(named, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
+
     def governing(self, total: Column) -> Column:
         share = money.floor_div(total * self.bps, 10_000)
         return F.when((total <= 0) | (share <= self.floor), "FLOOR").when(share >= self.ceiling, "CEILING").otherwise("PERCENTAGE")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.plans import boundary_queries, close_queries, evidence_queries, ingest_queries, panel_queries, recon_queries, report_queries
+from tallymark.plans import boundary_queries, close_queries, evidence_queries, ingest_queries, panel_queries, recon_queries, report_queries, scope_queries
 
-_MODULES = (recon_queries, close_queries, ingest_queries, report_queries, evidence_queries, boundary_queries, panel_queries)
+_MODULES = (recon_queries, close_queries, ingest_queries, report_queries, evidence_queries, boundary_queries, panel_queries, scope_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
