@@ -23,20 +23,19 @@ def nodes(graph: DataFrame) -> DataFrame:
     return both.withColumn("stage", F.substring_index("node_id", ":", 1))
 
 
-def closure(graph: DataFrame, start: DataFrame, backward: bool = True, steps: int = 12) -> DataFrame:
+def closure(graph: DataFrame, start: DataFrame, backward: bool = True) -> DataFrame:
     """(root, node_id): everything reached from each start node (column node_id), itself too.
 
-    The graph's depth is fixed by its stages, so the walk ends after a few rounds; each
-    round joins only the nodes that the last one added.
+    The walk goes on until a round adds nothing, circles included; each round joins only
+    the nodes that the last one added.
     """
     near = graph.selectExpr("target as at", "source as next") if backward else graph.selectExpr("source as at", "target as next")
     found = front = start.select(F.col("node_id").alias("root"), "node_id").distinct()
-    for _ in range(steps):
+    while True:
         front = shared.stored(front.join(near, front["node_id"] == near["at"]).select("root", F.col("next").alias("node_id")).distinct().join(found, ["root", "node_id"], "left_anti"), "frontier")
         if not front.limit(1).count():
-            break
+            return found
         found = found.unionByName(front)
-    return found
 
 
 def integrity(graph: DataFrame, known: DataFrame) -> DataFrame:

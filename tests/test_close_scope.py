@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tallymark.operators import lineage
 from tallymark.operators.close import certificate, exposure, readiness, scope
 
 FOUND = "settlement_id string, verdict string, order_id string, fit_gross long, method string, net_paise long, candidates int, integrity string"
@@ -82,3 +83,11 @@ def test_tampering_shows(spark):
     assert all(r.seal_holds for r in certificate.verified(other, stops, carried).collect())
     less = {r.period_id: r for r in certificate.verified(issued, stops.where("ref_id <> 's2'"), carried.limit(0)).collect()}
     assert not less["2024-05"].blockers_hold and less["2024-06"].blockers_hold and not less["2024-05"].carry_forward_holds and less["2024-06"].carry_forward_holds
+
+
+def test_walks_end_with_the_graph(spark):
+    chain = [(f"n{k}", f"n{k + 1}", "X") for k in range(14)] + [("n14", "n13", "X")]  # longer than the stages, with a circle
+    graph = spark.createDataFrame(chain, "source string, target string, relationship string")
+    start = spark.createDataFrame([("n0",)], "node_id string")
+    assert {r.node_id for r in lineage.closure(graph, start, backward=False).collect()} == {f"n{k}" for k in range(15)}
+    assert [r.node_id for r in lineage.closure(graph, start).collect()] == ["n0"]
