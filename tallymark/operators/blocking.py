@@ -1,13 +1,14 @@
 """Blocking: which captures may belong to a payout, by inverted calendar and amount.
 
 A payout of a day can only hold captures of the days that settle on it, so candidates come
-from an equi-join on the settlement day through the calendar dimension (one row for each day
-and lag); the amount ceiling is a condition of that join.
+from an equi-join on the settlement day, which is reckoned from the capture day for each lag; the
+amount ceiling is a condition of that join. Sizes and single fits have ways of their own,
+which don't form the pool.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import calendar as cal
@@ -15,8 +16,8 @@ from tallymark.functions import calendar as cal
 
 def dated(orders: DataFrame, lags: tuple[int, ...]) -> DataFrame:
     """Orders with each day they may settle on (column pool_day), once for each such day."""
-    days = cal.calendar(orders, "captured_on", lags).select("captured_on", F.col("settled_on").alias("pool_day")).distinct()
-    return orders.join(days, "captured_on")
+    days = F.array_distinct(F.array(*[cal.business_days_after(F.col("captured_on"), n) for n in lags]))
+    return orders.where("captured_on is not null").withColumn("pool_day", F.explode(days))
 
 
 def pools(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,)) -> DataFrame:
@@ -25,6 +26,40 @@ def pools(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,)) -
     return own.join(dated(orders.where("net_paise > 0"), lags), "pool_day").where(F.col("net_paise") <= F.col("credit_paise")).drop("pool_day")
 
 
+def credit_fits(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,), slack: int = 1) -> DataFrame:
+    """The rows of ``pools`` whose one order comes within ``slack`` of the credit, from below.
+
+    An equi-join on day and amount: the rest of the pool isn't formed.
+    """
+    own = payouts.select("settlement_id", F.col("settled_on").alias("pool_day"), F.col("net_paise").alias("credit_paise"))
+    wanted = own.withColumn("net_paise", F.explode(F.array(*[F.col("credit_paise") - n for n in range(slack + 1)])))
+    return wanted.join(dated(orders.where("net_paise > 0"), lags), ["pool_day", "net_paise"]).drop("pool_day")
+
+
+def band(net: Column) -> Column:
+    """A number that never falls as an amount grows: four to each doubling; null unless positive."""
+    return F.when(net > 0, F.floor(F.log2(net) * 4)).cast("int")
+
+
+def pool_sizes(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,)) -> DataFrame:
+    """(settlement_id, in_window, candidates, pool_net): the size of each window and pool that holds an order.
+
+    Exact, but a payout meets the day's bands (aggregated before the join) instead of the day's
+    orders; only orders of the credit's own band are compared one by one. Rows grow with payouts times
+    bands, not with payouts times orders of a day.
+    """
+    own = payouts.select("settlement_id", F.col("settled_on").alias("pool_day"), F.col("net_paise").alias("credit_paise"), band(F.col("net_paise")).alias("own_band"))
+    days = orders.select("captured_on", "net_paise", band(F.col("net_paise")).alias("band"))
+    whole = days.groupBy("captured_on", "band").agg(F.count("*").alias("n"), F.sum("net_paise").alias("net"))
+    under = F.col("band") < F.col("own_band")
+    none = F.lit(0).cast("long")
+    below = own.join(dated(whole, lags), "pool_day").select("settlement_id", F.col("n").alias("in_window"), F.when(under, F.col("n")).otherwise(none).alias("candidates"), F.when(under, F.col("net")).otherwise(none).alias("pool_net"))
+    same = dated(days.where("band is not null"), lags)
+    edge = own.join(same, (own["pool_day"] == same["pool_day"]) & (own["own_band"] == same["band"]) & (same["net_paise"] <= own["credit_paise"]))
+    edge = edge.select("settlement_id", none.alias("in_window"), F.lit(1).cast("long").alias("candidates"), F.col("net_paise").alias("pool_net"))
+    return below.unionByName(edge).groupBy("settlement_id").agg(*[F.sum(c).alias(c) for c in ("in_window", "candidates", "pool_net")])
+
+
 def search_space(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,)) -> DataFrame:
     """Per payout: universe, what each reduction removed, candidates and integrity.
 
@@ -32,9 +67,7 @@ def search_space(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] =
     reduction is HEURISTIC at best.
     """
     universe = orders.agg(F.count("*").alias("universe"))
-    window = dated(orders, lags).groupBy("pool_day").agg(F.count("*").alias("in_window"))
-    inside = pools(payouts, orders, lags).groupBy("settlement_id").agg(F.count("*").alias("candidates"), F.sum("net_paise").alias("pool_net"))
-    own = payouts.join(window, payouts["settled_on"] == window["pool_day"], "left").join(inside, "settlement_id", "left").crossJoin(F.broadcast(universe))  # one row
+    own = payouts.select("settlement_id").join(pool_sizes(payouts, orders, lags), "settlement_id", "left").crossJoin(F.broadcast(universe))  # one row
     in_window, candidates = F.coalesce("in_window", F.lit(0)), F.coalesce("candidates", F.lit(0))
     return own.select(
         "settlement_id", "universe", (F.col("universe") - in_window).alias("removed_by_date"), (in_window - candidates).alias("removed_by_amount"),

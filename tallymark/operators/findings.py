@@ -18,17 +18,11 @@ def single_order_findings(payouts: DataFrame, orders: DataFrame) -> DataFrame:
     One fit is PROVEN, several are AMBIGUOUS; a pool that can't reach the credit is
     CONTRADICTED; what is left needs the subset solver and is INSUFFICIENT here.
     """
-    fit = F.abs(F.col("net_paise") - F.col("credit_paise")) <= 1
-
-    def of_fits(what: str) -> Column:
-        return F.when(fit, F.col(what))
-
-    pool = blocking.pools(payouts, orders)  # met once: sizes and fits in one aggregation
-    met = pool.groupBy("settlement_id").agg(
-        F.count("*").alias("candidates"), F.sum("net_paise").alias("pool_net"), F.count_if(fit).alias("n_fits"), F.min(of_fits("order_id")).alias("order_id"),
-        F.sum(of_fits("net_paise")).alias("fit_net"), F.sum(of_fits("gross_paise")).alias("fit_gross"), F.min(of_fits("method")).alias("method"),
+    fits = blocking.credit_fits(payouts, orders).groupBy("settlement_id").agg(
+        F.count("*").alias("n_fits"), F.min("order_id").alias("order_id"), F.sum("net_paise").alias("fit_net"), F.sum("gross_paise").alias("fit_gross"), F.min("method").alias("method"),
     )
-    own = payouts.join(met, "settlement_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("pool_net", F.coalesce("pool_net", F.lit(0)).cast("long"))
+    sizes = blocking.pool_sizes(payouts, orders).select("settlement_id", "candidates", "pool_net")
+    own = payouts.join(sizes, "settlement_id", "left").join(fits, "settlement_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("pool_net", F.coalesce("pool_net", F.lit(0)).cast("long"))
     n = F.coalesce("n_fits", F.lit(0))
     verdict = F.when(n == 1, "PROVEN").when(n > 1, "AMBIGUOUS").when(F.col("pool_net") < F.col("net_paise") - 1, "CONTRADICTED").otherwise("INSUFFICIENT")
     return own.select(

@@ -92,7 +92,8 @@ def explain(nets: list[int], target: int, listed: int = MAX_LISTED) -> tuple[str
 def solved(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,)) -> DataFrame:
     """(settlement_id, verdict, n_found, order_ids of the first, exhaustive, density) of every payout."""
     # counted before anything is grouped: pools that explain() would refuse never become a frame
-    sizes = stored(blocking.pools(payouts, orders, lags).groupBy("settlement_id").agg(F.count("*").alias("n"), F.max("credit_paise").alias("credit")), "pool-sizes")
+    held = blocking.pool_sizes(payouts, orders, lags).where("candidates > 0").join(payouts.select("settlement_id", F.col("net_paise").alias("credit")), "settlement_id")
+    sizes = stored(held.select("settlement_id", F.col("candidates").alias("n"), "credit"), "pool-sizes")
     fits = F.col("n").between(1, MAX_POOL) & (F.col("credit") <= MAX_TARGET)
     small = payouts.join(sizes.where(fits).select("settlement_id"), "settlement_id", "left_semi")
     pool = blocking.pools(small, orders, lags).select("settlement_id", "credit_paise", "order_id", "net_paise")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import policy
 from tallymark.operators.close import exposure, prediction, readiness
-from tallymark.operators.findings import exceptions
-from tallymark.plans.recon_queries import FINDINGS, base, findings_of
+from tallymark.operators.findings import exceptions, single_order_findings
+from tallymark.plans.recon_queries import FINDINGS, base
 from tallymark.sources import views
 from tallymark.sources.shared import stored
 from tallymark.sources.views import SQL as VIEWS
@@ -114,8 +114,8 @@ def query(sql: str | None = None):
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = stored(findings_of(spark, sf_dir), "findings")  # read several times
-    orders, _ = base(spark, sf_dir)
+    orders, payouts = base(spark, sf_dir)
+    found = stored(single_order_findings(payouts, orders), "findings")  # read several times
     return found, policy.decide(found, policy.strata(found, views.truth(orders)))
 
 
@@ -126,8 +126,8 @@ def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(_JUDGED + "SELECT * FROM strata")
 def risk_strata_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, _ = base(spark, sf_dir)
-    return policy.strata(findings_of(spark, sf_dir), views.truth(orders)).select("integrity", "cheapness", "wrong", "total", "p_error")
+    orders, payouts = base(spark, sf_dir)
+    return policy.strata(single_order_findings(payouts, orders), views.truth(orders)).select("integrity", "cheapness", "wrong", "total", "p_error")
 
 
 @query(_JUDGED + "SELECT * FROM judged")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.operators import blocking, evidence, matching, reports
+from tallymark.operators import blocking, evidence, reports
 from tallymark.operators.close import prediction, readiness
 from tallymark.plans.close_queries import _CARRIED, _ITEMS, _JUDGED, _items, _judged
 from tallymark.plans.close_queries import SQL as CLOSE_SQL
@@ -53,13 +53,18 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.pools(payouts, orders)
 
 
+def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, payouts = base(spark, sf_dir)
+    return blocking.credit_fits(payouts, orders)
+
+
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(evidence.small_explanations(_pool(spark, sf_dir)), "explanations")
 
 
 def _proposed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders, payouts = base(spark, sf_dir)
-    explained = _explained(spark, sf_dir)
+    explained = stored(evidence.small_explanations(blocking.pools(payouts, orders)), "explanations")
     return explained, stored(evidence.findings(explained, blocking.search_space(payouts, orders)), "proposed")
 
 
@@ -136,7 +141,7 @@ _COMPONENTS = VIEWS.replace("WITH captures0", "WITH RECURSIVE captures0") + POOL
 
 @query(_COMPONENTS + "SELECT * FROM parts")
 def conflict_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.conflict_components(matching.single_fits(_pool(spark, sf_dir)))
+    return reports.conflict_components(_fits(spark, sf_dir))
 
 
 @query(_COMPONENTS + "SELECT CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 50 THEN '11-50' WHEN n <= 200 THEN '51-200' ELSE '200+' END AS bucket, count(*) AS components FROM (SELECT component, count(*) AS n FROM parts GROUP BY component) GROUP BY bucket")

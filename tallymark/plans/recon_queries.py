@@ -11,6 +11,7 @@ from tallymark.functions import calendar as cal
 from tallymark.functions import money
 from tallymark.operators import blocking, findings, kernel, matching
 from tallymark.sources import views
+from tallymark.sources.shared import stored
 from tallymark.sources.views import SQL as VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,8 +68,10 @@ def query(sql: str | None = None):
 
 
 def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = views.captures(spark, sf_dir)
-    return orders, views.settlements(orders)
+    """Captures and settlements, each stored once: queries meet them several times, and filters on
+    the amounts would otherwise repeat the fee rules' expressions in each place."""
+    orders = stored(views.captures(spark, sf_dir), "captures")
+    return orders, stored(views.settlements(orders), "settlements")
 
 
 @query(VIEWS + "SELECT method, count(*) AS n, CAST(sum(gross_paise) AS BIGINT) AS gross_paise, CAST(sum(fee_paise) AS BIGINT) AS fee_paise, CAST(sum(tax_paise) AS BIGINT) AS tax_paise, CAST(sum(net_paise) AS BIGINT) AS net_paise FROM captures GROUP BY method")
@@ -96,14 +99,14 @@ def business_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(VIEWS + POOLS + "SELECT settlement_id, count(*) AS candidates, CAST(sum(net_paise) AS BIGINT) AS pool_net FROM pool GROUP BY settlement_id")
 def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, payouts = base(spark, sf_dir)
-    return blocking.pools(payouts, orders).groupBy("settlement_id").agg(F.count("*").alias("candidates"), F.sum("net_paise").alias("pool_net"))
+    return blocking.pool_sizes(payouts, orders).where("candidates > 0").select("settlement_id", "candidates", "pool_net")
 
 
 @query(VIEWS + f""", days AS (SELECT DISTINCT captured_on, {_DATES('captured_on', 'lag')} AS pool_day FROM captures, (VALUES (2), (3), (4)) v(lag))
     SELECT s.settlement_id, count(*) AS candidates FROM settlements s JOIN days d ON d.pool_day = s.settled_on JOIN captures c ON c.captured_on = d.captured_on AND c.net_paise > 0 AND c.net_paise <= s.net_paise GROUP BY s.settlement_id""")
 def candidate_pools_widest(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, payouts = base(spark, sf_dir)
-    return blocking.pools(payouts, orders, cal.LAGS).groupBy("settlement_id").agg(F.count("*").alias("candidates"))
+    return blocking.pool_sizes(payouts, orders, cal.LAGS).where("candidates > 0").select("settlement_id", "candidates")
 
 
 @query(VIEWS + FINDINGS + "SELECT * FROM space")
@@ -126,14 +129,14 @@ def work_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT txn_id, coalesce(by_ref, by_amount) AS settlement_id, CASE WHEN by_ref IS NOT NULL THEN 'reference' WHEN by_amount IS NOT NULL THEN 'amount' ELSE 'none' END AS via
 FROM credits LEFT JOIN by_ref USING (txn_id) LEFT JOIN alone ON alone.net_paise = credit_paise AND alone.settled_on = value_date""")
 def l1_credit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payouts = base(spark, sf_dir)[1]
+    payouts = stored(views.settlements(views.captures(spark, sf_dir)), "settlements")
     return matching.credit_to_payout(views.credits(payouts), payouts)
 
 
 @query(VIEWS + POOLS + "SELECT settlement_id, min(order_id) AS order_id FROM pool WHERE abs(net_paise - credit_paise) <= 1 GROUP BY settlement_id HAVING count(*) = 1")
 def l2_single_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, payouts = base(spark, sf_dir)
-    return matching.single_match(blocking.pools(payouts, orders))
+    return matching.single_match(blocking.credit_fits(payouts, orders))
 
 
 @query(VIEWS + POOLS + "SELECT a.settlement_id, a.order_id AS first_order, b.order_id AS second_order, a.credit_paise - a.net_paise - b.net_paise AS residual FROM (SELECT *, credit_paise - net_paise - r AS wanted FROM pool, (VALUES (0), (1), (2)) v(r)) a JOIN pool b ON a.settlement_id = b.settlement_id AND b.net_paise = a.wanted AND a.order_id < b.order_id")
@@ -145,7 +148,7 @@ def pair_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(VIEWS + POOLS + "SELECT settlement_id, min(order_id) AS order_id FROM pool WHERE net_paise = credit_paise GROUP BY settlement_id HAVING count(*) = 1")
 def baseline_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, payouts = base(spark, sf_dir)
-    return matching.baseline_exact(blocking.pools(payouts, orders))
+    return matching.baseline_exact(blocking.credit_fits(payouts, orders, slack=0))
 
 
 @query(VIEWS + POOLS + "SELECT settlement_id, arg_min(order_id, (captured_on, order_id)) AS order_id FROM pool WHERE abs(net_paise - credit_paise) * 100 <= credit_paise GROUP BY settlement_id")
