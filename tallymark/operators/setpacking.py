@@ -3,7 +3,7 @@
 Payouts are rivals if explanations of theirs share an order; groups of rivals are found by
 spreading labels, and each is solved by branch and bound in ``applyInPandas``. The search of a group
 ends after ``STEPS`` choices: what it has found by then is returned as ``BEST_FOUND`` and nothing
-of it is called forced. A group's frame holds its explanations, however many.
+of it is called forced. Payouts of a group that can't all be explained are told as cores. A group's frame holds its explanations, however many.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators.reports import conflict_components
+from tallymark.sources.shared import stored
 
 STEPS = 200_000
 
@@ -54,6 +55,74 @@ def best(rows: list[tuple[str, int, frozenset[str]]], banned: frozenset[int] = f
     return *top, steps <= STEPS
 
 
+def together(sets: list[list[frozenset[str]]]) -> bool | None:
+    """Whether one set of each list can be taken with no order twice; None if ``STEPS`` choices don't tell."""
+    lists = sorted(sets, key=len)
+    stack: list[tuple[int, frozenset[str]]] = [(0, frozenset())]
+    for _ in range(STEPS):
+        if not stack:
+            return False
+        at, used = stack.pop()
+        if at == len(lists):
+            return True
+        stack += [(at + 1, used | own) for own in reversed(lists[at]) if not used & own]
+    return None
+
+
+def cores(rows: list[tuple[str, frozenset[str]]]) -> list[list[str]]:
+    """Disjoint sets of payouts that can't all be explained at once; rows are (payout, orders).
+
+    Payouts are left out one by one while the rest stays contradictory, so each of a core's members
+    is needed for it, unless a search gave up. What remains without a core's payouts is searched
+    for the next, until it holds together.
+    """
+    by_payout: dict[str, list[frozenset[str]]] = {}
+    for payout, own in rows:
+        by_payout.setdefault(payout, []).append(own)
+    out: list[list[str]] = []
+    rest = sorted(by_payout)
+    while together([by_payout[p] for p in rest]) is False:
+        core = list(rest)
+        for payout in rest:
+            less = [p for p in core if p != payout]
+            if together([by_payout[p] for p in less]) is False:
+                core = less
+        out.append(core)
+        rest = [p for p in rest if p not in core]
+    return out
+
+
+def unsat_cores(explanations: DataFrame) -> DataFrame:
+    """(core, settlement_id, contested) of payouts in a contradiction of explanations (settlement_id,
+    explanation, order_ids); core is its smallest payout, contested the number of orders that
+    several of its members claim. Payouts without an explanation have no row there and none here.
+    """
+    parts = conflict_components(explanations.select("settlement_id", F.explode("order_ids").alias("order_id")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = cores([(s, frozenset(o)) for s, o in zip(frame["settlement_id"], frame["order_ids"], strict=True)])
+        return pd.DataFrame([(core[0], payout) for core in found for payout in core], columns=["core", "settlement_id"])
+
+    members = explanations.join(parts, "settlement_id").select("component", "settlement_id", "order_ids").groupBy("component").applyInPandas(run, "core string, settlement_id string")
+    members = stored(members, "cores")
+    claims = members.join(explanations, "settlement_id").select("core", "settlement_id", F.explode("order_ids").alias("order_id")).distinct()
+    contested = claims.groupBy("core", "order_id").agg(F.count("*").alias("n")).where("n > 1").groupBy("core").agg(F.count("*").alias("contested"))
+    return members.join(contested, "core").select("core", "settlement_id", "contested")
+
+
+def packed_findings(payouts: DataFrame, explanations: DataFrame) -> DataFrame:
+    """(settlement_id, verdict, layer, strict, optimistic, core) of every payout: PROVEN where the
+    choice is forced, AMBIGUOUS with other explanations, CONTRADICTED without any. ``strict``
+    is the forced explanation's number, ``optimistic`` the chosen one's, ``core`` the
+    contradiction that the payout is in, all null where there is none.
+    """
+    own = packed(explanations).groupBy("settlement_id").agg(F.max(F.when(F.col("chosen"), F.col("explanation"))).alias("optimistic"), F.max(F.when(F.col("forced"), F.col("explanation"))).alias("strict"), F.lit(True).alias("explained"))
+    joined = payouts.select("settlement_id").join(own, "settlement_id", "left").join(unsat_cores(explanations).select("settlement_id", "core"), "settlement_id", "left")
+    verdict = F.when(F.col("strict").isNotNull(), "PROVEN").when(F.col("explained"), "AMBIGUOUS").otherwise("CONTRADICTED")
+    layer = F.when(F.col("strict").isNotNull(), "PACKED_FORCED").when(F.col("explained"), "PACKED_UNFORCED").otherwise("NO_CANDIDATE")
+    return joined.select("settlement_id", verdict.alias("verdict"), F.when(F.col("core").isNotNull(), F.concat(layer, F.lit("+CORE"))).otherwise(layer).alias("layer"), "strict", "optimistic", "core")
+
+
 def packed(explanations: DataFrame) -> DataFrame:
     """(settlement_id, explanation, component, chosen, forced, state) of every explanation
     (settlement_id, explanation, net_paise, order_ids).
