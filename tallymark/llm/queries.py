@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.llm import twins
 from tallymark.llm.common import fold, read_table
 
 
@@ -82,6 +83,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(store_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.merkle import verified
+
+    picked = F.col("doc_id").isNotNull() & (fold("doc_id", 5) == 0)
+    changed = F.when(picked, F.translate("text", twins.UPPER, twins.LOWER)).otherwise(F.col("text"))
+    return verified(read_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": changed})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": """
@@ -108,4 +118,5 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_merkle_manifest": twins.MERKLE,
 }
