@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,23 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(read_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": changed})
 
 
+def slips(doc_id: str) -> Callable[[str], str]:
+    """The runs of a document with the contract's slips: one in 97 loses a character."""
+    start = zlib.crc32(f"{doc_id}:".encode())
+
+    def changed(run: str) -> str:
+        h = zlib.crc32(run.encode(), start)
+        return run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+    return changed
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.variants import variants, word_counts
+
+    return variants(word_counts(read_table(spark, sf_dir, "documents"), change=slips))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +147,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op11_merkle_manifest": twins.MERKLE,
+    "op12_spelling_variants": twins.VARIANTS,
 }

@@ -69,3 +69,39 @@ MERKLE = f"""
            cur AS folded_root, cur = (SELECT digest FROM high WHERE n = 1) AS verified
     FROM placed p JOIN subroots s ON s.idx = p.g JOIN high_walk h ON h.k = p.k AND h.n = 1
 """
+
+#: UTF-8 bytes of a text whose characters are below U+0800.
+_BYTES = """flatten(list_transform(string_split({}, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + unicode(c) // 64 AS BIGINT), CAST(128 + unicode(c) % 64 AS BIGINT)] END))"""
+
+VARIANTS = f"""
+    WITH RECURSIVE {CRC_TABLE}, tokens AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+    ), counted AS (
+        SELECT doc_id, run, count(*) AS n FROM tokens GROUP BY ALL
+    ), hashed AS (
+        SELECT run, n, {crc(_BYTES.format("concat(doc_id, ':', run)"))} AS h FROM counted, crc_table
+    ), vocab AS (
+        SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+        FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+    ), less AS (
+        SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)
+    ), pairs AS (
+        SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+        UNION
+        SELECT a.word, b.word, b.n FROM less a JOIN vocab b ON a.cut = b.word
+        UNION
+        SELECT b.word, a.word, a.n FROM less a JOIN vocab b ON a.cut = b.word
+    ), best AS (
+        SELECT word, count(*) AS n_near, arg_min(other, row(-other_n, other)) AS other, max(other_n) AS other_n FROM pairs GROUP BY word
+    ), forms AS (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+        FROM vocab v LEFT JOIN best b ON b.word = v.word
+    ), walk AS (
+        SELECT word, word AS at FROM forms
+        UNION ALL
+        SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL
+    )
+    SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+    FROM forms f JOIN walk w ON w.word = f.word JOIN forms last ON last.word = w.at AND last.form IS NULL
+"""
