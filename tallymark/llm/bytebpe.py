@@ -3,8 +3,10 @@
 A task cuts its texts into words by the vocabulary's pattern and hands on each distinct word of
 a stretch of texts once, followed by the stretch's documents as codes into those words. The
 words are encoded by a fold in SQL functions: a word is its bytes, one symbol for each; the rank
-map is a literal, from a pair of neighbouring symbols to the symbol that they merge into; each
-turn looks all neighbours up, takes the lowest rank and merges its pairs from left to right.
+map is a literal, from a pair of neighbouring symbols to the symbol that they merge into, as an
+array of small texts dealt by the pair's crc32 (a map literal is searched from its start, or costs
+many steps through memory); each turn looks all neighbours up, takes the lowest rank and merges
+its pairs from left to right.
 Decoding looks each id's bytes up in a literal list and joins the pieces. What comes back is
 put in the places of the documents' codes. Rows stay in their partition throughout, so there is
 no shuffle, and frequent words are encoded once a stretch.
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import Batcher, released
 
-#: The literal rank map is an array of small maps, dealt by the pair's crc32.
-BUCKETS = 1 << 14
+#: Buckets of the literal rank map, a power of two. Each is the marked pairs it holds, with what they make.
+BUCKETS = 1 << 16
+#: Marks a pair in its bucket, both ends of a word, and a pair that doesn't merge; sorts behind all symbols.
+MARK = "\U0010ffff"
 #: Bytes of text whose distinct words are encoded together.
 STRETCH_BYTES = 24 << 20
 #: From so many symbols on a turn looks up each distinct pair once.
@@ -83,14 +86,14 @@ def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 @lru_cache(maxsize=2)
 def tables(path: str) -> tuple[str, str, str]:
-    """The rank map as JSON, the symbols of the 256 bytes, and all tokens in hex."""
+    """The rank map's buckets as lines, the symbols of the 256 bytes, and all tokens in hex."""
     ranks = read_ranks(path)
-    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    buckets = [""] * BUCKETS
     for (a, b), c in merges(ranks).items():
         pair = symbol(a) + symbol(b)
-        buckets[zlib.crc32(pair.encode()) % BUCKETS][pair] = symbol(c) + pair
+        buckets[zlib.crc32(pair.encode()) & (BUCKETS - 1)] += MARK + pair + symbol(c)
     spelled = [t.hex() for t in sorted(ranks, key=ranks.get)]
-    return json.dumps(buckets), "".join(symbol(ranks[bytes([b])]) for b in range(256)), " ".join(spelled)
+    return "\n".join(b + MARK for b in buckets), "".join(symbol(ranks[bytes([b])]) for b in range(256)), " ".join(spelled)
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -99,37 +102,53 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def encoded(word: Column, path: str) -> Column:
-    """The ids of a word (a text), as array<int>."""
+    """The ids of a word (a text), as array<int>.
+
+    A turn has the word's symbols between two marks, and for each two neighbours the symbol
+    that they make. Short words merge the leftmost pair of the lowest rank and look up its two new
+    neighbours; long ones merge all its pairs and look up all neighbours.
+    """
     ranks, symbols, _ = tables(path)
-    latin = F.decode(word.cast("binary"), "ISO-8859-1")
-    start = F.translate(latin, "".join(map(chr, range(256))), symbols)
 
-    def lowest(s: Column, rank_map: Column) -> Column:
-        def of(c: Column) -> Column:
-            pairs = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b))
-            some = F.when(F.size(c) > LONG, F.array_distinct(pairs)).otherwise(pairs)
-            bucket = lambda p: F.element_at(rank_map, (F.crc32(p.cast("binary")) % BUCKETS + 1).cast("int"))
-            return F.array_min(F.transform(some, lambda p: F.element_at(bucket(p), p)))
+    def made(pair: Column, rank_map: Column) -> Column:
+        bucket = F.get(rank_map, F.crc32(pair.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int"))
+        return F.left(F.call_function("substring_index", bucket, F.concat(F.lit(MARK), pair), F.lit(-1)), F.lit(1))
+
+    def neighbours(s: Column, rank_map: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(s, ""), F.split(_from(s, 2), ""), lambda a, b: made(F.concat(a, b), rank_map)), "")
+
+    def turn(have: Column, rank_map: Column) -> Column:
+        s, r = have["s"], have["r"]
+
+        def merged(low: Column) -> Column:
+            def at(i: Column) -> Column:
+                all_of_it = F.replace(s, F.substring(s, i, F.lit(2)), low)
+                left, right = made(F.concat(F.substring(s, i - 1, F.lit(1)), low), rank_map), made(F.concat(low, F.substring(s, i + 2, F.lit(1))), rank_map)
+                one = F.struct(F.concat(F.left(s, i - 1), low, _from(s, i + 2)).alias("s"), F.concat(F.left(r, i - 2), left, right, _from(r, i + 2)).alias("r"))
+                return F.when(F.length(s) > LONG, _bound(all_of_it, lambda x: F.struct(x.alias("s"), neighbours(x, rank_map).alias("r")))).otherwise(one)
 
-        return _bound(F.split(s, ""), of)
+            return F.when(low == MARK, have).otherwise(_bound(F.instr(r, low), at))
 
-    def fold(rank_map: Column) -> Column:
-        def turn(have: Column, _: Column) -> Column:
-            merged = lambda m: F.struct(F.coalesce(F.replace(have["s"], F.substring(m, 2, 2), F.substring(m, 1, 1)), have["s"]).alias("s"), m.isNotNull().alias("go"))
-            return F.when(have["go"], _bound(lowest(have["s"], rank_map), merged)).otherwise(have)
+        return _bound(F.array_min(F.split(r, "")), merged)
 
-        first = F.struct(start.alias("s"), (F.length(start) > 1).alias("go"))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(start), F.lit(1))), first, turn, lambda have: have["s"])
+    def fold(s: Column, rank_map: Column) -> Column:
+        first = F.struct(s.alias("s"), neighbours(s, rank_map).alias("r"))
+        return F.aggregate(F.sequence(F.lit(4), F.greatest(F.length(s), F.lit(4))), first, lambda have, _: turn(have, rank_map), lambda have: have["s"])
 
-    merged = _bound(F.from_json(F.lit(ranks), "array<map<string,string>>"), fold)
+    start = F.concat(F.lit(MARK), F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), symbols), F.lit(MARK))
+    merged = _bound(F.split(F.lit(ranks), "\n"), lambda rank_map: _bound(start, lambda s: fold(s, rank_map)))
     code = lambda c: F.ascii(c) - F.when(F.ascii(c) < 0xD800, F.lit(256)).otherwise(F.lit(256 + 0x800))
-    return F.transform(F.split(merged, ""), code)
+    return F.transform(F.split(F.replace(merged, F.lit(MARK), F.lit("")), ""), code)
+
+
+def _from(text: Column, at: Column | int) -> Column:
+    return F.substring(text, at, F.lit((1 << 31) - 1))
 
 
 def decoded(ids: Column, path: str) -> Column:
     """The bytes of a list of ids."""
     spelled = F.split(F.lit(tables(path)[2]), " ")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(spelled, i + 1)), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(spelled, i)), ""))
 
 
 @lru_cache(maxsize=1)
@@ -199,26 +218,34 @@ def _stretches(pattern: str, unknown: str, most: int) -> Callable[[Iterator[pa.R
     return run
 
 
+def _digests(docs: dict, ids: list[bytes], raw: list[bytes]) -> Iterator[tuple[str, int, str, str]]:
+    """Key, tokens and digests of a stretch's documents."""
+    codes, at = np.frombuffer(docs["codes"], np.int32), 0
+    for key, n in zip(docs["keys"], np.frombuffer(docs["lengths"], "<i8").tolist(), strict=True):
+        own = codes[at : at + n].tolist()
+        at += n
+        told = b"".join([ids[c] for c in own])
+        back = b"".join([raw[c] for c in own])
+        yield key, len(told) // 4, hashlib.sha256(told).hexdigest(), hashlib.sha256(back).hexdigest()
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents' digests from a stretch's encoded words and codes."""
     out = Batcher(pa.schema([("key", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
     ids: list[bytes] = []
     raw: list[bytes] = []
     for batch in batches:
-        lists, pieces, docs = batch.column(0), batch.column(1), batch.column(2)
-        for i, doc in enumerate(docs.to_pylist()):
-            if doc is None:
-                ids.append(lists[i].values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-                raw.append(pieces[i].as_py())
-                continue
-            codes, at = np.frombuffer(doc["codes"], np.int32), 0
-            for key, n in zip(doc["keys"], np.frombuffer(doc["lengths"], "<i8").tolist(), strict=True):
-                own = codes[at : at + n].tolist()
-                at += n
-                told = b"".join([ids[c] for c in own])
-                back = b"".join([raw[c] for c in own])
-                yield from out.add((key, len(told) // 4, hashlib.sha256(told).hexdigest(), hashlib.sha256(back).hexdigest()), 200)
-            ids, raw = [], []
+        lists, pieces, docs = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+        told, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+        at = 0
+        for i in [*np.flatnonzero(docs.is_valid().to_numpy(zero_copy_only=False)).tolist(), None]:
+            stop = len(docs) if i is None else i
+            ids += [told[a:b] for a, b in zip(ends[at:stop], ends[at + 1 : stop + 1], strict=True)]
+            raw += pieces[at:stop]
+            if i is not None:
+                for row in _digests(docs[i].as_py(), ids, raw):
+                    yield from out.add(row, 200)
+                ids, raw, at = [], [], i + 1
     yield out.flush()
     del batches
     released()
