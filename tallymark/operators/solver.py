@@ -1,14 +1,23 @@
 """The subset solver: which orders of a pool compose a credit.
 
 Reachable sums are counted up to two in two bit sets held as whole numbers, so adding an
-order is a shift and a few bitwise operations. A depth-first search, largest order first,
-lists explanations and is cut by what is still reachable. It runs once for each payout in
-``applyInPandas``. Pools are counted first; those over ``MAX_POOL`` orders or ``MAX_TARGET`` paise are
+order is a shift and a few bitwise operations. The bit sets of all prefixes are too much to hold, so
+some are kept as marks, about the square root of their number, and what lies between two marks is
+reckoned again when the search gets there. A depth-first search, largest order first, lists
+explanations; a branch goes on only if the orders left reach the window that its explanation's
+size allows, and a place that has once led nowhere isn't searched again. There is no limit of
+steps: the search ends with all explanations, or with one more than are listed. It runs once for
+each payout in ``applyInPandas``. Pools are counted first; those over ``MAX_POOL`` orders or ``MAX_TARGET`` paise are
 refused without being grouped, so a group is bounded.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import OrderedDict
+from dataclasses import dataclass, field
+from math import isqrt
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,76 +26,148 @@ from tallymark.operators import blocking
 from tallymark.sources.shared import stored
 
 MAX_TARGET, MAX_POOL, MAX_LISTED, BAND, WINDOW = 20_000_000, 900, 4, 64, 10_000
-#: Steps of the search after which it gives up; a result found so far isn't exhaustive.
-MAX_STEPS = 200_000
-
-
-def layers(nets: list[int], target: int) -> list[int]:
-    """Bit sets of sums that the last i orders reach, for i from 0."""
-    mask = (1 << (target + 1)) - 1
-    out = [1]
-    for n in reversed(nets):
-        out.append((out[-1] | out[-1] << n) & mask)
-    return out
+#: Bytes of bit sets that are all held; beyond them marks are kept.
+HELD_BYTES, SPAN_BYTES = 48 << 20, 32 << 20
+#: Dead ends remembered at once, and steps after which they are.
+MOST_DEAD, REMEMBER_FROM = 500_000, 2_000
+
+
+def added(reach: int, net: int, target: int) -> int:
+    """Sums up to ``target`` with one order more."""
+    more = reach << net
+    if more.bit_length() > target + 1:
+        more &= (1 << (target + 1)) - 1
+    return reach | more
+
+
+def as_bytes(bits: int) -> bytes:
+    return bits.to_bytes((bits.bit_length() + 7) // 8, "little")
+
+
+class Reach:
+    """Which sums the last i of some orders reach, for every i; once and several times for all of them."""
+
+    def __init__(self, nets: list[int], target: int, held_bytes: int = HELD_BYTES):
+        self.nets, self.target, n = nets, target, len(nets)
+        whole = (n + 1) * (target // 8 + 1) <= held_bytes
+        self.step = n + 1 if whole else isqrt(n) + 1
+        self.marks: dict[int, int] = {}
+        self.spans: OrderedDict[int, list[bytes]] = OrderedDict()
+        one, many, mask, own = 1, 0, (1 << (target + 1)) - 1, []
+        for i in range(n + 1):
+            if whole:
+                own.append(as_bytes(one | many))
+            elif i % self.step == 0:
+                self.marks[i // self.step] = one | many
+            if i < n and 0 < (net := nets[n - 1 - i]) <= target:
+                more_one, more_many = (one << net) & mask, (many << net) & mask
+                many |= more_many | one & more_one
+                one = (one | more_one) & ~many
+        if whole:
+            self.spans[0] = own
+        self.one, self.many = one, many
+
+    def layer(self, i: int) -> bytes:
+        """The bit set of the last i orders. Older spans between marks go once all hold more than SPAN_BYTES."""
+        k, j = divmod(i, self.step)
+        if k not in self.spans:
+            while sum(len(b) for span in self.spans.values() for b in span) > SPAN_BYTES:
+                self.spans.popitem(last=False)
+            bits, own = self.marks[k], []
+            for at in range(k * self.step, min((k + 1) * self.step, len(self.nets) + 1)):
+                own.append(as_bytes(bits))
+                if at < len(self.nets):
+                    bits = added(bits, self.nets[len(self.nets) - 1 - at], self.target)
+            self.spans[k] = own
+        else:
+            self.spans.move_to_end(k)
+        return self.spans[k][j]
+
+    def within(self, i: int, low: int, high: int) -> bool:
+        """Whether the last i orders reach a sum from low to high."""
+        part = self.layer(i)[low >> 3 : (high >> 3) + 1]
+        return bool(int.from_bytes(part, "little") >> (low & 7) & ((1 << (high - low + 1)) - 1))
 
 
 def counts(nets: list[int], target: int) -> tuple[int, int]:
     """Bit sets of sums reached in one way exactly and in several."""
-    mask = (1 << (target + 1)) - 1
-    one, many = 1, 0
-    for n in nets:
-        if 0 < n <= target:
-            more_one, more_many = (one << n) & mask, (many << n) & mask
-            both = (one | many) & (more_one | more_many)
-            many |= more_many | both
-            one = (one | more_one) & ~both & ~many
-    return one, many
+    reach = Reach(nets, target, held_bytes=0)
+    return reach.one, reach.many
 
 
-def explain(nets: list[int], target: int, listed: int = MAX_LISTED) -> tuple[str, list[tuple[int, ...]], bool, float]:
-    """(verdict, explanations as places in nets, exhaustive, density).
+@dataclass(frozen=True)
+class Answer:
+    """A payout's explanations as places in its orders, the one beyond those listed included in ``seen``;
+    of the sums near the credit how many are reachable, and which share of these in one way."""
 
-    An explanation of k orders may miss the target by up to k paise, from below.
-    """
-    usable = sorted((i for i, n in enumerate(nets) if 0 < n <= target), key=lambda i: (-nets[i], i))
-    if target <= 0 or not usable:
-        return "CONTRADICTED", [], True, 0.0
-    if target > MAX_TARGET or len(usable) > MAX_POOL:
-        return "INSUFFICIENT", [], False, 0.0
-    values = [nets[i] for i in usable]
-    reach = layers(values, target)
-    band = min(len(values), BAND)
-    window = min(target, WINDOW)
-    density = (reach[-1] >> (target - window)).bit_count() / (window + 1)
-    if not reach[-1] >> max(0, target - band):
-        return "CONTRADICTED", [], True, density
-    found: list[tuple[int, ...]] = []
-    suffix = [0]
+    verdict: str
+    found: list[tuple[int, ...]] = field(default_factory=list)
+    exhaustive: bool = True
+    density: float = 0.0
+    reachable: int = 0
+    unique_share: float = 0.0
+    seen: list[tuple[int, ...]] = field(default_factory=list)
+
+
+def search(values: list[int], target: int, reach: Reach, enough: int) -> list[tuple[int, ...]]:
+    """Explanations in the order of the search, at most ``enough``; values descend."""
+    n, band = len(values), min(len(values), BAND)
+    least = [0]  # sums of the smallest orders
     for v in reversed(values):
-        suffix.append(suffix[-1] + v)
+        least.append(least[-1] + v)
+    found: list[tuple[int, ...]] = []
+    dead: set[tuple[int, int, int]] = set()
     steps = 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, target, ())]
-    while stack and len(found) <= listed and steps < MAX_STEPS:
-        steps += 1
+    stack: list[tuple] = [(0, target, ())]
+    while stack and len(found) < enough:
         at, left, chosen = stack.pop()
-        if chosen and left <= len(chosen):
-            found.append(tuple(usable[i] for i in chosen))
+        if at < 0:  # a place is left: without an explanation since, it is a dead end
+            if left == len(found):
+                if len(dead) >= MOST_DEAD:
+                    dead.clear()
+                dead.add(chosen)
             continue
-        rest = len(values) - at
-        if not rest or suffix[rest] < left - (len(chosen) + rest):
+        steps += 1
+        k = len(chosen)
+        if k and left <= k:
+            found.append(chosen)
             continue
-        low = max(0, left - min(band, len(chosen) + rest))
-        if not (reach[rest] >> low) & ((1 << (left - low + 1)) - 1):
+        rest = n - at
+        more = min(rest, bisect_right(least, left) - 1)  # no more orders than the smallest that fit
+        if not rest or least[rest] < left - k - more or (at, left, k) in dead or not reach.within(rest, max(0, left - min(band, k + more)), left):
             continue
+        if steps > REMEMBER_FROM:
+            stack.append((-1, len(found), (at, left, k)))
         stack.append((at + 1, left, chosen))
         if values[at] <= left:
             stack.append((at + 1, left - values[at], (*chosen, at)))
-    exhaustive = not stack and len(found) <= listed
-    if len(found) > 1:
-        return "AMBIGUOUS", found[:listed], exhaustive, density
-    if not exhaustive:
-        return "INSUFFICIENT", found, False, density
-    return ("PROVEN" if found else "CONTRADICTED"), found, True, density
+    return found
+
+
+def answer(nets: list[int], target: int, listed: int = MAX_LISTED, held_bytes: int = HELD_BYTES) -> Answer:
+    """An explanation of k orders may miss the target by up to k paise, from below."""
+    usable = sorted((i for i, n in enumerate(nets) if 0 < n <= target), key=lambda i: (-nets[i], i))
+    if target <= 0 or not usable:
+        return Answer("CONTRADICTED")
+    if target > MAX_TARGET or len(usable) > MAX_POOL:
+        return Answer("INSUFFICIENT", exhaustive=False)
+    values = [nets[i] for i in usable]
+    reach = Reach(values, target, held_bytes)
+    window = min(target, WINDOW)
+    once, several = (x >> (target - window) for x in (reach.one, reach.many))
+    near = (once | several).bit_count()
+    told = {"density": near / (window + 1), "reachable": near, "unique_share": once.bit_count() / near if near else 0.0}
+    if not reach.within(len(values), max(0, target - min(len(values), BAND)), target):
+        return Answer("CONTRADICTED", **told)
+    seen = [tuple(usable[i] for i in c) for c in search(values, target, reach, listed + 1)]
+    verdict = "CONTRADICTED" if not seen else "PROVEN" if len(seen) == 1 else "AMBIGUOUS"
+    return Answer(verdict, seen[:listed], len(seen) <= listed, seen=seen, **told)
+
+
+def explain(nets: list[int], target: int, listed: int = MAX_LISTED) -> tuple[str, list[tuple[int, ...]], bool, float]:
+    """(verdict, explanations as places in nets, exhaustive, density)."""
+    a = answer(nets, target, listed)
+    return a.verdict, a.found, a.exhaustive, a.density
 
 
 def solved(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,)) -> DataFrame:
