@@ -20,6 +20,16 @@ def dated(orders: DataFrame, lags: tuple[int, ...]) -> DataFrame:
     return orders.where("captured_on is not null").withColumn("pool_day", F.explode(days))
 
 
+def laddered(orders: DataFrame, ladder: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """Orders with each day they may settle on (pool_day) and the first rung of the ladder that looks there.
+
+    Different lags give different days, since n business days on is a later day for a larger n.
+    """
+    first = {lag: rung for rung in reversed(range(len(ladder))) for lag in ladder[rung]}
+    days = [F.struct(cal.business_days_after(F.col("captured_on"), lag).alias("pool_day"), F.lit(rung).alias("rung")) for lag, rung in sorted(first.items())]
+    return orders.where("captured_on is not null").select("*", F.inline(F.array(*days)))
+
+
 def pools(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,)) -> DataFrame:
     """(settlement_id, credit_paise, order columns): candidates with 0 < net <= credit."""
     own = payouts.select("settlement_id", F.col("settled_on").alias("pool_day"), F.col("net_paise").alias("credit_paise"))

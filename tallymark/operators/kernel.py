@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def proofs(members: DataFrame, orders: DataFrame, payouts: DataFrame) -> DataFrame:
-    """Totals of explanations given as rows (settlement_id, order_id): gross, fee, net, residual, tolerance."""
-    joined = members.join(orders.select("order_id", "gross_paise", "net_paise"), "order_id", "left").groupBy("settlement_id").agg(
+def proofs(members: DataFrame, orders: DataFrame, payouts: DataFrame, by: tuple[str, ...] = ("settlement_id",)) -> DataFrame:
+    """Totals of explanations given as rows (settlement_id, order_id): gross, fee, net, residual, tolerance.
+
+    ``by`` names the columns that tell explanations apart, the settlement among them.
+    """
+    joined = members.join(orders.select("order_id", "gross_paise", "net_paise"), "order_id", "left").groupBy(*by).agg(
         F.count("*").alias("k"), F.count_distinct("order_id").alias("distinct_orders"), F.count("gross_paise").alias("known_orders"),
         F.sum("gross_paise").alias("gross_paise"), F.sum("net_paise").alias("net_paise"),
     )
