@@ -37,10 +37,16 @@ def cheapness(density: Column) -> Column:
 
 def strata(found: DataFrame, members: DataFrame) -> DataFrame:
     """(integrity, cheapness, wrong, total, p_error) of PROVEN findings against the truth;
-    p_error is null under MIN_OBSERVATIONS."""
+    p_error is null under MIN_OBSERVATIONS. A proof is right if its orders are just those of the truth."""
     true = members.groupBy("settlement_id").agg(F.count("*").alias("k"), F.min("order_id").alias("true_order"))
     proven = found.where("verdict = 'PROVEN'").join(true, "settlement_id", "left")
-    right = (F.coalesce("k", F.lit(0)) == 1) & (F.col("true_order") == F.col("order_id"))
+    if "order_ids" in found.columns:
+        cited = found.where("verdict = 'PROVEN'").select("settlement_id", F.explode("order_ids").alias("order_id"))
+        met = cited.join(members.select("settlement_id", "order_id"), ["settlement_id", "order_id"]).groupBy("settlement_id").agg(F.count("*").alias("n_met"))
+        proven = proven.join(met, "settlement_id", "left")
+        right = (F.coalesce("k", F.lit(0)) == F.size("order_ids")) & (F.coalesce("n_met", F.lit(0)) == F.size("order_ids"))
+    else:
+        right = (F.coalesce("k", F.lit(0)) == 1) & (F.col("true_order") == F.col("order_id"))
     grouped = proven.groupBy("integrity", cheapness(F.col("density")).alias("cheapness")).agg(F.sum(F.when(right, 0).otherwise(1)).alias("wrong"), F.count("*").alias("total"))
     return grouped.withColumn("p_error", F.when(F.col("total") >= MIN_OBSERVATIONS, wilson_upper(F.col("wrong"), F.col("total"))))
 
@@ -71,7 +77,7 @@ def frontier(judged: DataFrame, review_costs: tuple[int, ...]) -> DataFrame:
 def journal(found: DataFrame, judged: DataFrame) -> DataFrame:
     """Four lines for every finding that posts; debits and credits balance by construction."""
     rows = found.join(judged.where("decision = 'AUTO_POST'").select("settlement_id"), "settlement_id")
-    own_tax = money.tax(money.fee(F.col("fit_gross"), F.col("method")))
+    own_tax = F.col("fit_tax") if "fit_tax" in found.columns else money.tax(money.fee(F.col("fit_gross"), F.col("method")))
     zero = F.lit(0).cast("long")
 
     def line(no: int, account: str, debit: Column, credit: Column) -> Column:

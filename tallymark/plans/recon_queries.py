@@ -11,7 +11,7 @@ from tallymark.functions import calendar as cal
 from tallymark.functions import money
 from tallymark.operators import blocking, findings, kernel, matching
 from tallymark.sources import views
-from tallymark.sources.shared import stored
+from tallymark.sources.shared import once, stored
 from tallymark.sources.views import SQL as VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,10 +68,11 @@ def query(sql: str | None = None):
 
 
 def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Captures and settlements, each stored once: queries meet them several times, and filters on
+    """Captures and settlements, each stored once a session: queries meet them several times, and filters on
     the amounts would otherwise repeat the fee rules' expressions in each place."""
-    orders = stored(views.captures(spark, sf_dir), "captures")
-    return orders, stored(views.settlements(orders), "settlements")
+    own = views.captures(spark, sf_dir)
+    orders = once("captures", (own,), lambda: own)
+    return orders, once("settlements", (own,), lambda: views.settlements(orders))
 
 
 @query(VIEWS + "SELECT method, count(*) AS n, CAST(sum(gross_paise) AS BIGINT) AS gross_paise, CAST(sum(fee_paise) AS BIGINT) AS fee_paise, CAST(sum(tax_paise) AS BIGINT) AS tax_paise, CAST(sum(net_paise) AS BIGINT) AS net_paise FROM captures GROUP BY method")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -28,3 +29,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{at.rstrip('/')}/tallymark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables that this process has stored, by session, name and the files they were made from.
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def once(name: str, sources: tuple[DataFrame, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), stored and used again by later calls of the session over the same files.
+
+    The key has the list of the sources' files: what is written anew has other files.
+    """
+    spark = sources[0].sparkSession
+    files = tuple(sorted(f for s in sources for f in s.inputFiles()))
+    key = (spark.sparkContext.applicationId, str(spark._jsparkSession), spark.conf.get("spark.checkpoint.dir", None), name, files)
+    if key not in _MADE:
+        made = stored(make(), name)
+        _MADE[key[0], key[1], spark.conf.get("spark.checkpoint.dir", None), name, files] = made
+        return made
+    return _MADE[key]
