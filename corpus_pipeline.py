@@ -23,49 +23,74 @@ SHINGLE, SIMILAR = 5, 80
 VOCABULARY = "word_bpe_49k.json"
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; texts without letters or without a clear language go."""
+    """Rows whose text has a language; texts without letters or without a clear language go, null texts too.
+
+    Null ids stay; an empty table stays empty; further columns are kept, whatever their names.
+    """
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    own = langid.with_languages(docs, model, lang_col="_language", score_col="_share")
-    return own.where((F.col("_language") != langid.UNKNOWN) & (F.col("_share") >= LEAST_LANGUAGE)).select(docs.columns)
+    found, share = fresh(docs, "_language"), fresh(docs, "_share")
+    own = langid.with_languages(docs, model, lang_col=found, score_col=share)
+    return own.where((F.col(found) != langid.UNKNOWN) & (F.col(share) >= LEAST_LANGUAGE)).select(docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier doesn't take for toxic."""
-    model = toxicity.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model, score_col="_score").where(F.col("_score") < TOXIC).select(docs.columns)
+    """Rows that the classifier doesn't take for toxic; null and empty texts are scored like any other.
+
+    Null ids stay; an empty table stays empty; further columns are kept, whatever their names.
+    """
+    model, score = toxicity.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels")), fresh(docs, "_score")
+    return toxicity.with_scores(docs, model, score_col=score).where(F.col(score) < TOXIC).select(docs.columns)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, ``_row``, stored; rows are in order of id, a null id first.
+def keyed(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number for each row in column ``row``, stored; rows are in order of id, a null id first.
 
     Ids repeat and may be null, so a stage decides by this number.
     """
-    if "_row" in docs.columns:
-        raise ValueError("column is there already: _row")
-    placed = docs.withColumn("_at", F.monotonically_increasing_id())  # splits ids that many rows share
-    return staged(placed.orderBy(F.col("doc_id").asc_nulls_first(), "_at").drop("_at").withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    at = fresh(docs, "_at")
+    placed = docs.withColumn(at, F.monotonically_increasing_id())  # splits ids that many rows share
+    return staged(placed.orderBy(F.col("doc_id").asc_nulls_first(), at).drop(at).withColumn(row, F.monotonically_increasing_id()), "keyed")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: one with the group's smallest id. Texts without a word are in no group and stay."""
-    own = keyed(docs)
-    groups = jaccard.linked_components(own, n=SHINGLE, t100=SIMILAR, id_col="_row")
-    heads = groups.where(F.col("component_id") == F.col("_row")).select("_row")
-    return own.join(heads, "_row", "left_semi").select(docs.columns)
+    """One row of each group of near duplicates: one with the group's smallest id. Texts without a word are in no group and stay.
+
+    Null ids count as smallest and as rows of their own; an empty table stays empty; further columns are kept,
+    whatever their names.
+    """
+    row = fresh(docs, "_row")
+    own = keyed(docs, row)
+    groups = jaccard.linked_components(own.select(row, "text"), n=SHINGLE, t100=SIMILAR, id_col=row)
+    heads = groups.where(F.col("component_id") == F.col(row)).select(row)
+    return own.join(heads, row, "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without passages that stand earlier in the corpus; texts without one stay as they are."""
-    own = keyed(docs)
-    kept = substrings.dedup_substrings(own, id_col="_row", with_text=True).where("n_removed > 0").select("_row", F.col("kept_text").alias("_kept"))
-    own = own.join(kept, "_row", "left").withColumn("_text", F.coalesce("_kept", "text"))
-    size = F.when(F.col("_kept").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))
-    return own.select(*[F.col("_text").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """All rows, without passages that stand earlier in the corpus; texts without one stay as they are.
+
+    n_chars follows a text that changes. Null ids come first; null texts stay null; an empty table stays empty;
+    further columns are kept, whatever their names.
+    """
+    row, left = fresh(docs, "_row"), fresh(docs, "_kept")
+    own = keyed(docs, row)
+    kept = substrings.dedup_substrings(own.select(row, "text"), id_col=row, with_text=True).where("n_removed > 0").select(row, F.col("kept_text").alias(left))
+    own = own.join(kept, row, "left")
+    text = F.coalesce(F.col(left), F.col("text"))
+    size = F.when(F.col(left).isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return own.select(*[text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece with its sequence and place."""
+    """Every piece with its sequence and place; a null text is an empty one, null ids are kept, an empty table has no pieces."""
     return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
