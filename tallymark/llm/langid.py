@@ -6,8 +6,8 @@ is known, then to shorter ones. A document's score in a language is the mean ove
 and the best language wins. Scoring is one pass over the rows, without a shuffle.
 
 The model comes from Spark aggregations over a bounded sample of labelled rows (about
-``most_docs`` of each language, chosen by a hash of the id) and holds all words and n-grams of
-these, so what is sent to executors is bounded by the sample.
+``most_docs`` of each language, chosen by a hash of id and text, four times as many at most) and holds all words
+and n-grams of these, so what is sent to executors is bounded by the sample.
 Every document is scored over its whole text. A run of over 64 letters (unspaced text)
 counts as its pieces of 16, in training too.
 
@@ -15,6 +15,8 @@ Defined results: null texts, texts without a letter, and all texts where nothing
 learnt are ``und`` with score 0; a text with letters of which nothing is known gets the most
 frequent language and, as its score, one part in so many languages; equal languages go to the
 smaller name; rows without a language teach nothing; repeated rows count as often as they stand there.
+Null ids are kept and may teach; an empty table gives no rows; ``with_languages`` keeps all columns and
+refuses a new name that is taken, ``predict`` leaves other columns out.
 """
 
 from __future__ import annotations
@@ -42,7 +44,10 @@ MOST_KEPT = 150_000
 
 def letters(text: str | None) -> list[str]:
     """Words; a run over 64 letters counts as its pieces, which share ends, so that every n-gram is in one."""
-    return cut(LETTERS.findall(text.lower()), 16 - LONGEST + 1) if text else []
+    own = LETTERS.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, own)):  # numbers beyond the digits, as in fractions or circled ones
+        own = [part for w in own for part in "".join(c if c.isalpha() else " " for c in w).split()]
+    return cut(own, 16 - LONGEST + 1)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -81,7 +86,9 @@ def fit(documents: DataFrame, keep: Column | None = None, most_docs: int = 400)
     if not counts:
         return None
     part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most_docs / n))])
-    sample = known.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
+    sample = known.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)).select("lang", "text")
+    if sample.select("lang").count() > (most := 4 * most_docs * len(counts)):  # many rows equal in id and text
+        sample = sample.limit(most)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
