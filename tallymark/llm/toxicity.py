@@ -190,8 +190,11 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column | None = None, mos
                     yield from out.add(row, len(row[1]) + len(row[2]))
         yield out.flush()
 
-    # chosen is bounded by most_docs for each class, whatever the size of the corpus
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int"), "text", "doc_id").orderBy("doc_id").select("label", "text").mapInArrow(coded, "label int, words string, codes binary").collect()
+    # chosen is bounded by most_docs for each class, whatever the size of the corpus; an id may stand in many rows
+    drawn = texts.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int"), "text", "doc_id")
+    if drawn.select("doc_id").count() > (most := 8 * most_docs):
+        drawn = drawn.limit(most)
+    rows = drawn.orderBy("doc_id").select("label", "text").mapInArrow(coded, "label int, words string, codes binary").collect()
     y = np.array([r["label"] for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
