@@ -8,7 +8,8 @@ the pieces take them by a join on length and rank within length. Ranks are count
 groups, so that one very common length doesn't meet in one task.
 
 Defined results: null and empty texts are packed as the end token alone; every row is packed,
-repeated rows as often as they stand there; a null id is kept.
+repeated rows as often as they stand there; a null id is kept; an empty table has no pieces; other
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ CAPACITY = 4096
 END = 1
 #: Slots spread out by one row, and rows that one salted group is meant to hold.
 SPREAD, GROUP = 1 << 16, 50_000
+#: Column with the number of a stored piece.
+_ROW = "_piece_row"
 
 
 def token_pieces(df: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -112,9 +115,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (id, piece, start, length, ...).
 
-    ``pieces`` is read three times, so it should be a stored table.
+    Ranks are counted in groups dealt by a stored row number, so that rows which share an id are spread too.
     """
-    spark = pieces.sparkSession
+    spark, columns = pieces.sparkSession, [c for c in pieces.columns if c != _ROW]
+    if _ROW not in pieces.columns:
+        pieces = staged(pieces.withColumn(_ROW, F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = plan(histogram, capacity)
     slots = (
@@ -125,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         .selectExpr("length as slot_length", "first_rank + j as slot_rank", "first_sequence + j div fit as sequence_id", "at + (j % fit) * length as offset")
     )
     salts = max(8, -(-max(histogram.values(), default=1) // GROUP))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col(_ROW)), F.lit(salts)))
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         .select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
@@ -136,9 +141,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         .withColumn("rank", F.col("before") + F.col("own") - 1)
     )
     joined = ranked.join(slots, (ranked["length"] == slots["slot_length"]) & (ranked["rank"] == slots["slot_rank"]))
-    return joined.select(*[pieces[c] for c in pieces.columns], "sequence_id", F.col("offset"))
+    return joined.select(*[pieces[c] for c in columns], "sequence_id", F.col("offset"))
 
 
 def pack_documents(df: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenize, cut and pack all rows: id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    return pack(staged(token_pieces(df, vocab, capacity, id_col, text_col, with_ids), "pieces"), capacity, id_col)
+    own = token_pieces(df, vocab, capacity, id_col, text_col, with_ids).withColumn(_ROW, F.monotonically_increasing_id())
+    return pack(staged(own, "pieces"), capacity, id_col)
