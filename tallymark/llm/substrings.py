@@ -172,9 +172,10 @@ def _fetched(own: DataFrame, stretches: DataFrame) -> DataFrame:
     """(row, at, words): the earlier words of each stretch, joined by spaces; empty where there are none."""
     copies = F.ceil(F.col("n") / ASKED).cast("int")
     sizes = staged(stretches.groupBy("row0").agg(F.count("*").alias("n")).select("row0", copies.alias("copies")), "asked")
-    asked = stretches.join(sizes, "row0").withColumn("copy", F.pmod(F.xxhash64("row", "at"), F.col("copies")).cast("int"))
+    # stored, so that a leader asked by many rows is split in this join and dealt by copy after it
+    asked = staged(stretches.join(sizes, "row0").withColumn("copy", F.pmod(F.xxhash64("row", "at"), F.col("copies")).cast("int")).drop("copies"), "questions")
     asked = asked.groupBy("row0", "copy").agg(F.collect_list(F.struct("row", "at", "n", "at0")).alias("asked"))  # about ASKED
-    texts = own.join(sizes, own["row"] == sizes["row0"]).select("row0", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text")
+    texts = own.join(sizes, own["row"] == sizes["row0"]).select("row0", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text").repartition("row0", "copy")
     schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
