@@ -195,7 +195,7 @@ def _samples(data: memoryview, stbl: tuple[int, int]) -> tuple[np.ndarray, ...]:
 
 
 #: Flags of fragment boxes: which optional fields stand there (fixed values of ISO/IEC 14496-12).
-_TFHD_BASE, _TFHD_ENTRY, _TFHD_DURATION, _TFHD_SIZE, _TFHD_FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+_TFHD_BASE, _TFHD_ENTRY, _TFHD_DURATION, _TFHD_SIZE, _TFHD_FLAGS, _TFHD_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
 _TRUN_OFFSET, _TRUN_FIRST, _TRUN_DURATION, _TRUN_SIZE, _TRUN_FLAGS, _TRUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
 _NOT_SYNC = 0x10000
 
@@ -203,10 +203,12 @@ _NOT_SYNC = 0x10000
 def _fragments(data: memoryview, defaults: dict[int, tuple[int, int, int]]) -> dict[int, list[np.ndarray]]:
     """Of each track number: rows (offset, size, key frame, duration) of its samples in fragments."""
     out: dict[int, list[np.ndarray]] = {}
+    begin, after = 0, 0  # boxes follow each other, whatever the size of their heads
     for kind, a, b in walk(data, 0, len(data)):
+        begin, after = after, b
         if kind != b"moof":
             continue
-        moof, end = a - 8, None  # where the fragment begins; where the run before ended
+        moof, end = begin, None  # where the fragment begins; where the data of the track before ended
         for inner, c, d in walk(data, a, b):
             if inner != b"traf":
                 continue
@@ -215,7 +217,7 @@ def _fragments(data: memoryview, defaults: dict[int, tuple[int, int, int]]) -> d
                 raise ValueError("a fragment lacks tfhd")
             flags, track = struct.unpack_from(">II", data, head[0])
             flags, at = flags & 0xFFFFFF, head[0] + 8
-            base = moof
+            base = moof if end is None or flags & _TFHD_MOOF else end
             if flags & _TFHD_BASE:
                 base, at = struct.unpack_from(">Q", data, at)[0], at + 8
             at += 4 * bool(flags & _TFHD_ENTRY)
