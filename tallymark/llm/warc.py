@@ -206,12 +206,14 @@ def _walked(f: pa.NativeFile, base: int, end: int, packed: bool) -> list[tuple[i
 
 
 def index(f: pa.NativeFile) -> list[tuple[int, int]]:
-    """(offset in the file, length) of every record of every archive member, by the indexes or else by walking."""
+    """(offset in the file, length) of every record of every archive member, by the indexes and by walking what they leave out."""
     members = directory(f)
     archives = {name: m for name, m in members.items() if name.endswith((".warc", ".warc.gz"))}
     if not archives:
         raise ValueError("no WARC member")
-    base, short = {name: data_start(f, m) for name, m in archives.items()}, {name.rpartition("/")[2]: name for name in archives}
+    base, short = {name: data_start(f, m) for name, m in archives.items()}, defaultdict(list)
+    for name in archives:
+        short[name.rpartition("/")[2]].append(name)
     found: dict[str, set[tuple[int, int]]] = defaultdict(set)
     for name, member in members.items():
         if re.search(r"\.cdxj?(\.gz)?$", name):
@@ -219,11 +221,27 @@ def index(f: pa.NativeFile) -> list[tuple[int, int]]:
                 if "{" not in line:
                     continue
                 e = json.loads(line[line.index("{") :])
-                at = short.get(str(e.get("filename", "")).rpartition("/")[2]) or (next(iter(archives)) if len(archives) == 1 else None)
-                if at is None:
+                named = str(e.get("filename", ""))
+                at = [n for n in archives if n == named] or short.get(named.rpartition("/")[2]) or (list(archives) if len(archives) == 1 else [])
+                if not at:
                     raise ValueError(f"{name} names a file that isn't there: {e.get('filename')!r}")
-                found[at].add((base[at] + int(e["offset"]), int(e["length"])))
-    return [span for name, m in archives.items() for span in (sorted(found[name]) if name in found else _walked(f, base[name], base[name] + m.size, name.endswith(".gz")))]
+                if len(at) == 1:  # of several members with this name in different folders all records are walked
+                    found[at[0]].add((base[at[0]] + int(e["offset"]), int(e["length"])))
+    return [span for name, m in archives.items() for span in _completed(f, sorted(found[name]), base[name], base[name] + m.size, name.endswith(".gz"))]
+
+
+def _completed(f: pa.NativeFile, spans: list[tuple[int, int]], start: int, end: int, packed: bool) -> list[tuple[int, int]]:
+    """spans, and the records that stand between them."""
+    out = []
+    for at, length in [*spans, (end, 0)]:
+        head = b"" if packed else f.read_at(min(4, max(0, at - start)), start)
+        start += len(head) - len(head.lstrip(b"\r\n"))  # an index may leave a record's last line ends out
+        if at > start:
+            out += _walked(f, start, at, packed)
+        if length:
+            out.append((at, length))
+        start = max(start, at + length)
+    return out
 
 
 def write_archive(stream: io.IOBase, records: Iterator[tuple[int | None, str | None, bytes]]) -> int:
