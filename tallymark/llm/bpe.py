@@ -11,7 +11,8 @@ table, so that frequent words cost a look-up. Encoding needs no shuffle.
 
 Defined results: a null text is an empty one, with 0 tokens and the digests of empty text;
 special tokens written in a text become their ids, as the library does; repeated rows give
-repeated results; other columns are left out.
+repeated results; null ids are kept; an empty table has no rows; other columns are left out, whatever
+their names. A vocabulary whose special tokens hold white space is refused.
 """
 
 from __future__ import annotations
@@ -69,6 +70,9 @@ class Vocabulary:
             raise ValueError("a vocabulary with word ends and without dropout is needed")
         self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        if any(_SPLIT.search(x) for x in self.special):
+            raise ValueError("a special token holds white space")
+        self._sign = "<|" if all("<|" in x for x in self.special) else ""
         self._library = None
 
     def _pre_tokens(self, piece: str) -> list[str]:
@@ -99,7 +103,7 @@ class Vocabulary:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of text without white space."""
         out: list[int] = []
-        for part in self._special.split(piece) if self._special and "<|" in piece else (piece,):
+        for part in self._special.split(piece) if self._special and self._sign in piece else (piece,):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
