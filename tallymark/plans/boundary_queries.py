@@ -206,7 +206,8 @@ def grounded_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advice.grounded(payouts.select(F.col("settlement_id").alias("statement_id"), text.alias("text")), payouts)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added")
+@query(VIEWS + FINDINGS.replace("findings AS (", "findings AS MATERIALIZED (") + """, again AS MATERIALIZED (SELECT * FROM findings ORDER BY settlement_id DESC)
+SELECT (SELECT count(*) FROM (SELECT * FROM findings EXCEPT ALL SELECT * FROM again)) AS missing, (SELECT count(*) FROM (SELECT * FROM again EXCEPT ALL SELECT * FROM findings)) AS added""")
 def replay_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings made twice from the source, each run's rows that the other lacks: none if runs repeat."""
     first, second = findings_of(spark, sf_dir), findings_of(spark, sf_dir)

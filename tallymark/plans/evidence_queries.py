@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 _EXPLAINED = VIEWS + FINDINGS + """, ones AS (SELECT settlement_id, order_id AS explanation, order_id, net_paise, gross_paise, 1 AS k FROM pool WHERE credit_paise - net_paise <= 1
-), rest AS (SELECT * FROM pool ANTI JOIN ones USING (settlement_id, order_id)
+), rest AS MATERIALIZED (SELECT * FROM pool ANTI JOIN ones USING (settlement_id, order_id)
 ), pairs AS (
     SELECT a.settlement_id, a.order_id AS one, b.order_id AS two, a.net_paise AS n1, b.net_paise AS n2, a.gross_paise AS g1, b.gross_paise AS g2
     FROM (SELECT *, credit_paise - net_paise - r AS wanted FROM rest, (VALUES (0), (1), (2)) v(r)) a JOIN rest b ON a.settlement_id = b.settlement_id AND b.net_paise = a.wanted AND a.order_id < b.order_id

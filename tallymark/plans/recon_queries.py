@@ -21,7 +21,7 @@ _DATES = views._sql_bizadd
 #: Pools of rung 0, the single-order findings and their exceptions, after the views.
 POOLS = f""", dated AS (
     SELECT *, {_DATES("captured_on", "2")} AS pool_day FROM captures
-), pool AS (
+), pool AS MATERIALIZED (
     SELECT s.settlement_id, s.net_paise AS credit_paise, c.* FROM settlements s JOIN dated c ON c.pool_day = s.settled_on AND c.net_paise > 0 AND c.net_paise <= s.net_paise
 )"""
 FINDINGS = (
