@@ -12,7 +12,8 @@ from tallymark.operators import advice, changes, lineage, solver
 from tallymark.operators.findings import single_order_findings
 from tallymark.plans.close_queries import _ITEMS, _items
 from tallymark.plans.recon_queries import FINDINGS, base, findings_of
-from tallymark.sources import ingest
+from tallymark.sources import ingest, paged
+from tallymark.sources.shared import shared_path
 from tallymark.sources.views import SQL as VIEWS
 from tallymark.streaming import events
 
@@ -224,3 +225,13 @@ def findings_with_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
     solved = QUERIES["solver_findings"](spark, sf_dir)
     single = findings_of(spark, sf_dir).select("settlement_id", F.col("verdict").alias("single_verdict"))
     return solved.join(single, "settlement_id").groupBy("single_verdict", "verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1) AS idx, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 * 1000 AS skip FROM orders")
+def paged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as the pages of an export and read back through the source."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    own = orders.select(F.col("o_orderkey").alias("key"), F.to_json(F.struct("*")).alias("item"))
+    folder = shared_path(spark, "pages")
+    paged.land(own, folder)
+    return paged.fetch(spark, folder).select(F.inline(F.array(F.from_json("item", orders.schema))), "idx", "skip")

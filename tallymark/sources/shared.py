@@ -8,16 +8,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir and read again.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under spark.checkpoint.dir.
 
     Where that is unset, a local master gets a folder that goes with the process; a cluster
     has to name one.
     """
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
@@ -26,9 +25,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/tallymark/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/tallymark/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Tables that this process has stored, by session, name and the files they were made from.
