@@ -40,9 +40,11 @@ _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 _PRE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: Beyond Latin letters, the library's own normalizer and pattern are asked.
 _PLAIN = regex.compile(r"[\x00-\u024f]*")
+#: ASCII that is neither letter, digit, control nor space.
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 MOST_KEPT = 400_000
-#: Bytes of pieces and ids that a task of the library's encoder keeps.
-MOST_BYTES = 24 << 20
+#: Bytes of pieces and words with their ids that a task of the library's encoder keeps.
+MOST_BYTES = 112 << 20
 
 
 def pieces(text: str | None) -> list[str]:
@@ -262,7 +264,9 @@ class PrefixBPE(Vocabulary):
 class LibraryBPE(Vocabulary):
     """The same pieces and pre-tokens, with each word's ids from the tokenizers library.
 
-    It keeps the ids of pieces met before, up to ``MOST_BYTES``, and no automaton.
+    It keeps the ids of pieces and of words met before, up to ``MOST_BYTES``, and no automaton: a piece that is
+    new is often a known word in other letters or beside other signs. A word is a piece of its own, so both are
+    kept together, unless a special token could be taken for a word.
     """
 
     def __init__(self, path: str):
@@ -274,6 +278,7 @@ class LibraryBPE(Vocabulary):
         self._words = self._library.model
         self._stand_ins = str.maketrans(dict(enumerate(_byte_chars())))
         self._kept: dict[str, bytes] = {}
+        self._kept_words = {} if any(self._pre_tokens(x) == [x] for x in self.special) else self._kept
         self._held = 0
 
     def encode_word(self, word: str) -> list[int]:
@@ -281,18 +286,42 @@ class LibraryBPE(Vocabulary):
             word = word.encode().decode("latin-1").translate(self._stand_ins)
         return [t.id for t in self._words.tokenize(word)]
 
+    def _keep(self, table: dict[str, bytes], key: str, raw: bytes) -> None:
+        self._held += 200 + 2 * len(key) + len(raw)
+        if self._held > MOST_BYTES:
+            self._kept.clear()
+            self._kept_words.clear()
+            self._held = 200 + 2 * len(key) + len(raw)
+        table[key] = raw
+
+    def _packed_word(self, word: str) -> bytes:
+        raw = self._kept_words.get(word)
+        if raw is None:
+            raw = array("I", self.encode_word(word)).tobytes()
+            self._keep(self._kept_words, word, raw)
+        return raw
+
+    def _packed_piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            core = piece.rstrip(_SIGNS)
+            if core.isalpha() and not (self._special and self._sign in piece):
+                tail = piece[len(core) :]  # a run of signs is one word
+                return self._packed_word(core.lower()) + (self._packed_word(tail) if tail else b"")
+        if self._special and self._sign in piece and self._special.search(piece):
+            return array("I", self.encode_piece(piece)).tobytes()
+        return b"".join(map(self._packed_word, self._pre_tokens(piece)))
+
     def packed(self, text: str | None) -> list[bytes]:
         """The ids of each piece of a text, as little-endian unsigned 32-bit numbers."""
-        parts = pieces(text)
-        out = list(map(self._kept.get, parts))
+        parts, kept = pieces(text), self._kept
+        out = list(map(kept.get, parts))
         for i in [i for i, raw in enumerate(out) if raw is None]:
-            out[i] = raw = array("I", self.encode_piece(parts[i])).tobytes()
-            if parts[i] not in self._kept:
-                self._held += 200 + 2 * len(parts[i]) + len(raw)
-                if self._held > MOST_BYTES:
-                    self._kept.clear()
-                    self._held = 200 + 2 * len(parts[i]) + len(raw)
-                self._kept[parts[i]] = raw
+            raw = kept.get(parts[i])
+            if raw is None:
+                raw = self._packed_piece(parts[i])
+                if parts[i] not in kept:
+                    self._keep(kept, parts[i], raw)
+            out[i] = raw
         return out
 
 
