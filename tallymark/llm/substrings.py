@@ -32,8 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tallymark.llm.chunks import mixed
 from tallymark.llm.common import Batcher, released, shared_path, staged, words
@@ -135,15 +136,18 @@ def _places(own: DataFrame, span: int, bits: int) -> DataFrame:
     return staged(own.select("row", "id", "text").mapInArrow(run, "key long, id long, row long, start int"), "anchors")
 
 
-def _stretches(places: DataFrame, before: int, after: int) -> DataFrame:
+def _stretches(places: DataFrame, before: int, after: int, by_row: bool = False) -> DataFrame:
     """(row, at, n, row0, at0): stretches of words that may equal earlier ones.
 
     Each place that isn't its key's earliest gives ``before`` words before and ``after`` from it on;
-    those that touch on one diagonal of two rows are one stretch. ``at0`` may lie outside.
+    those that touch on one diagonal of two rows are one stretch. ``at0`` may lie outside. Rows of one id are one
+    document, or with ``by_row`` each a document of its own, in order of row.
     """
-    first = places.groupBy("key").agg(F.min(F.struct("id", "start", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    order = ("id", "row", "start") if by_row else ("id", "start", "row")
+    first = places.groupBy("key").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n")).where("n > 1")
     leaders = staged(first.selectExpr("key", "first.id as id0", "first.start as start0", "first.row as row0"), "leaders")
-    later = ~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("start") == F.col("start0")))
+    own = F.col("row") == F.col("row0") if by_row else F.col("id").eqNullSafe(F.col("id0"))
+    later = ~(own & (F.col("start") == F.col("start0")))
     hits = places.join(leaders, "key").where(later).select("row", "row0", (F.col("start") - F.col("start0")).alias("shift"), "start")
     lines = hits.groupBy("row", "row0", "shift").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # at most the places of one row
     schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("row0", pa.int64()), ("at0", pa.int32())])
@@ -251,34 +255,72 @@ def _open(matches: DataFrame) -> DataFrame:
     return matches.where("length(open) > 0").select("row", "id", "open", "keys").mapInArrow(run, "key long, id long, row long, start int")
 
 
-def _bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _bucketed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(row, id, text) in as many buckets by row as there are shuffle partitions: a stored table."""
     spark = docs.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
     rows.repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd").option("path", shared_path(spark, "texts")).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay; only the name goes
     return table
 
 
-def dedup_substrings(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hash_bits: int = 64) -> DataFrame:
-    """Per row: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
-
-    ``hash_bits`` is the width of the hashes that propose matches; it changes no result.
-    """
+def _marked(own: DataFrame, span: int, hash_bits: int, by_row: bool = False) -> DataFrame:
+    """own with ``spans``, the words to remove of each row."""
     if span < SEED:
         raise ValueError(f"the span has to be at least {SEED} words")
-    own = _bucketed(docs, id_col, text_col)
-    matches = _extended(own, _fetched(own, _stretches(_places(own, span, hash_bits), span - SEED, span)), span, 1, hash_bits)
+    matches = _extended(own, _fetched(own, _stretches(_places(own, span, hash_bits), span - SEED, span, by_row)), span, 1, hash_bits)
     every, seed = matches.select("row", "spans"), 2
     while True:  # windows that equal a place other than their anchor's leader; again only after a collision
-        stretches = _stretches(_open(matches), 0, span)
+        stretches = _stretches(_open(matches), 0, span, by_row)
         if not stretches.limit(1).count():
             break
         matches = _extended(own, _fetched(own, stretches), span, seed, hash_bits)
         every, seed = every.unionByName(matches.select("row", "spans")), seed + 1
     marks = every.where("length(spans) > 0").groupBy("row").agg(F.collect_list("spans").alias("spans"))  # one for each round
+    return own.join(marks, "row", "left")
+
+
+def _kept(mine: list[str], spans: list[bytes] | None) -> list[str]:
+    if not spans:
+        return mine
+    gone = np.zeros(len(mine), bool)
+    for a, b in np.concatenate([np.frombuffer(s, "<i4") for s in spans]).reshape(-1, 2).tolist():
+        gone[a:b] = True
+    return [w for w, g in zip(mine, gone.tolist(), strict=True) if not g]
+
+
+def without_repeats(docs: DataFrame, changed_col: str, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows with all columns, without the passages that ``dedup_substrings`` removes, and whether a text has changed.
+
+    Rows that share an id, null ids too, are each a document of their own. A text that loses nothing stays as it is, white space included; one that does is its words joined by spaces.
+    Rows go through one stored table and aren't shuffled again.
+    """
+    rest = [c for c in docs.columns if c != text_col]
+    own = _marked(_bucketed(docs, id_col, text_col, F.struct(*rest).alias("rest")), span, 64, by_row=True).select("rest", "text", "spans")
+    out = StructType([own.schema["rest"], own.schema["text"], StructField("changed", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = [], []
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = text.as_py()
+                texts.append(" ".join(_kept(words(text), spans)) if spans else text)
+                changed.append(bool(spans))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=["rest", "text", "changed"])
+        released()
+
+    new = own.mapInArrow(run, out)
+    return new.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], F.col("changed").alias(changed_col))
+
+
+def dedup_substrings(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hash_bits: int = 64) -> DataFrame:
+    """Per row: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+
+    ``hash_bits`` is the width of the hashes that propose matches; it changes no result.
+    """
+    own = _marked(_bucketed(docs, id_col, text_col), span, hash_bits)
     fields = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     ddl = "id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
@@ -290,17 +332,12 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id",
         for batch in batches:
             for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 mine = words(text.as_py())
-                kept = mine
-                if spans:
-                    gone = np.zeros(len(mine), bool)
-                    for a, b in np.concatenate([np.frombuffer(s, "<i4") for s in spans]).reshape(-1, 2).tolist():
-                        gone[a:b] = True
-                    kept = [w for w, g in zip(mine, gone.tolist(), strict=True) if not g]
+                kept = _kept(mine, spans)
                 joined = " ".join(kept)
                 row = (key, len(mine), len(mine) - len(kept), hashlib.sha256(joined.encode()).hexdigest())
                 yield from out.add(row + (joined,) * with_text, 128 + len(joined) * with_text)
         yield out.flush()
         released()
 
-    done = own.join(marks, "row", "left").select("id", "text", "spans").mapInArrow(remove, ddl)
+    done = own.select("id", "text", "spans").mapInArrow(remove, ddl)
     return done.withColumnRenamed("id", id_col)
