@@ -51,27 +51,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_scores(docs, model, score_col=score).where(F.col(score) < TOXIC).select(docs.columns)
 
 
-def keyed(docs: DataFrame, row: str) -> DataFrame:
-    """docs with a number for each row in column ``row``, stored; rows are in order of id, a null id first.
-
-    Ids repeat and may be null, so a stage decides by this number.
-    """
-    at = fresh(docs, "_at")
-    placed = docs.withColumn(at, F.monotonically_increasing_id())  # splits ids that many rows share
-    return staged(placed.orderBy(F.col("doc_id").asc_nulls_first(), at).drop(at).withColumn(row, F.monotonically_increasing_id()), "keyed")
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: one with the group's smallest id. Texts without a word are in no group and stay.
 
-    Null ids count as smallest and as rows of their own; an empty table stays empty; further columns are kept,
-    whatever their names.
+    Ids repeat and may be null, so rows are told apart by a number of their own. Null ids count as smallest; an
+    empty table stays empty; further columns are kept, whatever their names.
     """
     row = fresh(docs, "_row")
-    own = keyed(docs, row)
+    own = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     groups = jaccard.linked_components(own.select(row, "text"), n=SHINGLE, t100=SIMILAR, id_col=row)
-    heads = groups.where(F.col("component_id") == F.col(row)).select(row)
-    return own.join(heads, row, "left_semi").select(docs.columns)
+    heads = own.select(row, "doc_id").join(groups.select(row, "component_id"), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("head"))
+    return own.join(heads.select(F.col(f"head.{row}").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,13 +70,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     n_chars follows a text that changes. Null ids come first; null texts stay null; an empty table stays empty;
     further columns are kept, whatever their names.
     """
-    row, left = fresh(docs, "_row"), fresh(docs, "_kept")
-    own = keyed(docs, row)
-    kept = substrings.dedup_substrings(own.select(row, "text"), id_col=row, with_text=True).where("n_removed > 0").select(row, F.col("kept_text").alias(left))
-    own = own.join(kept, row, "left")
-    text = F.coalesce(F.col(left), F.col("text"))
-    size = F.when(F.col(left).isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return own.select(*[text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    changed = fresh(docs, "_changed")
+    own = substrings.without_repeats(docs, changed)
+    if "n_chars" in docs.columns:
+        own = own.withColumn("n_chars", F.when(F.col(changed), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return own.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
