@@ -3,12 +3,14 @@
 Payouts are rivals if explanations of theirs share an order; groups of rivals are found by
 spreading labels, and each is solved by branch and bound in ``applyInPandas``. The search of a group
 ends after ``STEPS`` choices: what it has found by then is returned as ``BEST_FOUND`` and nothing
-of it is called forced. Payouts of a group that can't all be explained are told as cores. A group's frame holds its explanations, however many.
+of it is called forced. Payouts of a group that can't all be explained are told as cores, each with a state that says
+whether the search came to its end. A group's frame holds its explanations, however many.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,59 +57,99 @@ def best(rows: list[tuple[str, int, frozenset[str]]], banned: frozenset[int] = f
     return *top, steps <= STEPS
 
 
-def together(sets: list[list[frozenset[str]]]) -> bool | None:
-    """Whether one set of each list can be taken with no order twice; None if ``STEPS`` choices don't tell."""
-    lists = sorted(sets, key=len)
-    stack: list[tuple[int, frozenset[str]]] = [(0, frozenset())]
-    for _ in range(STEPS):
-        if not stack:
-            return False
-        at, used = stack.pop()
-        if at == len(lists):
-            return True
-        stack += [(at + 1, used | own) for own in reversed(lists[at]) if not used & own]
-    return None
+def loosened(sets: list[list[frozenset[str]]]) -> list[list[frozenset[str]]]:
+    """sets without those that can't be in the way: a list with a set whose orders no other list wants is
+    taken out, again and again. What is left holds together just if all did."""
+    left = [list(own) for own in sets]
+    while True:
+        wanted = Counter(o for own in left for o in frozenset().union(*own))
+        stay = [own for own in left if not any(all(wanted[o] == 1 for o in x) for x in own)]
+        if len(stay) == len(left):
+            return stay
+        left = stay
 
 
-def cores(rows: list[tuple[str, frozenset[str]]]) -> list[list[str]]:
-    """Disjoint sets of payouts that can't all be explained at once; rows are (payout, orders).
+def together(sets: list[list[frozenset[str]]], most: int | None = None) -> bool | None:
+    """Whether one set of each list can be taken with no order twice; None if ``most`` (``STEPS``) choices don't tell.
 
-    Payouts are left out one by one while the rest stays contradictory, so each of a core's members
-    is needed for it, unless a search gave up. What remains without a core's payouts is searched
-    for the next, until it holds together.
+    The list with the fewest sets left is always chosen from next.
+    """
+    stack, steps = [loosened(sets)], 0
+    while stack:
+        left = stack.pop()
+        if not left:
+            return True
+        steps += 1
+        if steps > (STEPS if most is None else most):
+            return None
+        at = min(range(len(left)), key=lambda i: len(left[i]))
+        rest = left[:at] + left[at + 1 :]
+        for own in reversed(left[at]):
+            less = [[x for x in other if not x & own] for other in rest]
+            if all(less):
+                stack.append(less)
+    return False
+
+
+def cores(rows: list[tuple[str, frozenset[str]]], most: int | None = None) -> list[tuple[list[str], str]]:
+    """Disjoint sets of payouts that can't all be explained at once, with their state; rows are (payout, orders).
+
+    A core is found by halves: what is needed of one half is looked for while the other stays. MINIMAL cores need each
+    of their members; of a CONTRADICTORY one a search gave up on that. What remains without a core's payouts is
+    searched for the next, until it holds together; if a search gives up on this, the rest is one UNDECIDED core.
     """
     by_payout: dict[str, list[frozenset[str]]] = {}
     for payout, own in rows:
         by_payout.setdefault(payout, []).append(own)
-    out: list[list[str]] = []
+    gave_up = False
+
+    def holds(payouts: list[str]) -> bool | None:
+        nonlocal gave_up
+        answer = together([by_payout[p] for p in payouts], most)
+        gave_up |= answer is None
+        return answer
+
+    def needed(kept: list[str], added: bool, some: list[str]) -> list[str]:
+        """Members of ``some`` that make a contradiction with ``kept``, which holds together as long as nothing was added."""
+        if added and holds(kept) is False:
+            return []
+        if len(some) == 1:
+            return some
+        half = len(some) // 2
+        second = needed(kept + some[:half], True, some[half:])
+        return needed(kept + second, bool(second), some[:half]) + second
+
+    out: list[tuple[list[str], str]] = []
     rest = sorted(by_payout)
-    while together([by_payout[p] for p in rest]) is False:
-        core = list(rest)
-        for payout in rest:
-            less = [p for p in core if p != payout]
-            if together([by_payout[p] for p in less]) is False:
-                core = less
-        out.append(core)
+    while rest and (answer := holds(rest)) is not True:
+        if answer is None:
+            out.append((rest, "UNDECIDED"))
+            break
+        gave_up = False
+        core = sorted(needed([], False, rest))
+        out.append((core, "CONTRADICTORY" if gave_up else "MINIMAL"))
         rest = [p for p in rest if p not in core]
     return out
 
 
-def unsat_cores(explanations: DataFrame) -> DataFrame:
-    """(core, settlement_id, contested) of payouts in a contradiction of explanations (settlement_id,
+def unsat_cores(explanations: DataFrame, most: int | None = None) -> DataFrame:
+    """(core, settlement_id, contested, state) of payouts in a contradiction of explanations (settlement_id,
     explanation, order_ids); core is its smallest payout, contested the number of orders that
-    several of its members claim. Payouts without an explanation have no row there and none here.
+    several of its members claim, state as ``cores`` has it. Payouts without an explanation have no row there and none here.
     """
     parts = conflict_components(explanations.select("settlement_id", F.explode("order_ids").alias("order_id")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = cores([(s, frozenset(o)) for s, o in zip(frame["settlement_id"], frame["order_ids"], strict=True)])
-        return pd.DataFrame([(core[0], payout) for core in found for payout in core], columns=["core", "settlement_id"])
+        found = cores([(s, frozenset(o)) for s, o in zip(frame["settlement_id"], frame["order_ids"], strict=True)], most)
+        return pd.DataFrame([(core[0], payout, state) for core, state in found for payout in core], columns=["core", "settlement_id", "state"])
 
-    members = explanations.join(parts, "settlement_id").select("component", "settlement_id", "order_ids").groupBy("component").applyInPandas(run, "core string, settlement_id string")
+    # a component of one payout always holds together
+    several = parts.join(parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component")
+    members = explanations.join(several, "settlement_id").select("component", "settlement_id", "order_ids").groupBy("component").applyInPandas(run, "core string, settlement_id string, state string")
     members = stored(members, "cores")
     claims = members.join(explanations, "settlement_id").select("core", "settlement_id", F.explode("order_ids").alias("order_id")).distinct()
     contested = claims.groupBy("core", "order_id").agg(F.count("*").alias("n")).where("n > 1").groupBy("core").agg(F.count("*").alias("contested"))
-    return members.join(contested, "core").select("core", "settlement_id", "contested")
+    return members.join(contested, "core", "left").select("core", "settlement_id", F.coalesce("contested", F.lit(0)).alias("contested"), "state")
 
 
 def packed_findings(payouts: DataFrame, explanations: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from tallymark.plans.close_queries import _judged
 from tallymark.plans.evidence_queries import _EXPLAINED, _explained
 from tallymark.plans.recon_queries import FINDINGS, base, findings_of
 from tallymark.sources import ingest
+from tallymark.sources.shared import once
 from tallymark.sources.views import SQL as VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,7 +111,7 @@ def recon_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _explained(spark, sf_dir).groupBy("settlement_id", "explanation").agg(F.sum("net_paise").alias("net_paise"))
+    own = once("explained", (base(spark, sf_dir)[0],), lambda: _explained(spark, sf_dir)).groupBy("settlement_id", "explanation").agg(F.sum("net_paise").alias("net_paise"))
     return own.select("settlement_id", F.xxhash64("explanation").alias("explanation"), "net_paise", F.split("explanation", " ").alias("order_ids"))
 
 
@@ -124,3 +125,15 @@ def packed_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def propagated_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the small explanations once orders have owners."""
     return cascade.propagated(_sets(spark, sf_dir))
+
+
+@query()
+def unsat_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payouts whose small explanations can't all hold."""
+    return setpacking.unsat_cores(_sets(spark, sf_dir))
+
+
+@query()
+def packed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every payout's verdict by what packing forces."""
+    return setpacking.packed_findings(base(spark, sf_dir)[1], _sets(spark, sf_dir))

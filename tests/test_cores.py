@@ -20,7 +20,8 @@ def test_cores_are_minimal_and_leave_nothing_behind():
     n_found = 0
     for _ in range(60):
         rows = [(f"s{draw.randrange(6)}", frozenset(draw.sample("abcdefg", draw.randint(1, 3)))) for _ in range(draw.randint(1, 10))]
-        found = setpacking.cores(rows)
+        found = [core for core, state in setpacking.cores(rows) if state == "MINIMAL"]
+        assert len(found) == len(setpacking.cores(rows))
         n_found += len(found)
         for core in found:
             assert not _holds(rows, core)
@@ -31,6 +32,33 @@ def test_cores_are_minimal_and_leave_nothing_behind():
     assert n_found > 10
 
 
+def test_a_search_that_gives_up_is_told():
+    draw = random.Random(4)
+    seen = set()
+    for _ in range(80):
+        rows = [(f"s{draw.randrange(7)}", frozenset(draw.sample("abcdefg", draw.randint(1, 3)))) for _ in range(14)]
+        names = sorted({p for p, _ in rows})
+        for most in (0, 1, 2, 3):
+            found = setpacking.cores(rows, most)
+            seen |= {state for _, state in found}
+            taken = [p for core, _ in found for p in core]
+            assert len(taken) == len(set(taken))
+            for core, state in found:
+                assert state == "UNDECIDED" or not _holds(rows, core)
+                assert state != "MINIMAL" or all(_holds(rows, less) for less in combinations(core, len(core) - 1))
+            if "UNDECIDED" not in {state for _, state in found}:  # then nothing is left out
+                assert _holds(rows, [p for p in names if p not in taken])
+    assert seen == {"MINIMAL", "CONTRADICTORY", "UNDECIDED"}
+
+
+def test_loosening_changes_no_answer():
+    draw = random.Random(6)
+    for _ in range(200):
+        rows = [(f"s{draw.randrange(6)}", frozenset(draw.sample("abcdefgh", draw.randint(1, 3)))) for _ in range(draw.randint(1, 10))]
+        names = sorted({p for p, _ in rows})
+        assert setpacking.together([[o for p, o in rows if p == want] for want in names]) == _holds(rows, names)
+
+
 def test_findings_of_packing(spark):
     rows = [("s1", 1, 5, ["a"]), ("s2", 1, 5, ["a"]), ("s3", 1, 9, ["b", "c"]), ("s4", 1, 4, ["d"]), ("s4", 2, 4, ["e"])]
     sets = spark.createDataFrame(rows, SETS)
