@@ -38,9 +38,12 @@ def blockers(own: DataFrame, found: DataFrame, bound: Bound = Bound()) -> DataFr
     return every.groupBy("period_id", "kind", "ref_id").agg(F.min(F.struct("rule_no", "exposure_paise")).alias("first")).select("period_id", "kind", "ref_id", "first.rule_no", "first.exposure_paise")
 
 
-def verdicts(own: DataFrame, found: DataFrame, bound: Bound = Bound()) -> DataFrame:
-    """Per period: BLOCKED, READY_WITH_CARRY_FORWARD or READY_TO_CLOSE, with counts."""
-    stops = blockers(own, found, bound).groupBy("period_id").agg(F.count("*").alias("n_blockers"), F.count_distinct("kind").alias("n_kinds"), F.sum(F.when(F.col("exposure_paise") > 0, F.col("exposure_paise")).otherwise(0)).alias("blocked_paise"))
+def verdicts(own: DataFrame, found: DataFrame, bound: Bound = Bound(), raised: DataFrame | None = None) -> DataFrame:
+    """Per period: BLOCKED, READY_WITH_CARRY_FORWARD or READY_TO_CLOSE, with counts.
+
+    ``raised`` has all blockers that count, where more are known than ``blockers`` gives.
+    """
+    stops = (blockers(own, found, bound) if raised is None else raised).groupBy("period_id").agg(F.count("*").alias("n_blockers"), F.count_distinct("kind").alias("n_kinds"), F.sum(F.when(F.col("exposure_paise") > 0, F.col("exposure_paise")).otherwise(0)).alias("blocked_paise"))
     sums = totals(own, bound).join(stops, "period_id", "left")
     n = F.coalesce("n_blockers", F.lit(0))
     verdict = F.when(n > 0, "BLOCKED").when((F.col("net_unresolved_paise") > 0) | (F.col("n_exceptions") > 0), "READY_WITH_CARRY_FORWARD").otherwise("READY_TO_CLOSE")

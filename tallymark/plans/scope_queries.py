@@ -85,6 +85,37 @@ def blocker_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.breakdown(scope.first_of(readiness.blockers(*_items(spark, sf_dir)).unionByName(_scoped(spark, sf_dir))))
 
 
+def _all_blockers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    own, found = _items(spark, sf_dir)
+    return own, found, stored(scope.first_of(readiness.blockers(own, found).unionByName(_scoped(spark, sf_dir))), "all-blockers")
+
+
+_WHOLE = (
+    _CLOSE
+    + _SCOPE
+    + """, all_blockers AS (
+    SELECT * FROM (SELECT period_id, kind, ref_id, rule_no, exposure_paise FROM blockers UNION ALL SELECT period_id, kind, ref_id, rule_no, exposure_paise FROM scoped) QUALIFY row_number() OVER (PARTITION BY period_id, kind, ref_id ORDER BY rule_no, exposure_paise) = 1
+), all_stops AS (
+    SELECT period_id, count(*) AS n_blockers, count(DISTINCT kind) AS n_kinds, CAST(sum(CASE WHEN exposure_paise > 0 THEN exposure_paise ELSE 0 END) AS BIGINT) AS blocked_paise FROM all_blockers GROUP BY period_id
+)"""
+)
+
+
+@query(_WHOLE + "SELECT * FROM all_blockers")
+def all_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blockers of all twelve kinds, each reference of a kind once."""
+    return _all_blockers(spark, sf_dir)[2]
+
+
+@query(_WHOLE + """SELECT period_id, CASE WHEN coalesce(n_blockers, 0) > 0 THEN 'BLOCKED' WHEN net_unresolved_paise > 0 OR n_exceptions > 0 THEN 'READY_WITH_CARRY_FORWARD' ELSE 'READY_TO_CLOSE' END AS verdict,
+        coalesce(n_blockers, 0) AS n_blockers, coalesce(n_kinds, 0) AS n_kinds, total_paise, net_unresolved_paise, CASE WHEN material THEN net_unresolved_paise ELSE coalesce(blocked_paise, 0) END AS material_exposure_paise
+    FROM totals LEFT JOIN all_stops USING (period_id)""")
+def whole_period_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Period verdicts that count the blockers of scope, proofs and search spaces too."""
+    own, found, raised = _all_blockers(spark, sf_dir)
+    return readiness.verdicts(own, found, raised=raised)
+
+
 def _digest(name: str, source: str, columns: tuple[str, ...]) -> str:
     item = "sha256(CAST(to_json([" + ", ".join(f"CAST({c} AS VARCHAR)" for c in columns) + "]) AS VARCHAR))"
     lanes = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT)) AS VARCHAR)" for k in range(4))
@@ -118,3 +149,12 @@ def full_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, found = _items(spark, sf_dir)
     stops = stored(readiness.blockers(own, found), "blockers")
     return certificate.issue(readiness.verdicts(own, found), exposure.totals(own), stops, readiness.carry_forward(own), ISSUED_AT).withColumn("invariants", F.array_join("invariants", "; "))
+
+
+@query()
+def whole_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificates whose list of blockers has all kinds, held against the tables they name."""
+    own, found, raised = _all_blockers(spark, sf_dir)
+    carried = readiness.carry_forward(own)
+    issued = stored(certificate.issue(readiness.verdicts(own, found, raised=raised), exposure.totals(own), raised, carried, ISSUED_AT), "certificates")
+    return issued.select("period_id", "certificate_id", "verdict", "n_blockers", "evidence_hash").join(certificate.verified(issued, raised, carried), "period_id")
