@@ -76,19 +76,26 @@ def review_queue(own: DataFrame, carried: DataFrame, stops: DataFrame, allowed:
     return rows.select("period_id", "settlement_id", "reason", score.cast("long").alias("priority"), "exposure_paise", impact.alias("close_impact"))
 
 
-def simulate(own: DataFrame, found: DataFrame, verdicts) -> DataFrame:
-    """Period verdicts under each scenario: what if the items of a kind were resolved?"""
+def scenario_items(own: DataFrame) -> DataFrame:
+    """Items once for each scenario, (scenario, item columns): those that a scenario resolves are proven, verified and open nothing."""
     scenarios = {
         "BASELINE": F.lit(False), "RESOLVE_AMBIGUOUS": F.col("verdict") == "AMBIGUOUS", "RESOLVE_HIGH": F.col("severity") == "HIGH",
         "CLEAR_POLICY_BLOCKS": F.coalesce(F.col("decision") == "BLOCK", F.lit(False)), "RESOLVE_ALL": F.lit(True),
     }
-    out = None
-    for name, done in scenarios.items():
-        changed = own.select(
-            "settlement_id", "period_id", "settled_on", "value_paise", F.when(done, "PROVEN").otherwise(F.col("verdict")).alias("verdict"), F.when(done, F.lit(None).cast("string")).otherwise(F.col("reason")).alias("reason"),
-            F.when(done, "LOW").otherwise(F.col("severity")).alias("severity"), F.when(done, "AUTO_POST").otherwise(F.col("decision")).alias("decision"), F.when(done, F.lit(0)).otherwise(F.col("unexplained_paise")).cast("long").alias("unexplained_paise"),
-            F.when(done, F.col("value_paise")).otherwise(F.col("verified_paise")).alias("verified_paise"), F.when(done, F.lit(None).cast("string")).otherwise(F.col("kind")).alias("kind"), F.when(done, F.lit(0)).otherwise(F.col("exposure_paise")).cast("long").alias("exposure_paise"),
-        )
-        rows = verdicts(changed, found).withColumn("scenario", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+
+    def under(name: str, done: Column) -> Column:
+        resolved = {"verdict": F.lit("PROVEN"), "reason": none, "severity": F.lit("LOW"), "decision": F.lit("AUTO_POST"), "unexplained_paise": zero, "verified_paise": F.col("value_paise"), "kind": none, "exposure_paise": zero}
+        return F.struct(F.lit(name).alias("scenario"), *[F.when(done, v).otherwise(F.col(c)).alias(c) for c, v in resolved.items()])
+
+    return own.select("settlement_id", "period_id", "settled_on", "value_paise", F.inline(F.array(*[under(*x) for x in scenarios.items()])))
+
+
+def simulate(own: DataFrame, found: DataFrame, verdicts) -> DataFrame:
+    """Period verdicts under each scenario: what if the items of a kind were resolved?
+
+    A scenario's periods are periods of their own, so all scenarios go through one plan.
+    """
+    own = scenario_items(own).withColumn("period_id", F.concat_ws("|", "scenario", "period_id")).drop("scenario")
+    out = verdicts(own, found)
+    return out.select(F.substring_index("period_id", "|", -1).alias("period_id"), *[c for c in out.columns if c != "period_id"], F.substring_index("period_id", "|", 1).alias("scenario"))

@@ -92,14 +92,17 @@ def evidence_hash(row: dict) -> str:
 def conflict_components(fits: DataFrame) -> DataFrame:
     """(settlement_id, component): payouts that are joined by orders that several could hold.
 
-    Smallest labels spread over orders until none changes; each round is written out.
+    Smallest labels spread over orders, and then to the label's own label, so that chains halve,
+    until none changes; each round is written out.
     """
     edges = shared.stored(fits.select("settlement_id", "order_id").distinct(), "claims")
     labels = edges.select("settlement_id").distinct().withColumn("component", F.col("settlement_id"))
     while True:
         by_order = edges.join(labels, "settlement_id").groupBy("order_id").agg(F.min("component").alias("low"))
         lowest = edges.join(by_order, "order_id").groupBy("settlement_id").agg(F.min("low").alias("low"))
-        stepped = shared.stored(labels.join(lowest, "settlement_id").select("settlement_id", F.col("component").alias("was"), F.least("component", "low").alias("component")), "labels")
+        near = labels.join(lowest, "settlement_id").select("settlement_id", F.col("component").alias("was"), F.least("component", "low").alias("component"))
+        heads = labels.select(F.col("settlement_id").alias("component"), F.col("component").alias("head"))
+        stepped = shared.stored(near.join(heads, "component").select("settlement_id", "was", F.least("component", "head").alias("component")), "labels")
         labels = stepped.select("settlement_id", "component")
         if not stepped.where("was <> component").limit(1).count():
             return labels
