@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallymark.functions.money import FEE_BPS
 from tallymark.operators import blocking
 from tallymark.operators.close import certificate, exposure, readiness, scope
-from tallymark.plans.close_queries import _CARRIED, _CLOSE, _items
+from tallymark.operators.findings import exceptions
+from tallymark.plans.close_queries import _CARRIED, _CLOSE, _items, _judged
 from tallymark.plans.recon_queries import FINDINGS, base, findings_of
 from tallymark.sources import views
 from tallymark.sources.shared import stored
@@ -158,3 +159,63 @@ def whole_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     carried = readiness.carry_forward(own)
     issued = stored(certificate.issue(readiness.verdicts(own, found, raised=raised), exposure.totals(own), raised, carried, ISSUED_AT), "certificates")
     return issued.select("period_id", "certificate_id", "verdict", "n_blockers", "evidence_hash").join(certificate.verified(issued, raised, carried), "period_id")
+
+
+#: Sources that lack payouts, findings or exceptions, or have several, by what is left of a payout's number.
+_KEY = "CAST(substr(settlement_id, 6) AS BIGINT)"
+_SOURCES = _CLOSE + f""", f0 AS (SELECT *, {_KEY} AS k FROM findings), e0 AS (SELECT *, {_KEY} AS k FROM exceptions
+), fs AS (
+    SELECT settlement_id, 1 AS seq, verdict, k % 3 <> 0 AS postable, n_fits AS n_proofs, fit_net AS proof_net, fit_gross AS proofs_gross FROM f0 WHERE k % 13 <> 0
+    UNION ALL SELECT settlement_id, 2, 'AMBIGUOUS', false, 2, fit_net, fit_gross FROM f0 WHERE verdict = 'PROVEN' AND k % 17 = 0
+), es AS (
+    SELECT settlement_id, 'EX-' || settlement_id AS exception_id, 1 AS seq, reason, severity, amount_paise, CASE WHEN k % 4 = 1 AND verdict = 'PROVEN' THEN amount_paise // 9 ELSE unexplained_paise END AS unexplained_paise, CASE WHEN verdict = 'AMBIGUOUS' AND k % 2 = 0 THEN unexplained_paise ELSE 0 END AS disputed_paise FROM e0 WHERE k % 5 <> 0
+    UNION ALL SELECT settlement_id, 'EX-b-' || settlement_id, 2, reason, 'LOW', amount_paise, -unexplained_paise, 0 FROM e0 WHERE k % 7 = 0
+    UNION ALL SELECT settlement_id, 'EX-' || settlement_id, 3, reason, 'LOW', amount_paise, unexplained_paise * 5, 0 FROM e0 WHERE k % 11 = 0
+), ps AS (SELECT settlement_id, net_paise FROM settlements WHERE truth_key % 19 <> 0
+), f1 AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY settlement_id ORDER BY verdict = 'PROVEN', seq) = 1
+), e1 AS (SELECT * FROM (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY exception_id ORDER BY seq) = 1) QUALIFY row_number() OVER (PARTITION BY settlement_id ORDER BY abs(unexplained_paise) DESC, seq) = 1
+), joined AS (
+    SELECT s.settlement_id, verdict, coalesce(postable, false) AS postable, coalesce(n_proofs, 0) AS n_proofs, proofs_gross, e.exception_id IS NOT NULL AS excepted, e.reason, e.severity, coalesce(j.decision = 'BLOCK', false) AS stopped,
+        coalesce(abs(net_paise), CASE WHEN n_proofs > 0 THEN abs(proof_net) END, abs(amount_paise), 0) AS v, coalesce(abs(unexplained_paise), 0) AS u, coalesce(disputed_paise, 0) AS disputed
+    FROM (SELECT settlement_id FROM settlements) s LEFT JOIN f1 USING (settlement_id) LEFT JOIN e1 e USING (settlement_id) LEFT JOIN ps USING (settlement_id) LEFT JOIN (SELECT settlement_id, decision FROM judged) j USING (settlement_id)
+), ruled AS (
+    SELECT *, CASE WHEN verdict = 'PROVEN' AND postable THEN CASE WHEN stopped THEN 'A1' WHEN NOT excepted OR u = 0 THEN 'A' ELSE 'A2' END WHEN verdict = 'AMBIGUOUS' THEN 'B' WHEN verdict = 'INSUFFICIENT' THEN 'C' WHEN verdict = 'CONTRADICTED' THEN 'D' WHEN verdict = 'PROVEN' THEN 'E' WHEN excepted THEN 'F' ELSE 'G' END AS rule FROM joined
+), exposed AS (
+    SELECT *, CASE rule WHEN 'A' THEN 0 WHEN 'E' THEN 0 WHEN 'A2' THEN least(v, u) WHEN 'B' THEN CASE WHEN disputed > 0 THEN disputed WHEN n_proofs > 1 THEN proofs_gross WHEN u <> 0 THEN u ELSE v END WHEN 'D' THEN CASE WHEN excepted THEN u ELSE v END WHEN 'F' THEN u ELSE v END AS e FROM ruled
+), merged AS (
+    SELECT settlement_id, rule, v AS value_paise, CASE rule WHEN 'A' THEN v WHEN 'A2' THEN v - e ELSE 0 END AS verified_paise,
+        CASE rule WHEN 'A' THEN NULL WHEN 'A1' THEN 'POLICY_BLOCKED' WHEN 'A2' THEN 'PARTIAL' WHEN 'B' THEN 'AMBIGUOUS' WHEN 'E' THEN 'AMBIGUOUS' WHEN 'C' THEN 'INSUFFICIENT' WHEN 'D' THEN CASE WHEN e < v THEN 'PARTIAL' ELSE 'UNVERIFIED' END WHEN 'F' THEN CASE WHEN e = v THEN 'UNVERIFIED' ELSE 'PARTIAL' END ELSE 'UNVERIFIED' END AS kind,
+        CASE WHEN rule <> 'A' THEN coalesce(reason, CASE rule WHEN 'B' THEN 'MULTIPLE_VALID_ASSIGNMENTS' WHEN 'D' THEN 'NO_VALID_ASSIGNMENT' WHEN 'E' THEN 'SEARCH_SPACE_UNCERTAIN' ELSE 'INSUFFICIENT_EVIDENCE' END) END AS reason,
+        CASE WHEN rule IN ('A1', 'C', 'G') THEN 'HIGH' WHEN rule <> 'A' THEN coalesce(severity, CASE rule WHEN 'B' THEN 'MEDIUM' WHEN 'E' THEN 'LOW' ELSE 'HIGH' END) END AS severity, CAST(e AS BIGINT) AS exposure_paise
+    FROM exposed
+)"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, found, payouts = findings_of(spark, sf_dir), findings_of(spark, sf_dir), base(spark, sf_dir)[1]
+    k = F.substring("settlement_id", 6, 20).cast("long")
+    left = lambda n, is_=0: F.pmod(k, F.lit(n)) == is_
+    f1 = own.where(~left(13)).select("settlement_id", F.lit(1).alias("seq"), "verdict", (~left(3)).alias("postable"), F.col("n_fits").alias("n_proofs"), F.col("fit_net").alias("proof_net"), F.col("fit_gross").alias("proofs_gross"))
+    f2 = own.where((F.col("verdict") == "PROVEN") & left(17)).select("settlement_id", F.lit(2).alias("seq"), F.lit("AMBIGUOUS").alias("verdict"), F.lit(False).alias("postable"), F.lit(2).cast("long").alias("n_proofs"), F.col("fit_net").alias("proof_net"), F.col("fit_gross").alias("proofs_gross"))
+    excepted, u = exceptions(found), F.col("unexplained_paise")
+
+    def told(rows: DataFrame, prefix: str, seq: int, severity, unexplained, disputed) -> DataFrame:  # noqa: ANN001
+        return rows.select("settlement_id", F.concat(F.lit(prefix), "settlement_id").alias("exception_id"), F.lit(seq).alias("seq"), "reason", severity.alias("severity"), "amount_paise", unexplained.cast("long").alias("unexplained_paise"), disputed.cast("long").alias("disputed_paise"))
+
+    e1 = told(excepted.where(~left(5)), "EX-", 1, F.col("severity"), F.when(left(4, 1) & (F.col("verdict") == "PROVEN"), F.floor(F.col("amount_paise") / 9)).otherwise(u), F.when((F.col("verdict") == "AMBIGUOUS") & left(2), u).otherwise(0))
+    e2 = told(excepted.where(left(7)), "EX-b-", 2, F.lit("LOW"), -u, F.lit(0))
+    e3 = told(excepted.where(left(11)), "EX-", 3, F.lit("LOW"), u * 5, F.lit(0))
+    known = payouts.where(F.pmod("truth_key", F.lit(19)) != 0)
+    return exposure.merged(f1.unionByName(f2), e1.unionByName(e2).unionByName(e3), known, _judged(spark, sf_dir)[1], payouts.select("settlement_id"))
+
+
+@query(_SOURCES + "SELECT * FROM merged")
+def merged_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure where findings, exceptions and payouts are each incomplete or told several times."""
+    return _merged(spark, sf_dir)
+
+
+@query(_SOURCES + """SELECT count(*) AS n_settlements, count(kind) AS n_items, count(*) FILTER (rule = 'A') AS n_verified, CAST(sum(value_paise) AS BIGINT) AS total_paise, CAST(sum(verified_paise) AS BIGINT) AS verified_paise, CAST(sum(value_paise) - sum(verified_paise) AS BIGINT) AS net_unresolved_paise,
+    CAST(sum(exposure_paise) AS BIGINT) AS contested_paise, CAST(coalesce(sum(exposure_paise) FILTER (kind = 'AMBIGUOUS'), 0) AS BIGINT) AS ambiguous_paise, CAST(coalesce(sum(exposure_paise) FILTER (kind IN ('PARTIAL', 'UNVERIFIED')), 0) AS BIGINT) AS contradicted_paise, CAST(coalesce(sum(exposure_paise) FILTER (kind = 'INSUFFICIENT'), 0) AS BIGINT) AS insufficient_paise FROM merged""")
+def merged_exposure_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.merged_totals(_merged(spark, sf_dir))
