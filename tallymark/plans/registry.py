@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.plans import boundary_queries, cascade_queries, close_queries, evidence_queries, flow_queries, hypothesis_queries, ingest_queries, panel_queries, recon_queries, report_queries, scope_queries
+from tallymark.plans import boundary_queries, cascade_queries, close_queries, evidence_queries, flow_queries, hypothesis_queries, ingest_queries, lineage_queries, panel_queries, recon_queries, report_queries, scope_queries
 
-_MODULES = (recon_queries, close_queries, ingest_queries, report_queries, evidence_queries, boundary_queries, panel_queries, scope_queries, cascade_queries, hypothesis_queries, flow_queries)
+_MODULES = (recon_queries, close_queries, ingest_queries, report_queries, evidence_queries, boundary_queries, panel_queries, scope_queries, cascade_queries, hypothesis_queries, flow_queries, lineage_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
