@@ -78,7 +78,21 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     executor costs only a new read."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def is_staged(df: DataFrame) -> bool:
+    return getattr(df, "_stored_at", None) is not None
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: whatever was made from them is staged itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released() -> None:

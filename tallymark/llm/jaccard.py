@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm import chunks as C
-from tallymark.llm.common import Batcher, lower_ascii, staged, words
+from tallymark.llm.common import Batcher, dropped, is_staged, lower_ascii, staged, words
 from tallymark.llm.components import components
 
 SUBSET = 2
@@ -195,7 +195,7 @@ def signatures(classes: DataFrame, edge: int, t100: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t100: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets are similar enough, staged."""
-    pairs = staged(pairs, "pairs")
+    pairs = pairs if is_staged(pairs) else staged(pairs, "pairs")
     needed = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep"), "node").select("node", "rep"), "needed")
     ids = needed.select(F.col("rep").alias("doc_id")).distinct()
     if needed.count() <= SMALL:
@@ -224,7 +224,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t10
             yield frame.loc[np.array(keep, bool), ["a", "b"]]
 
     joined = pairs.join(found.withColumnsRenamed({"node": "b", "elements": "of_b"}), "b").join(found.withColumnsRenamed({"node": "a", "elements": "of_a"}), "a")
-    return staged(joined.select("a", "b", "of_a", "of_b").mapInPandas(check, "a long, b long"), "links")
+    links = staged(joined.select("a", "b", "of_a", "of_b").mapInPandas(check, "a long, b long"), "links")
+    dropped(pairs, needed, found)
+    return links
 
 
 def _possible(pairs: DataFrame, shapes: DataFrame, t100: int) -> DataFrame:
@@ -335,4 +337,6 @@ def linked_components(docs: DataFrame, n: int = 3, t100: int = 90, id_col: str =
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = named.select("node", "component").join(lowest, "component").select("node", "component_id")
     done = own.select("doc_id", "n", "node").join(of_class, "node", "left")
-    return done.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    done = staged(done.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "components")
+    dropped(own, classes, lists)
+    return done

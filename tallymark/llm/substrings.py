@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tallymark.llm.chunks import mixed
-from tallymark.llm.common import Batcher, released, shared_path, staged, words
+from tallymark.llm.common import Batcher, dropped, released, shared_path, staged, words
 
 SPAN, SEED = 20, 8
 #: Words that are hashed together, words whose hashes a task keeps, stretches asked of one copy of a text.
@@ -169,15 +169,22 @@ def _stretches(places: DataFrame, before: int, after: int, by_row: bool = False)
             shift = batch.column(2).take(of).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(at.astype(np.int32)), pa.array((values[tail] + after - at).astype(np.int32)), batch.column(1).take(of), pa.array((at - shift).astype(np.int32))], schema=schema)
 
-    return staged(lines.mapInArrow(chain, "row long, at int, n int, row0 long, at0 int"), "stretches")
+    out = staged(lines.mapInArrow(chain, "row long, at int, n int, row0 long, at0 int"), "stretches")
+    dropped(leaders)
+    return out
 
 
-def _fetched(own: DataFrame, stretches: DataFrame) -> DataFrame:
-    """(row, at, words): the earlier words of each stretch, joined by spaces; empty where there are none."""
+def _fetched(own: DataFrame, stretches: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
+    """(row, at, words): the earlier words of each stretch, joined by spaces; empty where there are none.
+
+    ``held`` gets the tables that the result reads.
+    """
     copies = F.ceil(F.col("n") / ASKED).cast("int")
     sizes = staged(stretches.groupBy("row0").agg(F.count("*").alias("n")).select("row0", copies.alias("copies")), "asked")
     # stored, so that a leader asked by many rows is split in this join and dealt by copy after it
     asked = staged(stretches.join(sizes, "row0").withColumn("copy", F.pmod(F.xxhash64("row", "at"), F.col("copies")).cast("int")).drop("copies"), "questions")
+    if held is not None:
+        held += [sizes, asked]
     asked = asked.groupBy("row0", "copy").agg(F.collect_list(F.struct("row", "at", "n", "at0")).alias("asked"))  # about ASKED
     texts = own.join(sizes, own["row"] == sizes["row0"]).select("row0", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text").repartition("row0", "copy")
     schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("words", pa.string())])
@@ -270,13 +277,23 @@ def _marked(own: DataFrame, span: int, hash_bits: int, by_row: bool = False) ->
     """own with ``spans``, the words to remove of each row."""
     if span < SEED:
         raise ValueError(f"the span has to be at least {SEED} words")
-    matches = _extended(own, _fetched(own, _stretches(_places(own, span, hash_bits), span - SEED, span, by_row)), span, 1, hash_bits)
+    anchors = _places(own, span, hash_bits)
+    stretches = _stretches(anchors, span - SEED, span, by_row)
+    dropped(anchors)
+
+    def matched(seed: int) -> DataFrame:
+        held = [stretches]
+        out = _extended(own, _fetched(own, stretches, held), span, seed, hash_bits)
+        dropped(*held)
+        return out
+
+    matches = matched(1)
     every, seed = matches.select("row", "spans"), 2
     while True:  # windows that equal a place other than their anchor's leader; again only after a collision
         stretches = _stretches(_open(matches), 0, span, by_row)
         if not stretches.limit(1).count():
             break
-        matches = _extended(own, _fetched(own, stretches), span, seed, hash_bits)
+        matches = matched(seed)
         every, seed = every.unionByName(matches.select("row", "spans")), seed + 1
     marks = every.where("length(spans) > 0").groupBy("row").agg(F.collect_list("spans").alias("spans"))  # one for each round
     return own.join(marks, "row", "left")
