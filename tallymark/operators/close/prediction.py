@@ -39,21 +39,52 @@ def _steps(column: Column, steps: list[tuple[int, float]], other: float, strict:
     return out
 
 
+def features(carried: DataFrame, own: DataFrame, found: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+    """carried with what the prediction rests on: the payout's value and the open share of it, whether orders are established
+    or explain a part, whether it is known what is missing, how many explanations compete, and earlier attempts
+    (settlement_id, prior_attempts) to resolve it.
+
+    A reason that isn't known names nothing that is missing; a payout without a finding has nothing established.
+    """
+    facts = found.select("settlement_id", F.col("verdict").alias("_verdict"), F.col("candidates").alias("_candidates"), F.col("n_fits").alias("_fits"))
+    rows = carried.join(own.select("settlement_id", "value_paise"), "settlement_id", "left").join(facts, "settlement_id", "left")
+    tried = F.lit(0)
+    if attempts is not None:
+        rows = rows.join(attempts.select("settlement_id", "prior_attempts"), "settlement_id", "left")
+        tried = F.greatest(F.coalesce("prior_attempts", F.lit(0)), F.lit(0))
+    value = F.when(F.coalesce("value_paise", F.lit(0)) > 0, F.col("value_paise")).otherwise(F.greatest("exposure_paise", F.lit(1)))
+    return rows.select(
+        *carried.columns, value.cast("long").alias("settlement_value_paise"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("exposure_paise") / value)).alias("exposure_ratio"),
+        F.coalesce((F.col("_verdict") == "CONTRADICTED") & (F.col("_candidates") > 0), F.lit(False)).alias("has_partial_match"), F.coalesce(F.col("_verdict").isin("PROVEN", "AMBIGUOUS"), F.lit(False)).alias("has_established_orders"),
+        F.coalesce(F.col("reason").isin(*PRIORS), F.lit(False)).alias("has_missing_evidence_ref"), F.coalesce(F.when(F.col("_verdict") == "AMBIGUOUS", F.col("_fits")), F.lit(0)).cast("long").alias("ambiguity_count"), tried.cast("long").alias("prior_attempts"),
+    )
+
+
 def predict(carried: DataFrame) -> DataFrame:
-    """(settlement_id, probability, horizon_days, confidence, routing) of carried items."""
+    """(settlement_id, probability, horizon_days, confidence, routing) of carried items, by what ``features`` says of them.
+
+    Features that a table lacks count as absent.
+    """
+
+    def has(name: str) -> Column:
+        return F.col(name) if name in carried.columns else F.lit(False)
+
+    named, partly, sure_orders = has("has_missing_evidence_ref"), has("has_partial_match"), has("has_established_orders")
+    attempts = F.least(F.col("prior_attempts"), F.lit(4)) if "prior_attempts" in carried.columns else F.lit(0)
     p0, days = _pick(F.col("reason"), {k: v[0] for k, v in PRIORS.items()}, DEFAULT_PRIOR[0]), _pick(F.col("reason"), {k: v[1] for k, v in PRIORS.items()}, DEFAULT_PRIOR[1]).cast("long")
     age, exposure = F.col("age_days"), F.col("exposure_paise")
     logit = (
         F.ln(F.greatest(F.lit(1e-4), p0) / F.greatest(F.lit(1e-4), 1 - p0))
         + _steps(age, [(2, 0.35), (5, 0.05), (10, -0.40), (30, -1.10)], -2.20)
         + _steps(exposure, [(1, 1.0), (5_000, 0.40), (50_000, 0.10), (500_000, -0.30)], -0.80, strict=True)
-        + _pick(F.col("severity"), {"HIGH": -1.20, "MEDIUM": -0.30}, 0.0)
-    )
+        + F.when(named, 0.35).otherwise(0.0) + F.when(partly | sure_orders, 0.25).otherwise(0.0)
+        + _pick(F.col("severity"), {"HIGH": -1.20, "MEDIUM": -0.30}, 0.0) - 0.40 * attempts
+    )
     p = F.bround(F.greatest(F.lit(0.01), F.least(F.lit(0.99), 1 / (1 + F.exp(-logit)))), 4)
     own = carried.withColumn("probability", p).withColumn("base_days", days)
     p = F.col("probability")
     horizon = F.when(F.col("reason") == "TIMING_MISMATCH", F.greatest(F.lit(1), F.least(F.col("base_days"), 4 - age))).when(p >= 0.75, F.greatest(F.lit(1), F.col("base_days"))).when(p >= 0.40, F.col("base_days") + 3).otherwise(F.greatest(F.lit(14), F.col("base_days") + 10))
-    sure = F.lit(50) + F.when(F.abs(p - 0.5) >= 0.30, 25).otherwise(0) + F.when(age > 20, 10).otherwise(0)
+    sure = F.lit(50) + F.when(F.abs(p - 0.5) >= 0.30, 25).otherwise(0) + F.when(named | sure_orders, 15).otherwise(0) + F.when(age > 20, 10).otherwise(0)
     routing = F.when((F.col("severity") == "HIGH") | (exposure >= 1_000_000), "MANUAL_AUDIT").when(F.col("reason") == "CHARGEBACK", "ESCALATE_FINANCE_DISPUTE").when(F.col("reason") == "DATA_QUALITY", "DATA_OPS_CORRECTION").when((p >= 0.75) & (age <= 3), "AUTO_RESOLVE_NEXT_CYCLE").when(p >= 0.50, "HOLD_FOR_SETTLEMENT_WINDOW").otherwise("INVESTIGATE_OPERATIONAL")
     return own.select("settlement_id", "probability", horizon.cast("long").alias("horizon_days"), F.when(sure >= 75, "HIGH").when(sure >= 45, "MEDIUM").otherwise("LOW").alias("confidence"), routing.alias("routing"))
 

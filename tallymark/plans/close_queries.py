@@ -88,15 +88,20 @@ _CARRIED = (
     + """, carried AS (SELECT period_id, settlement_id, reason, severity, exposure_paise, datediff('day', settled_on, last_day(settled_on)) AS age_days FROM items WHERE kind IS NOT NULL OR reason IS NOT NULL
 ), priors(reason, p0, days) AS (VALUES """
     + ", ".join(f"('{k}', CAST({p} AS DOUBLE), {d})" for k, (p, d) in prediction.PRIORS.items())
-    + """), scored AS (
+    + """), featured AS (
+    SELECT c.*, CAST(CASE WHEN v.value_paise > 0 THEN v.value_paise ELSE greatest(c.exposure_paise, 1) END AS BIGINT) AS settlement_value_paise, least(1.0, greatest(0.0, CAST(c.exposure_paise AS DOUBLE) / CASE WHEN v.value_paise > 0 THEN v.value_paise ELSE greatest(c.exposure_paise, 1) END)) AS exposure_ratio,
+        f.verdict = 'CONTRADICTED' AND f.candidates > 0 AS has_partial_match, f.verdict IN ('PROVEN', 'AMBIGUOUS') AS has_established_orders, coalesce(c.reason IN (SELECT reason FROM priors), false) AS has_missing_evidence_ref, CASE WHEN f.verdict = 'AMBIGUOUS' THEN f.n_fits ELSE 0 END AS ambiguity_count, 0 AS prior_attempts
+    FROM carried c JOIN (SELECT settlement_id, value_paise FROM items) v USING (settlement_id) JOIN findings f USING (settlement_id)
+), scored AS (
     SELECT c.*, days, round_even(greatest(0.01, least(0.99, 1 / (1 + exp(-(ln(greatest(1e-4, p0) / greatest(1e-4, 1 - p0))
         + CAST(CASE WHEN age_days <= 2 THEN 0.35 WHEN age_days <= 5 THEN 0.05 WHEN age_days <= 10 THEN -0.40 WHEN age_days <= 30 THEN -1.10 ELSE -2.20 END AS DOUBLE)
         + CAST(CASE WHEN exposure_paise < 1 THEN 1.0 WHEN exposure_paise < 5000 THEN 0.40 WHEN exposure_paise < 50000 THEN 0.10 WHEN exposure_paise < 500000 THEN -0.30 ELSE -0.80 END AS DOUBLE)
-        + CAST(CASE severity WHEN 'HIGH' THEN -1.20 WHEN 'MEDIUM' THEN -0.30 ELSE 0 END AS DOUBLE)))))), 4) AS probability
-    FROM carried c JOIN priors USING (reason)
+        + CAST(CASE severity WHEN 'HIGH' THEN -1.20 WHEN 'MEDIUM' THEN -0.30 ELSE 0 END AS DOUBLE)
+        + CAST(0.35 AS DOUBLE) + CASE WHEN has_partial_match OR has_established_orders THEN CAST(0.25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END))))), 4) AS probability
+    FROM featured c JOIN priors USING (reason)
 ), predicted AS (
     SELECT settlement_id, probability, CAST(CASE WHEN probability >= 0.75 THEN greatest(1, days) WHEN probability >= 0.40 THEN days + 3 ELSE greatest(14, days + 10) END AS BIGINT) AS horizon_days,
-        CASE WHEN 50 + CASE WHEN abs(probability - 0.5) >= 0.30 THEN 25 ELSE 0 END + CASE WHEN age_days > 20 THEN 10 ELSE 0 END >= 75 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+        CASE WHEN 50 + CASE WHEN abs(probability - 0.5) >= 0.30 THEN 25 ELSE 0 END + 15 + CASE WHEN age_days > 20 THEN 10 ELSE 0 END >= 75 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
         CASE WHEN severity = 'HIGH' OR exposure_paise >= 1000000 THEN 'MANUAL_AUDIT' WHEN probability >= 0.75 AND age_days <= 3 THEN 'AUTO_RESOLVE_NEXT_CYCLE' WHEN probability >= 0.50 THEN 'HOLD_FOR_SETTLEMENT_WINDOW' ELSE 'INVESTIGATE_OPERATIONAL' END AS routing
     FROM scored
 )"""
@@ -124,6 +129,10 @@ def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return stored(exposure.items(exceptions(found), judged), "items"), found
 
 
+def _featured(own: DataFrame, found: DataFrame) -> DataFrame:
+    return prediction.features(readiness.carry_forward(own), own, found)
+
+
 @query(_JUDGED + "SELECT * FROM strata")
 def risk_strata_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, payouts = base(spark, sf_dir)
@@ -196,7 +205,13 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CARRIED + "SELECT * FROM predicted")
 def resolution_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prediction.predict(readiness.carry_forward(_items(spark, sf_dir)[0]))
+    return prediction.predict(_featured(*_items(spark, sf_dir)))
+
+
+@query(_CARRIED + "SELECT period_id, settlement_id, settlement_value_paise, exposure_ratio, has_partial_match, has_established_orders, has_missing_evidence_ref, ambiguity_count, CAST(prior_attempts AS BIGINT) AS prior_attempts FROM featured")
+def resolution_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What predictions of open items rest on."""
+    return _featured(*_items(spark, sf_dir)).drop("reason", "severity", "exposure_paise", "age_days")
 
 
 @query(_CARRIED + """, stopping AS (SELECT DISTINCT ref_id AS settlement_id FROM blockers
@@ -208,7 +223,7 @@ SELECT period_id, settlement_id, reason, CAST(1000000 * blocker::INT + 700000 *
     CASE WHEN blocker THEN 'BLOCKER' WHEN large THEN 'MATERIAL' WHEN ambiguous THEN 'AMBIGUOUS' ELSE 'CARRY_FORWARD' END AS close_impact FROM queue""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, found = _items(spark, sf_dir)
-    return prediction.review_queue(own, readiness.carry_forward(own), readiness.blockers(own, found), exposure.totals(own))
+    return prediction.review_queue(own, _featured(own, found), readiness.blockers(own, found), exposure.totals(own))
 
 
 def _scenario(name: str, condition: str) -> str:

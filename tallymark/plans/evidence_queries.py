@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import blocking, evidence, reports
 from tallymark.operators.close import prediction, readiness
-from tallymark.plans.close_queries import _CARRIED, _ITEMS, _JUDGED, _items, _judged
+from tallymark.plans.close_queries import _CARRIED, _ITEMS, _JUDGED, _featured, _items, _judged
 from tallymark.plans.close_queries import SQL as CLOSE_SQL
 from tallymark.plans.close_queries import simulate_scenarios
 from tallymark.plans.recon_queries import FINDINGS, POOLS, base
@@ -157,7 +157,7 @@ def exposure_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CARRIED + "SELECT period_id, settlement_id, probability, exposure_paise, CAST(row_number() OVER (PARTITION BY period_id ORDER BY probability, exposure_paise DESC, settlement_id) AS INTEGER) AS rank FROM predicted JOIN carried USING (settlement_id)")
 def prediction_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    carried = readiness.carry_forward(_items(spark, sf_dir)[0])
+    carried = _featured(*_items(spark, sf_dir))
     rows = prediction.predict(carried).select("settlement_id", "probability").join(carried.select("settlement_id", "period_id", "exposure_paise"), "settlement_id")
     return evidence.ranked(rows.select("period_id", "settlement_id", "probability", "exposure_paise"), F.col("probability"), F.desc("exposure_paise"), F.col("settlement_id"))
 
