@@ -7,7 +7,7 @@ reckoned again when the search gets there. A depth-first search, largest order f
 explanations; a branch goes on only if the orders left reach the window that its explanation's
 size allows, and a place that has once led nowhere isn't searched again. There is no limit of
 steps: the search ends with all explanations, or with one more than are listed. It runs once for
-each payout in ``applyInPandas``. Pools are counted first; those over ``MAX_POOL`` orders or ``MAX_TARGET`` paise are
+each payout in ``applyInArrow``. Pools are counted first; those over ``MAX_POOL`` orders or ``MAX_TARGET`` paise are
 refused without being grouped, so a group is bounded.
 """
 
@@ -18,9 +18,11 @@ from collections import OrderedDict
 from dataclasses import dataclass, field
 from math import isqrt
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallymark.operators import blocking
 from tallymark.sources.shared import stored
@@ -179,13 +181,17 @@ def solved(payouts: DataFrame, orders: DataFrame, lags: tuple[int, ...] = (2,))
     small = payouts.join(sizes.where(fits).select("settlement_id"), "settlement_id", "left_semi")
     pool = blocking.pools(small, orders, lags).select("settlement_id", "credit_paise", "order_id", "net_paise")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["net_paise", "order_id"], ascending=[False, True])
-        verdict, found, exhaustive, density = explain(frame["net_paise"].tolist(), int(frame["credit_paise"].iloc[0]))
-        ids = frame["order_id"].tolist()
-        return pd.DataFrame({"settlement_id": frame["settlement_id"].iloc[:1], "verdict": [verdict], "n_found": [len(found)], "order_ids": [sorted(ids[i] for i in found[0]) if found else []], "exhaustive": [exhaustive], "density": [density]})
+    ddl = "settlement_id string, verdict string, n_found long, order_ids array<string>, exhaustive boolean, density double"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
-    done = pool.groupBy("settlement_id").applyInPandas(run, "settlement_id string, verdict string, n_found long, order_ids array<string>, exhaustive boolean, density double")
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip((-n for n in table["net_paise"].to_pylist()), table["order_id"].to_pylist(), strict=True))
+        ids = [i for _, i in rows]
+        verdict, found, exhaustive, density = explain([-n for n, _ in rows], table["credit_paise"][0].as_py())
+        own = table["settlement_id"][0].as_py(), verdict, len(found), sorted(ids[i] for i in found[0]) if found else [], exhaustive, density
+        return pa.Table.from_arrays([pa.array([v], f.type) for f, v in zip(schema, own, strict=True)], schema=schema)
+
+    done = pool.groupBy("settlement_id").applyInArrow(run, ddl)
     answer = "settlement_id", "verdict", "0L as n_found", "cast(array() as array<string>) as order_ids", "exhaustive", "0.0d as density"
     refused = sizes.where(~fits).selectExpr("settlement_id", "'INSUFFICIENT' as verdict", "false as exhaustive").selectExpr(*answer)
     none = payouts.select("settlement_id").join(sizes, "settlement_id", "left_anti").selectExpr("settlement_id", "'CONTRADICTED' as verdict", "true as exhaustive").selectExpr(*answer)
