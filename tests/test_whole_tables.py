@@ -3,10 +3,11 @@ import os
 import pytest
 
 from tallymark.operators import blocking, solver
-from tallymark.plans.ingest_queries import QUERIES
+from tallymark.plans import registry
 from tallymark.plans.recon_queries import base
 
 SF = "/root/testdata/sf0.001"
+QUERIES = registry.queries()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
