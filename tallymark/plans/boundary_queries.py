@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import advice, evidence, review
@@ -206,6 +206,34 @@ def grounded_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advice.grounded(payouts.select(F.col("settlement_id").alias("statement_id"), text.alias("text")), payouts)
 
 
+def _money(paise: str) -> str:
+    return f"'Rs. ' || (abs({paise}) // 100) || '.' || lpad(CAST(abs({paise}) % 100 AS VARCHAR), 2, '0')"
+
+
+@query(VIEWS + FINDINGS + f""", told AS (
+    SELECT settlement_id AS statement_id, 'paid ' || {_money("net_paise")} || ' of ' || {_money("net_paise - pool_net")} || ', about ' || {_money("(abs(net_paise) // 100) * 100 + truth_key % 3")} || ' and Rs 0.50' AS text
+    FROM findings JOIN (SELECT settlement_id, truth_key FROM settlements) USING (settlement_id)
+), named AS (
+    SELECT statement_id, unnest(regexp_extract_all(text, '(?:₹|Rs\\.?\\s*)([0-9,]+(?:\\.[0-9]{{2}})?)', 1)) AS said, generate_subscripts(regexp_extract_all(text, '(?:₹|Rs\\.?\\s*)([0-9,]+(?:\\.[0-9]{{2}})?)', 1), 1) - 1 AS place FROM told
+), amounts AS (SELECT statement_id, place, CAST(round(CAST(replace(said, ',', '') AS DECIMAL(30, 2)) * 100) AS BIGINT) AS paise FROM named
+), held AS (SELECT DISTINCT statement_id, unnest([abs(p), abs(p) // 100]) AS v FROM (SELECT settlement_id AS statement_id, unnest([net_paise, pool_net, fit_gross]) AS p FROM findings) WHERE p IS NOT NULL
+), valid AS (SELECT statement_id, v FROM held UNION SELECT a.statement_id, unnest([a.v - b.v, (a.v - b.v) // 100]) FROM held a JOIN held b ON a.statement_id = b.statement_id AND a.v >= b.v)
+SELECT statement_id, CAST(place AS INTEGER) AS place, paise, paise <= 100 OR EXISTS (SELECT 1 FROM valid v WHERE v.statement_id = a.statement_id AND (v.v = a.paise OR v.v = a.paise // 100)) AS ok FROM amounts a""")
+def grounded_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts that statements on payouts name, against the payouts' own."""
+    payouts, found = base(spark, sf_dir)[1], findings_of(spark, sf_dir)
+
+    def money_of(paise: Column) -> Column:
+        size = F.abs(paise)
+        return F.concat(F.lit("Rs. "), F.floor(size / 100).cast("string"), F.lit("."), F.lpad(F.pmod(size, F.lit(100)).cast("string"), 2, "0"))
+
+    own = found.join(payouts.select("settlement_id", "truth_key"), "settlement_id")
+    net = F.col("net_paise")
+    text = F.concat(F.lit("paid "), money_of(net), F.lit(" of "), money_of(net - F.col("pool_net")), F.lit(", about "), money_of(F.floor(F.abs(net) / 100) * 100 + F.pmod("truth_key", F.lit(3))), F.lit(" and Rs 0.50"))
+    facts = found.select(F.col("settlement_id").alias("statement_id"), F.explode(F.array("net_paise", "pool_net", "fit_gross")).alias("paise"))
+    return advice.grounded_amounts(own.select(F.col("settlement_id").alias("statement_id"), text.alias("text")), facts)
+
+
 @query(VIEWS + FINDINGS.replace("findings AS (", "findings AS MATERIALIZED (") + """, again AS MATERIALIZED (SELECT * FROM findings ORDER BY settlement_id DESC)
 SELECT (SELECT count(*) FROM (SELECT * FROM findings EXCEPT ALL SELECT * FROM again)) AS missing, (SELECT count(*) FROM (SELECT * FROM again EXCEPT ALL SELECT * FROM findings)) AS added""")
 def replay_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
