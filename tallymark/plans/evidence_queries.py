@@ -11,7 +11,7 @@ from tallymark.operators import blocking, evidence, reports
 from tallymark.operators.close import prediction, readiness
 from tallymark.plans.close_queries import _CARRIED, _ITEMS, _JUDGED, _featured, _items, _judged
 from tallymark.plans.close_queries import SQL as CLOSE_SQL
-from tallymark.plans.close_queries import simulate_scenarios
+from tallymark.plans.close_queries import review_queue, simulate_scenarios
 from tallymark.plans.recon_queries import FINDINGS, POOLS, base
 from tallymark.sources import views
 from tallymark.sources.shared import stored
@@ -162,6 +162,13 @@ def prediction_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.ranked(rows.select("period_id", "settlement_id", "probability", "exposure_paise"), F.col("probability"), F.desc("exposure_paise"), F.col("settlement_id"))
 
 
+@query("WITH reviewed AS (" + CLOSE_SQL["review_queue"] + ") SELECT period_id, settlement_id, priority, exposure_paise, close_impact, CAST(row_number() OVER (PARTITION BY period_id ORDER BY priority DESC, exposure_paise DESC, settlement_id) AS INTEGER) AS rank FROM reviewed")
+def review_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review queue of each period in its order."""
+    rows = review_queue(spark, sf_dir).select("period_id", "settlement_id", "priority", "exposure_paise", "close_impact")
+    return evidence.ranked(rows, F.desc("priority"), F.desc("exposure_paise"), F.col("settlement_id"))
+
+
 @query(_CARRIED + "SELECT period_id, settlement_id, exposure_paise, age_days, CAST(row_number() OVER (PARTITION BY period_id ORDER BY exposure_paise DESC, settlement_id) AS INTEGER) AS rank FROM carried")
 def carry_forward_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readiness.carry_forward(_items(spark, sf_dir)[0]).select("period_id", "settlement_id", "exposure_paise", "age_days")
