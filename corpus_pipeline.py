@@ -51,17 +51,25 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_scores(docs, model, score_col=score).where(F.col(score) < TOXIC).select(docs.columns)
 
 
+def keyed(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number for each row in column ``row``, stored; rows are in order of id, a null id first."""
+    at = fresh(docs, "_at")
+    placed = docs.withColumn(at, F.monotonically_increasing_id())  # splits ids that many rows share
+    return staged(placed.orderBy(F.col("doc_id").asc_nulls_first(), at).drop(at).withColumn(row, F.monotonically_increasing_id()), "keyed")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: one with the group's smallest id. Texts without a word are in no group and stay.
 
-    Ids repeat and may be null, so rows are told apart by a number of their own. Null ids count as smallest; an
-    empty table stays empty; further columns are kept, whatever their names.
+    Where ids repeat or are null, rows get numbers in order of id, null ids first, and these decide. An empty table
+    stays empty; further columns are kept, whatever their names.
     """
-    row = fresh(docs, "_row")
-    own = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    row = "doc_id" if n["rows"] == n["ids"] else fresh(docs, "_row")
+    own = docs if row == "doc_id" else keyed(docs, row)
     groups = jaccard.linked_components(own.select(row, "text"), n=SHINGLE, t100=SIMILAR, id_col=row)
-    heads = own.select(row, "doc_id").join(groups.select(row, "component_id"), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("head"))
-    return own.join(heads.select(F.col(f"head.{row}").alias(row)), row, "left_semi").select(docs.columns)
+    heads = groups.where(F.col("component_id") == F.col(row)).select(row)
+    return own.join(heads, row, "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
