@@ -10,7 +10,12 @@ from tallymark.functions import money
 
 def measured_integrity(found: DataFrame, pool: DataFrame, members: DataFrame) -> DataFrame:
     """found with integrity COMPROMISED where the pool lost an order that the payout is made of."""
-    lost = members.join(pool.select("settlement_id", "order_id"), ["settlement_id", "order_id"], "left_anti").select("settlement_id").distinct().withColumn("_lost", F.lit(True))
+    return compromised(found, members.join(pool.select("settlement_id", "order_id"), ["settlement_id", "order_id"], "left_anti"))
+
+
+def compromised(found: DataFrame, lost: DataFrame) -> DataFrame:
+    """found with integrity COMPROMISED for the payouts that ``lost`` names, once or more."""
+    lost = lost.select("settlement_id").distinct().withColumn("_lost", F.lit(True))
     return found.join(lost, "settlement_id", "left").withColumn("integrity", F.when(F.col("_lost"), "COMPROMISED").otherwise(F.col("integrity"))).drop("_lost")
 
 

@@ -80,3 +80,31 @@ def test_held_rows_are_those_of_the_pools(spark):
     pool = blocking.pools(payouts, orders).where("settlement_id is not null").select("settlement_id", "order_id").distinct()
     cited = payouts.where("settlement_id is not null").select("settlement_id").crossJoin(orders.select("order_id").distinct())
     assert sorted(map(tuple, blocking.held(cited, payouts, orders).select("settlement_id", "order_id").distinct().collect())) == sorted(map(tuple, pool.collect()))
+
+
+def test_fills_are_folds_of_the_pools(spark):
+    payouts, orders = _tables(spark)
+    want = {(r.settlement_id, r.filled_paise, r.n_orders) for r in matching.baseline_greedy(blocking.pools(payouts, orders)).collect()}
+    assert {(r.settlement_id, r.filled_paise, r.n_orders) for r in matching.greedy_fills(payouts, orders).collect()} == want
+
+
+def test_lanes_are_those_of_the_pools(spark):
+    payouts, orders = _tables(spark)
+    orders = orders.withColumn("order_id", F.concat("order_id", F.lit("-"), F.col("gross_paise").cast("string")))  # rows of one id and amount tie
+    payouts = payouts.where("settlement_id is not null")
+    for most in (3, 18):
+        assert sorted(map(tuple, evidence.pool_lanes(payouts, orders, most).collect())) == sorted(map(tuple, evidence.lanes(blocking.pools(payouts, orders), most).collect()))
+
+
+def test_conflicts_are_those_of_the_pools(spark):
+    payouts, orders = _tables(spark)
+    want = blocking.pools(payouts, orders).groupBy("order_id").agg(F.min("settlement_id"), F.max("settlement_id"), F.count("*").alias("n")).where("n > 1")
+    assert sorted(map(tuple, matching.conflicts(payouts, orders).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_members_inside_are_those_of_the_pools(spark):
+    payouts, orders = _tables(spark)
+    pool = {(r.settlement_id, r.order_id) for r in blocking.pools(payouts, orders).collect()}
+    members = orders.select(F.when(F.col("gross_paise") % 17 > 0, F.concat(F.lit("s"), (F.col("gross_paise") % 60).cast("string"))).alias("settlement_id"), "order_id").union(orders.select(F.lit("s9"), "order_id"))
+    got = {(r.settlement_id, r.order_id): r.inside for r in blocking.membership(members, payouts, orders).collect()}
+    assert got == {k: k[0] is not None and k in pool for k in set(map(tuple, members.collect()))}
