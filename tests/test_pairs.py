@@ -8,7 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallymark.operators import blocking, evidence, matching
+from tallymark.operators import blocking, cascade, evidence, matching
 
 ORDERS = "order_id string, captured_on date, net_paise long, gross_paise long, method string"
 PAYOUTS = "settlement_id string, settled_on date, net_paise long"
@@ -108,3 +108,21 @@ def test_members_inside_are_those_of_the_pools(spark):
     members = orders.select(F.when(F.col("gross_paise") % 17 > 0, F.concat(F.lit("s"), (F.col("gross_paise") % 60).cast("string"))).alias("settlement_id"), "order_id").union(orders.select(F.lit("s9"), "order_id"))
     got = {(r.settlement_id, r.order_id): r.inside for r in blocking.membership(members, payouts, orders).collect()}
     assert got == {k: k[0] is not None and k in pool for k in set(map(tuple, members.collect()))}
+
+
+def test_the_cascade_shuffles_only_orders_that_a_payout_of_their_day_may_hold(spark):
+    orders = spark.range(20_000).selectExpr("concat('o', id) as order_id", "date'2024-03-04' as captured_on", "id + 100 as net_paise")
+    payouts = spark.createDataFrame([("a", dt.date(2024, 3, 6), 109), ("b", dt.date(2024, 3, 20), 10**6)], PAYOUTS)
+    store, at = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        assert cascade._meets(payouts, orders, cascade.LADDER).count() == 10
+        assert written() - before < 1_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
