@@ -126,3 +126,28 @@ def test_the_cascade_shuffles_only_orders_that_a_payout_of_their_day_may_hold(sp
         assert written() - before < 1_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+
+
+def test_small_explanations_shuffle_only_orders_near_what_their_day_asks_for(spark):
+    # 20,000 orders of a day whose payouts lie far above them, and two that make up another day's
+    orders = spark.range(20_000).selectExpr("concat('o', id) as order_id", "date'2024-03-04' as captured_on", "id % 900 + 1 as net_paise", "1L as gross_paise", "'upi' as method")
+    orders = orders.unionByName(spark.createDataFrame([("x", dt.date(2024, 3, 11), 60, 60, "upi"), ("y", dt.date(2024, 3, 11), 40, 40, "upi")], ORDERS))
+    payouts = spark.range(40).selectExpr("concat('s', id) as settlement_id", "date'2024-03-06' as settled_on", "1000000 + id as net_paise")
+    payouts = payouts.unionByName(spark.createDataFrame([("t", dt.date(2024, 3, 13), 100), (None, None, 5), ("u", None, None)], PAYOUTS))
+    store, at = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = sorted(map(tuple, evidence.small_explanations(payouts, orders).collect()))
+        assert got == [("t", "x y", "x", 60, 60, 2), ("t", "x y", "y", 40, 40, 2)]
+        cited = spark.createDataFrame([("t", "x"), ("t", "o1")], "settlement_id string, order_id string")
+        assert [tuple(r)[:2] for r in blocking.held(cited, payouts, orders).collect()] == [("t", "x")]
+        assert blocking.pools(payouts.where("settlement_id = 't'"), orders).count() == 2
+        assert written() - before < 2_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
