@@ -107,7 +107,8 @@ def causes(graph: DataFrame, start: DataFrame, backward: bool = True) -> DataFra
 
 def adjacent(graph: DataFrame) -> DataFrame:
     """(node_id, parents, children, incoming, outgoing): distinct neighbours and edges of every node."""
-    out = graph.groupBy(F.col("source").alias("node_id")).agg(F.count_distinct("target").alias("children"), F.count("*").alias("outgoing"))
-    into = graph.groupBy(F.col("target").alias("node_id")).agg(F.count_distinct("source").alias("parents"), F.count("*").alias("incoming"))
+    each = graph.groupBy("source", "target").agg(F.count("*").alias("n"))  # both sides read this one shuffle
+    out = each.groupBy(F.col("source").alias("node_id")).agg(F.count("target").alias("children"), F.sum("n").alias("outgoing"))
+    into = each.groupBy(F.col("target").alias("node_id")).agg(F.count("source").alias("parents"), F.sum("n").alias("incoming"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return out.join(into, "node_id", "full").select("node_id", *[none(c) for c in ("parents", "children", "incoming", "outgoing")])

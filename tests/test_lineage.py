@@ -48,6 +48,21 @@ def test_neighbours(spark):
     assert got == {"setl:1": (0, 1, 0, 2), "find:1": (0, 1, 0, 1), "exc:1": (2, 1, 3, 1), "exp:1": (1, 0, 1, 0)}
 
 
+def test_neighbours_shuffle_their_edges_once(spark):
+    graph = spark.range(10_000).selectExpr("concat('evt:', id) as source", "concat('rec:', id) as target", "'CAPTURED_AS' as relationship")
+    graph = graph.unionByName(spark.createDataFrame([("evt:0", "rec:0", "PROVEN_BY"), ("evt:0", None, "x"), (None, "rec:0", "x")], EDGES))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    got = {r.node_id: tuple(r)[1:] for r in lineage.adjacent(graph).collect() if r.node_id}
+    assert len(got) == 20_000 and got["evt:0"] == (0, 1, 0, 3) and got["rec:0"] == (1, 0, 3, 0) and got["evt:7"] == (0, 1, 0, 1)
+    assert written() - before < 35_000
+
+
 def test_the_relations_of_a_close(spark):
     make = spark.createDataFrame
     orders = make([("o1",), ("o2",)], "order_id string")
