@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tallymark.llm.common import handing_back
+
 
 def appended(df: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], tuple[Any, ...]]], fields: str) -> DataFrame:
     """df with the columns of ``fields`` (a schema text) after its own.
@@ -29,4 +31,4 @@ def appended(df: DataFrame, text_col: str, make: Callable[[], Callable[[str | No
             new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *more.names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *more.fields]))
+    return df.mapInArrow(handing_back(run), StructType([*df.schema.fields, *more.fields]))

@@ -10,7 +10,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +104,16 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def handing_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives its memory back to the system at its end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        released()
+
+    return whole
+
+
 class Batcher:
     """Collects output rows and gives Arrow batches of bounded bytes."""
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm import chunks as C
-from tallymark.llm.common import Batcher, dropped, is_staged, lower_ascii, staged, words
+from tallymark.llm.common import Batcher, dropped, handing_back, is_staged, lower_ascii, staged, words
 from tallymark.llm.components import components
 
 SUBSET = 2
@@ -44,6 +44,8 @@ BLOCK, SMALL = 4096, 200_000
 #: Members up to which a list is joined with itself.
 SHORT = 16
 MOST_KEPT = 300_000
+#: Classes whose signatures are made at a time: a class may have hundreds.
+SLICE = 500
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,7 +121,7 @@ def counters(docs: DataFrame, n: int) -> np.ndarray:
         return pd.DataFrame({"slice": frame["slice"].iloc[:1], "counts": [np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()]})
 
     ddl = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, ddl).groupBy("slice").applyInPandas(add, ddl).collect()  # SLICES rows, 8 MB in all
+    rows = docs.select("text").mapInArrow(handing_back(count), ddl).groupBy("slice").applyInPandas(add, ddl).collect()  # SLICES rows, 8 MB in all
     return np.concatenate([np.frombuffer(r["counts"], "<u4") for r in sorted(rows, key=lambda r: r["slice"])]) if rows else np.zeros(COUNTERS, np.uint32)
 
 
@@ -150,7 +152,7 @@ def sets(docs: DataFrame, n: int, t100: int, table: np.ndarray) -> DataFrame:
                 yield from out.add((doc_id, node, len(s), first, np.minimum(histogram, 0xFFFF).astype("<u2").tobytes(), scan), 400 + len(first))
         yield out.flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SET_DDL)
+    return docs.select("doc_id", "text").mapInArrow(handing_back(run), _SET_DDL)
 
 
 def boundary(classes: DataFrame, t100: int) -> int:
@@ -175,7 +177,7 @@ def signatures(classes: DataFrame, edge: int, t100: int) -> DataFrame:
     """(sig, node, n, rep): subsets of light sets, single first elements of heavy ones."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[i : i + SLICE] for f in frames for i in range(0, len(f), SLICE)):
             sigs, counts = [], []
             for n, prefix in zip(frame["n"], frame["prefix"], strict=True):
                 first, own = np.frombuffer(prefix, "<u8"), []
@@ -187,10 +189,9 @@ def signatures(classes: DataFrame, edge: int, t100: int) -> DataFrame:
                 own = np.unique(np.concatenate(own))
                 sigs.append(own.view(np.int64))
                 counts.append(len(own))
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "node": np.repeat(frame["node"].to_numpy(), counts), "n": np.repeat(frame["n"].to_numpy(), counts), "rep": frame["rep"].repeat(counts).astype("Int64").to_numpy(dtype=object)})
+            yield pd.DataFrame({"sig": np.concatenate(sigs), "node": np.repeat(frame["node"].to_numpy(), counts), "n": np.repeat(frame["n"].to_numpy(), counts), "rep": frame["rep"].astype("Int64").array.repeat(counts)})
 
-    return classes.where("length(prefix) > 0").select("node", "n", "prefix", "rep").mapInPandas(run, "sig long, node long, n long, rep long")
+    return classes.where("length(prefix) > 0").select("node", "n", "prefix", "rep").mapInPandas(handing_back(run), "sig long, node long, n long, rep long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t100: int) -> DataFrame:
@@ -201,7 +202,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t10
     if needed.count() <= SMALL:
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    schema = pa.schema([("node", pa.int64()), ("elements", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, out = Shingler(n), Batcher(schema)
@@ -209,22 +210,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t10
             for text in batch.column(0):
                 s = shingler.set_of(text.as_py())
                 if len(s):
-                    yield from out.add((xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), s.tobytes()), 8 * len(s))
+                    yield from out.add((xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), s.view(np.int64)), 8 * len(s))
         yield out.flush()
 
-    found = staged(texts.select("text").mapInArrow(run, "node long, elements binary").join(needed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements")), "sets")
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep = []
-            for x, y in zip(frame["of_a"], frame["of_b"], strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= t100 * (len(x) + len(y) - both))
-            yield frame.loc[np.array(keep, bool), ["a", "b"]]
+    found = staged(texts.select("text").mapInArrow(handing_back(run), "node long, elements array<long>").join(needed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements")), "sets")
 
+    # whole sets meet in the join's own rows: batches of thousands of them would be hundreds of MB beside the heap
+    both = F.size(F.array_intersect("of_a", "of_b"))
     joined = pairs.join(found.withColumnsRenamed({"node": "b", "elements": "of_b"}), "b").join(found.withColumnsRenamed({"node": "a", "elements": "of_a"}), "a")
-    links = staged(joined.select("a", "b", "of_a", "of_b").mapInPandas(check, "a long, b long"), "links")
+    links = staged(joined.where(100 * both >= t100 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b"), "links")
     dropped(pairs, needed, found)
     return links
 
@@ -239,7 +233,7 @@ def _possible(pairs: DataFrame, shapes: DataFrame, t100: int) -> DataFrame:
                 yield frame.loc[bound(x, frame["na"].to_numpy(), y, frame["nb"].to_numpy(), t100), ["a", "b"]]
 
     shaped = pairs.join(shapes.withColumnsRenamed({"node": "a", "n": "na", "histogram": "ha"}), "a").join(shapes.withColumnsRenamed({"node": "b", "n": "nb", "histogram": "hb"}), "b")
-    return shaped.select("a", "b", "na", "nb", "ha", "hb").mapInPandas(keep, "a long, b long")
+    return shaped.select("a", "b", "na", "nb", "ha", "hb").mapInPandas(handing_back(keep), "a long, b long")
 
 
 def _open(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

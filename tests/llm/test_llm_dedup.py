@@ -205,3 +205,35 @@ def test_only_a_to_z_are_lower_cased():
     from tallymark.llm.common import lower_ascii
 
     assert [lower_ascii(t) for t in ("", "AZ[a", "ÄÉAZİẞ ΣB", "日本X\x00")] == ["", "az[a", "ÄÉazİẞ Σb", "日本x\x00"]
+
+
+def test_whole_sets_are_compared_without_batches_of_them(spark, monkeypatch):
+    """Sets of candidates stay in the join's rows, and tasks hand their memory back."""
+    from tallymark.llm import common, jaccard
+
+    plans, kept = [], jaccard.staged
+
+    def seen(df, name, *more):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name, *more)
+
+    monkeypatch.setattr(jaccard, "staged", seen)
+    rows = [(i, " ".join(f"w{k}" for k in range(100) if k != i), "", None) for i in range(3)]
+    assert {r.component_id for r in linked_components(frame(spark, rows), t100=80).collect()} == {0}
+    assert plans
+    assert not any("InPandas" in p or "InArrow" in p for p in plans)
+    calls = []
+    monkeypatch.setattr(common, "released", lambda: calls.append(1))
+    assert list(common.handing_back(iter)([1, 2])) == [1, 2]
+    assert calls == [1]
+
+
+def test_signatures_come_in_slices(spark):
+    from tallymark.llm import jaccard
+
+    rows = [(i, i, np.arange(i * 40, i * 40 + 40, dtype="<u8").tobytes(), None if i % 7 == 0 else i) for i in range(1, 2 * jaccard.SLICE)]
+    classes = spark.createDataFrame(rows, "node long, n long, prefix binary, rep long").coalesce(1)
+    got = [tuple(r) for r in jaccard.signatures(classes.withColumn("n", jaccard.F.lit(150).cast("long")), 1, 80).collect()]
+    want = {(int(e), node, 150, rep) for node, _, prefix, rep in rows for e in np.frombuffer(prefix, "<u8")[: jaccard.prefix_length(150, 80) + 1]}
+    assert set(got) == want and len(got) == len(want)
